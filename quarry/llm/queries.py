@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secret_scan, token_store
+from . import language_id, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store
 from .storage import table
 
 
@@ -15,10 +16,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.METRICS[:5], "base_failed", "kept", "host_docs", "host_rate")
 
 
+def fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality_classifier.train(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return quality_classifier.score(docs, ranking).withColumn("held_out", fold(5) == 0)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, fold(4) != 2)
+    return language_id.predict(docs, model).withColumn("held_out", fold(4) == 2)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), minhash_dedup.DedupSettings(shingle=4))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents")).drop("base")
 
@@ -30,7 +52,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_language_id": op3_language_id,
         "op6_packing": op6_packing,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_output": op10_token_output,
     }
