@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store
+from . import decontaminate, language_id, lm_scoring, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store
 from .storage import table
 
 
@@ -33,6 +33,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", fold(4) == 2)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.pseudo_likelihood_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -54,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_language_id": op3_language_id,
+        "op4_decontamination": op4_decontamination,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_packing": op6_packing,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op9_secret_scan": op9_secret_scan,
