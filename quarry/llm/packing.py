@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, materialize
-from .tokenizing import encode_in_blocks, vocabulary
+from .tokenizing import encode_texts, vocabulary
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def encode_stream(docs: DataFrame, tokenizer: str, settings: PackSettings, text:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 some = b.slice(at, 200)
-                ids = [x + end for x in encode_in_blocks(tokenizer, some.column(1).to_pylist())]
+                ids = [x + end for x in encode_texts(tokenizer, some.column(1).to_pylist())]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = start + np.cumsum(counts) - counts
                 start += int(counts.sum())

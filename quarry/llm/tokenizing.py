@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 
 _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space for Python's \s but not for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
-#: Pieces that a worker keeps, and the longest that is kept.
-KEEP, LONGEST = 400_000, 40
+#: A new line, a run of Latin letters after at most one space, and a sign: the
+#: tokenizer's pattern always splits these three from each other.
+_PLAIN = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+#: Pieces a worker keeps that it met again, and new ones; the longest kept.
+KEEP, KEEP_NEW, LONGEST = 500_000, 250_000, 40
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +30,31 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level BPE writes each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids of pieces met before; ``new`` has those met once, and may be emptied."""
+
+    def __init__(self, ids_of):
+        self.new: dict[str, bytes] = {}
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.new.pop(piece, None)
+        if ids is not None:
+            self[piece] = ids
+            return ids
+        ids = self.ids_of(piece)
+        if len(piece) <= LONGEST:
+            self.new[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -35,26 +64,34 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as bytes; a null text is empty."""
-        if len(self.pieces) > KEEP:
-            self.pieces = {}
-        cut = [[] if not t else [t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        known = self.pieces
-        fresh = list({p for c in cut for p in c} - known.keys())
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            known.update(zip(some, self._ids(some)))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for p in fresh:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
+        self.bpe, self.letters = self.model.model, _byte_letters()
+        self.signs = {s: self._in_full(s) for s in ".,;:!?\n"} | {"": b""}
+        self.known = _Pieces(self._ids)
+
+    def _in_full(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, piece: str) -> bytes:
+        """A plain word by the model alone, anything else in full."""
+        plain = _PLAIN.fullmatch(piece)
+        if plain is None:
+            return self._in_full(piece)
+        line, word, sign = plain.groups()
+        ids = [t.id for t in self.bpe.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return self.signs[line] + pack(f"<{len(ids)}I", *ids) + self.signs[sign]
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as bytes; a null text is empty."""
+        if not text:
+            return b""
+        known = self.known
+        if len(known) > KEEP:
+            known.clear()
+        if len(known.new) > KEEP_NEW:
+            known.new.clear()
+        if _ODD.search(text):
+            return self._in_full(text)
+        return b"".join(map(known.__getitem__, _PIECE.findall(text)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -67,7 +104,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_in_blocks(path: str, texts: list[str | None], block: int = 200) -> list[bytes]:
-    """Ids of many texts, with the working memory of ``block`` of them."""
-    one = encoder(path)
-    return [ids for i in range(0, len(texts), block) for ids in one.encode(texts[i : i + block])]
+def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
+    """Ids of many texts."""
+    return list(map(encoder(path).encode, texts))
