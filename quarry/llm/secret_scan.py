@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, materialize
+from .storage import bounded_batches, hash_sample, materialize
 
 KINDS = ("assign", "access", "hex", "crf")
 _WORDS = ("password", "passwd", "secret", "token", "api")
@@ -140,7 +140,8 @@ class Crf:
 
 @dataclass(frozen=True)
 class ScanSettings:
-    #: Most runs with, and most without, a base span that training reads.
+    #: About so many documents with, and without, a base span are read for training,
+    #: and at most so many of their runs used.
     train_runs: int = 3000
     #: Longer runs are cut for training only.
     train_length: int = 24
@@ -238,10 +239,10 @@ def fit(scanned: DataFrame, s: ScanSettings = ScanSettings()) -> Crf:
     """Train on at most ``train_runs`` documents' runs of either kind."""
     samples = []
     for positive in (True, False):
-        some = scanned.where((F.size("lengths") > 0) & (F.col("positive") == positive)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_runs)
+        some = hash_sample(scanned.where((F.size("lengths") > 0) & (F.col("positive") == positive)), s.train_runs, "doc_id")
         taken = some.select(F.slice("tokens", 1, _WIDTH * s.train_length).alias("tokens"), F.slice("lengths", 1, s.train_length).alias("lengths")).collect()
         kept = 0
-        for row in taken:
+        for row in sorted(taken, key=lambda r: r.tokens):
             for run in _cut(row.tokens, row.lengths):
                 if run and kept < s.train_runs:
                     samples.append(([c[3:] for c in run], [c[2] for c in run]))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of text handed to a Python worker at once; bounds its memory.
 TEXT_ROWS_PER_BATCH = 1000
@@ -67,5 +68,17 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
 
 
+def hash_sample(df: DataFrame, rows: int, *keys: str, seed: int = 0) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of the keys; all where there are fewer.
+
+    Only the count comes to the driver, and nothing is sorted, so the cost does
+    not depend on how many partitions there are.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
