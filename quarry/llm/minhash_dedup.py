@@ -16,7 +16,7 @@ With 32 coordinates and 12 matches, a pair of similarity 0.8 falls below the
 threshold with probability 3e-8.
 
 Defined results: null texts and texts without a word have an empty set, link
-with nothing and stay; rows with the same doc_id and set are alike; ties go to
+with nothing and stay, as does a null doc_id; rows with the same doc_id and set are alike; ties go to
 the smallest doc_id; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -176,4 +176,18 @@ def near_duplicates(docs: DataFrame, settings: DedupSettings = DedupSettings(),
     placed = materialize(placed, "placed")
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, settings: DedupSettings = DedupSettings(), text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component.
+
+    Repeated rows (same doc_id and text) are one document.  Only the ids that go
+    are joined, so a plan with few duplicates moves little else.
+    """
+    judged = materialize(near_duplicates(docs, settings, text), "judged")
+    gone = judged.where("not kept").select("doc_id").distinct()
+    stays = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        stays = stays.dropDuplicates(["doc_id", text])
+    return stays
