@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,16 +89,18 @@ def signed(docs: DataFrame, s: DedupSettings, text: str = "text") -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: DedupSettings, text: str, filtered: bool = False) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
-    Signatures first: pairs with too few equal coordinates go.  Sets of the
-    nodes that are left are made again from their texts.
+    Sizes and signatures first (unless that is done): pairs that are too far
+    apart go.  Sets of the nodes that are left are made again from their texts.
     """
-    sig = nodes.select(F.col("rep"), "sig")
-    equal = F.size(F.filter(F.zip_with("sig", "sig2", lambda x, y: x == y), lambda z: z))
-    close = pairs.join(sig.withColumnRenamed("rep", "a"), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig2")), "b").where(equal >= s.matches).select("a", "b")
-    close = materialize(close.distinct(), "close")
+    close = pairs
+    if not filtered:
+        own = nodes.select(F.col("rep").alias("a"), "n", "sig")
+        other = nodes.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
+        close = pairs.join(own, "a").join(other, "b").where(_near_sizes(s) & (_equal("sig", "sig2") >= s.matches)).select("a", "b")
+        close = materialize(close.distinct(), "close")
     needed = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +127,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: DedupSettin
 
     both = close.join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a")
     linked = materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
-    discard(close, own)
+    discard(own)
     return linked
 
 
@@ -135,16 +137,36 @@ def _first_merge(prefix: DataFrame) -> DataFrame:
     return prefix.join(first, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
-def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame) -> DataFrame:
-    """Nodes of different components that share a posting list, not yet met."""
+def _equal(one: str, two: str) -> Column:
+    return F.size(F.filter(F.zip_with(one, two, lambda x, y: x == y), lambda z: z))
+
+
+def _near_sizes(s: DedupSettings) -> Column:
+    """Whether two sets are near enough in size to reach the similarity."""
+    return (100 * F.col("n") >= s.percent * F.col("n2")) & (100 * F.col("n2") >= s.percent * F.col("n"))
+
+
+def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, nodes: DataFrame, s: DedupSettings) -> DataFrame:
+    """Pairs of nodes of different components, not yet met, that could reach the similarity.
+
+    Sizes and signatures are compared while lists are merged, and a pair comes
+    only from the first list that both prefixes hold, so what leaves the merge
+    is each pair that must be confirmed, once.
+    """
     placed = prefix.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "placed")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = materialize(sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("groups > 1").select("key", "largest"), "mixed")
-    inside = materialize(placed.join(mixed, "key"), "inside")
-    minor = inside.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    others = inside.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = minor.join(others, "key").where("ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    inside = placed.join(mixed, "key")
+    lists = inside.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    carried = nodes.select("rep", "n", "sig").join(lists, "rep")
+    inside = materialize(inside.join(carried, "rep"), "inside")
+    minor = inside.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "n", "sig", "keys")
+    others = inside.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("keys").alias("keys2"))
+    once = F.col("main") | (F.col("a") < F.col("b"))
+    could = once & (F.col("ca") != F.col("cb")) & _near_sizes(s) & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")) & (_equal("sig", "sig2") >= s.matches)
+    found = minor.join(others, (F.col("key") == F.col("key2")) & could)
+    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return materialize(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
 
 
@@ -154,7 +176,7 @@ def near_duplicates(docs: DataFrame, settings: DedupSettings = DedupSettings(),
     rows = materialize(signed(docs, s, text), "signed")
     sets = materialize(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "sets")
     nodes = rows.join(sets, (rows.h1 == sets.h1) & (rows.h2 == sets.h2) & (rows.doc_id == sets.rep), "left_semi")
-    nodes = materialize(nodes.select(F.col("doc_id").alias("rep"), "h1", "sig").dropDuplicates(["rep", "h1"]), "nodes")
+    nodes = materialize(nodes.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "h1", "sig").dropDuplicates(["rep", "h1"]), "nodes")
 
     postings = nodes.select("rep", "h1", F.explode("sig").alias("key"))
     shared = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -166,8 +188,8 @@ def near_duplicates(docs: DataFrame, settings: DedupSettings = DedupSettings(),
     met = materialize(_first_merge(prefix), "met")
     links = _confirm(met, nodes, docs, s, text)
     groups = materialize(components(links), "groups")
-    rest = _second_merge(prefix, groups, met)
-    more = _confirm(rest, nodes, docs, s, text)
+    rest = _second_merge(prefix, groups, met, nodes, s)
+    more = _confirm(rest, nodes, docs, s, text, filtered=True)
     if not more.isEmpty():
         groups = materialize(components(links.union(more)), "groups")
     discard(met, prefix, rest, nodes)
