@@ -62,14 +62,15 @@ class BlockMaxIndex:
         self.settings, self.step = s, step
         self.items = [i for i, _ in items]
         words = [word_hashes(t) for _, t in items]
-        self.parts = [tuple(np.unique(shingles(word_hashes(p), s.shingle)) for p in question_and_answer(t)) for _, t in items]
+        self.parts = [tuple(self._part(p) for p in question_and_answer(t)) for _, t in items]
         terms = np.concatenate([np.unique(w) for w in words])
         self.vocabulary, df = np.unique(terms, return_counts=True)
         idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
         mean = sum(map(len, words)) / len(words)
         self.n_blocks = -(-len(items) // s.block)
         self.bounds = np.zeros((len(self.vocabulary), self.n_blocks), np.float32)
-        self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        #: By term and block: (item, weight), in order of items.
+        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
         for i, w in enumerate(words):
             own, tf = np.unique(w, return_counts=True)
             t = np.searchsorted(self.vocabulary, own)
@@ -77,17 +78,21 @@ class BlockMaxIndex:
             weight /= weight.sum()
             self.bounds[t, i // s.block] = np.maximum(self.bounds[t, i // s.block], weight * (1 + 1e-6))
             for x, y in zip(t.tolist(), weight.tolist()):
-                self.postings[x].append((i, y))
+                self.postings[i // s.block, x].append((i, y))
+
+    def _part(self, text: str) -> tuple[int, np.ndarray]:
+        """A part's shingles, and their words: a short part is one shingle."""
+        words = word_hashes(text)
+        k = max(1, min(self.settings.shingle, len(words)))
+        return k, np.unique(shingles(words, k))
 
     def search(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
         """WAND: items of the blocks whose score reaches the threshold."""
-        least, size, found = self.settings.threshold - 1e-9, self.settings.block, []
+        least, found = self.settings.threshold - 1e-9, []
         for block in sorted(blocks):
-            cursors = []
-            for t in terms:
-                own = [p for p in self.postings[t] if p[0] // size == block]
-                if own:
-                    cursors.append([own, 0, float(self.bounds[t, block])])
+            held = self.bounds[terms, block]
+            at = np.flatnonzero(held)
+            cursors = [[self.postings[block, terms[i]], 0, b] for i, b in zip(at.tolist(), held[at].tolist())]
             while cursors:
                 cursors.sort(key=lambda c: c[0][c[1]][0])
                 bound, pivot = 0.0, None
@@ -133,11 +138,12 @@ class BlockMaxIndex:
         may = reach[:-1] >= s.threshold * 0.999
         for p in np.flatnonzero(may.any(1)).tolist():
             terms = np.unique(term[(half >= p) & (half <= p + 1)]).tolist()
-            inside = None
+            inside: dict[int, np.ndarray] = {}
             for item, score in self.search(terms, set(np.flatnonzero(may[p]).tolist())):
-                if inside is None:
-                    inside = np.unique(shingles(words[p * self.step : (p + 2) * self.step], s.shingle))
-                question, answer = (1.0 if not len(x) else float(np.isin(x, inside).mean()) for x in self.parts[item])
+                for k, _ in self.parts[item]:
+                    if k not in inside:
+                        inside[k] = np.unique(shingles(words[p * self.step : (p + 2) * self.step], k))
+                question, answer = (1.0 if not len(x) else float(np.isin(x, inside[k]).mean()) for k, x in self.parts[item])
                 if min(question, answer) >= s.overlap and (item not in out or out[item][1] < score):
                     out[item] = (p * self.step, score, question, answer)
         return {self.items[i]: v for i, v in out.items()} if len(set(self.items)) == len(self.items) else self._by_id(out)
