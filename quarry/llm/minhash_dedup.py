@@ -9,11 +9,12 @@ sets join nodes into components, and a second merge then meets only nodes of
 different components, each outside the list's largest component with all the
 others.  So a large group of near copies costs its size, not its square, and no
 pair above the threshold is skipped unless both are in one component already.
-Collisions of the merged pairs are then counted on whole signatures, and what
-is left is confirmed exactly.
+Collisions of the merged pairs are counted on whole signatures, in the second
+merge on sketches of many more coordinates with few bits each, and what is left
+is confirmed exactly.
 
 With 32 coordinates and 12 matches, a pair of similarity 0.8 falls below the
-threshold with probability 3e-8.
+threshold with probability 3e-8; the sketch's threshold is as far off.
 
 Defined results: null texts and texts without a word have an empty set, link
 with nothing and stay, as does a null doc_id; rows with the same doc_id and set are alike; ties go to
@@ -43,8 +44,18 @@ class DedupSettings:
     percent: int = 80
     coordinates: int = 32
     matches: int = 12
+    #: Coordinates of a sketch, of four bits each; a multiple of 16.
+    sketch: int = 1024
+    #: Standard deviations below the mean of a pair at the similarity.
+    margin: float = 5.4
     seed: int = 17
 
+    def most_unlike(self) -> int:
+        """Sketch coordinates that may differ."""
+        p = self.percent / 100
+        p += (1 - p) / 16
+        return int(self.sketch * (1 - p) + self.margin * (self.sketch * p * (1 - p)) ** 0.5)
+
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text, A-Z lower-cased."""
@@ -62,6 +73,40 @@ def signature(own: np.ndarray, add: np.ndarray, times: np.ndarray) -> np.ndarray
     return mix(low + add)  # values of different coordinates differ
 
 
+def sketch(own: np.ndarray, add: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Four bits of the smallest value of each coordinate's 32-bit hash, 16 to a word."""
+    low = np.full(len(add), np.uint32(2**32 - 1))
+    own = (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(own), 512):
+        h = (own[None, at : at + 512] + add[:, None]) * times[:, None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+        low = np.minimum(low, h.min(1))
+    low ^= low >> np.uint32(16)
+    low *= np.uint32(0x7FEB352D)
+    low ^= low >> np.uint32(15)
+    low *= np.uint32(0x846CA68B)
+    bits = (low >> np.uint32(28)).astype(np.uint64).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    return np.bitwise_or.reduce(bits, 1)
+
+
+def _sketched(docs: DataFrame, reps: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+    """rep, set size and sketch of the nodes in ``reps``, made from their texts."""
+    rng = np.random.default_rng(s.seed + 1)
+    add = rng.integers(0, 2**32, s.sketch, dtype=np.uint32)
+    times = rng.integers(0, 2**32, s.sketch, dtype=np.uint32) | np.uint32(1)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, s.shingle) for t in b.column(1).to_pylist()]
+            found = [sketch(own, add, times).view(np.int64) for own in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "n", "sketch"])
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    return rows.join(reps, "rep", "left_semi").mapInArrow(draw, "rep long, n long, sketch array<long>").dropDuplicates()
+
+
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
 
@@ -141,17 +186,30 @@ def _equal(one: str, two: str) -> Column:
     return F.size(F.filter(F.zip_with(one, two, lambda x, y: x == y), lambda z: z))
 
 
+def _unlike(one: str, two: str) -> Column:
+    """How many four-bit coordinates of two sketches differ."""
+
+    def bits(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(one, two, bits), F.lit(0), lambda x, y: x + y)
+
+
 def _near_sizes(s: DedupSettings) -> Column:
     """Whether two sets are near enough in size to reach the similarity."""
     return (100 * F.col("n") >= s.percent * F.col("n2")) & (100 * F.col("n2") >= s.percent * F.col("n"))
 
 
-def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, nodes: DataFrame, s: DedupSettings) -> DataFrame:
+def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, docs: DataFrame, s: DedupSettings, text: str) -> DataFrame:
     """Pairs of nodes of different components, not yet met, that could reach the similarity.
 
-    Sizes and signatures are compared while lists are merged, and a pair comes
+    Sizes and sketches are compared while lists are merged, and a pair comes
     only from the first list that both prefixes hold, so what leaves the merge
-    is each pair that must be confirmed, once.
+    is each pair that must be confirmed, once.  Sketches are made only for the
+    nodes in lists of several components.
     """
     placed = prefix.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "placed")
@@ -159,12 +217,12 @@ def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, nodes: D
     mixed = materialize(sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("groups > 1").select("key", "largest"), "mixed")
     inside = placed.join(mixed, "key")
     lists = inside.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    carried = nodes.select("rep", "n", "sig").join(lists, "rep")
+    carried = lists.join(materialize(_sketched(docs, lists.select("rep"), s, text), "sketches"), "rep")
     inside = materialize(inside.join(carried, "rep"), "inside")
-    minor = inside.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "n", "sig", "keys")
-    others = inside.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("keys").alias("keys2"))
+    minor = inside.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "n", "sketch", "keys")
+    others = inside.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("keys").alias("keys2"))
     once = F.col("main") | (F.col("a") < F.col("b"))
-    could = once & (F.col("ca") != F.col("cb")) & _near_sizes(s) & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")) & (_equal("sig", "sig2") >= s.matches)
+    could = once & (F.col("ca") != F.col("cb")) & _near_sizes(s) & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")) & (_unlike("sketch", "sketch2") <= s.most_unlike())
     found = minor.join(others, (F.col("key") == F.col("key2")) & could)
     pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return materialize(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
@@ -188,7 +246,7 @@ def near_duplicates(docs: DataFrame, settings: DedupSettings = DedupSettings(),
     met = materialize(_first_merge(prefix), "met")
     links = _confirm(met, nodes, docs, s, text)
     groups = materialize(components(links), "groups")
-    rest = _second_merge(prefix, groups, met, nodes, s)
+    rest = _second_merge(prefix, groups, met, docs, s, text)
     more = _confirm(rest, nodes, docs, s, text, filtered=True)
     if not more.isEmpty():
         groups = materialize(components(links.union(more)), "groups")
