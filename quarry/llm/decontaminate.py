@@ -44,7 +44,7 @@ class LeakSettings:
     overlap: float = 0.8
     k1: float = 1.2
     b: float = 0.75
-    block: int = 8
+    block: int = 4
     least_words: int = 64
     #: Characters of test items in one broadcast index.
     shard_chars: int = 20_000_000
