@@ -19,6 +19,15 @@ def shingle_set(text: str | None, k: int) -> set:
     return {tuple(w)} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
+def repeats(rows: list[tuple[int, list[str]]], n: int) -> list[dict[int, int]]:
+    """For each run of n words in two or more texts: doc_id to its first place."""
+    at: dict[tuple, dict[int, int]] = defaultdict(dict)
+    for d, w in rows:
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].setdefault(d, i)
+    return [m for m in at.values() if len(m) > 1]
+
+
 def near_duplicate_components(rows: list[tuple[int, str | None]], k: int, percent: int = 80) -> dict[int, tuple[int, int]]:
     """doc_id to (set size, component), by all pairs that share a shingle."""
     sets = {d: shingle_set(t, k) for d, t in rows}

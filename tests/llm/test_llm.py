@@ -208,6 +208,31 @@ def test_repeated_passages(spark):
     assert {(r.start, r.end) for r in out if r.doc_id == 1} == {(80, 140)}
 
 
+def test_exact_passages_are_found_beside_near_copies(spark):
+    """Every run of 50 words that two texts share is in spans that link them."""
+    rng = np.random.default_rng(31)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    data = []
+    for k in range(30):
+        copy, at = word(300), 120
+        first = list(copy)
+        for j in rng.choice(60, 2 + k % 2, replace=False):
+            first[at + int(j)] = "changed"
+        data += [(10 * k, first), (10 * k + 1, copy), (10 * k + 2, [*word(40), *copy[at : at + 60], *word(40)])]
+        x, y = word(60), word(60)
+        data += [(10 * k + 3, [*x, *word(50)]), (10 * k + 4, [*x, *y]), (10 * k + 5, [*word(30), *y]), (10 * k + 6, [*word(20), *y[:55], *word(9)])]
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string"))
+    spans = [r for r in out.collect() if r.kind == "passage"]
+    runs = brute.repeats(data, 50)
+    assert {(10 * k + 1, 10 * k + 2) for k in range(30)} <= {p for m in runs for p in zip(sorted(m), sorted(m)[1:])}
+    for places in runs:
+        covers = [(r.doc_id, r.other_id) for r in spans if r.doc_id in places and r.other_id in places and r.start <= places[r.doc_id] + 4 and places[r.doc_id] + 46 <= r.end and r.other_start <= places[r.other_id] + 4 and places[r.other_id] + 46 <= r.other_end]
+        met = {min(places)}
+        for _ in places:
+            met |= {b for a, b in covers if a in met}
+        assert met == set(places), (places, covers)
+
+
 def slow_secrets(text):
     found = []
     key = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
