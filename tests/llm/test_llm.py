@@ -233,6 +233,15 @@ def test_exact_passages_are_found_beside_near_copies(spark):
         assert met == set(places), (places, covers)
 
 
+def test_passage_twice_in_the_first_text(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
+    shared = word(60)
+    data = [(1, f"{word(20)} {shared} {word(30)} {shared}"), (2, f"{word(10)} {shared}"), (3, f"{shared} {word(25)}")]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r.start, r.end) for r in out if r.doc_id == 1} == {(20, 80), (110, 170)}
+
+
 def slow_secrets(text):
     found = []
     key = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
