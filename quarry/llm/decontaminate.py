@@ -6,8 +6,10 @@ BM25 divided by the item's score with itself, so that one threshold fits all
 items.  Bounds of blocks of items are added up for all passages of a document
 at once, and only blocks that can reach the threshold are searched by WAND,
 whose pivots skip items that cannot.  All items at or above the threshold are
-retrieved; an item is a leak where the shingles of its question and of its
-answer are in the passage.  Nothing is shuffled.
+retrieved; an item is a leak where the shingles of its question, or of the whole
+item, are in the passage and its answer too: as shingles, or as words in order
+next to the question.  Case and signs at the edges of words do not count.
+Nothing is shuffled.
 
 Items are indexed by length class, with passages of twice the class's length
 and half that as the step, so an item lies whole in some passage wherever it
@@ -40,7 +42,7 @@ class LeakSettings:
     #: Share of an item's own BM25 score that a passage must reach.
     threshold: float = 0.5
     shingle: int = 5
-    #: Share of the question's, and of the answer's, shingles in the passage.
+    #: Share of the question's or whole item's shingles, and of the answer.
     overlap: float = 0.8
     k1: float = 1.2
     b: float = 0.75
@@ -55,14 +57,30 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (text[: cuts[-1].end()], text[cuts[-1].end() :]) if cuts else (text, "")
 
 
+def _words(text: str | None) -> np.ndarray:
+    """Without case, of any letters, and without signs at the edges."""
+    return word_hashes((text or "").lower(), strip=True)
+
+
+def in_order(answer: np.ndarray, words: np.ndarray) -> float:
+    """Share of the answer's words that stand in the words in order."""
+    best = np.zeros(len(words) + 1, np.int64)
+    for a in answer:
+        best[1:] = np.maximum(best[1:], (best[:-1] + 1) * (words == a))
+        best = np.maximum.accumulate(best)
+    return int(best[-1]) / len(answer)
+
+
 class BlockMaxIndex:
     """Postings of items by term, with the largest weight of each block."""
 
     def __init__(self, items: list[tuple[int, str]], s: LeakSettings, step: int):
         self.settings, self.step = s, step
         self.items = [i for i, _ in items]
-        words = [word_hashes(t) for _, t in items]
-        self.parts = [tuple(self._part(p) for p in question_and_answer(t)) for _, t in items]
+        words = [_words(t) for _, t in items]
+        #: Question, answer and whole item.
+        self.parts = [tuple(self._part(_words(p)) for p in (*question_and_answer(t), t)) for _, t in items]
+        self.answers = [_words(question_and_answer(t)[1]) for _, t in items]
         terms = np.concatenate([np.unique(w) for w in words])
         self.vocabulary, df = np.unique(terms, return_counts=True)
         idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
@@ -80,11 +98,21 @@ class BlockMaxIndex:
             for x, y in zip(t.tolist(), weight.tolist()):
                 self.postings[i // s.block, x].append((i, y))
 
-    def _part(self, text: str) -> tuple[int, np.ndarray]:
-        """A part's shingles, and their words: a short part is one shingle."""
-        words = word_hashes(text)
+    def _part(self, words: np.ndarray) -> tuple[int, np.ndarray]:
+        """A part's shingles in order, and their words: a short part is one."""
         k = max(1, min(self.settings.shingle, len(words)))
-        return k, np.unique(shingles(words, k))
+        return k, shingles(words, k)
+
+    def _beside(self, item: int, words: np.ndarray, at: int) -> float:
+        """Share of the answer in order after the last of the question there."""
+        answer, (k, question) = self.answers[item], self.parts[item][0]
+        passage = shingles(words[at : at + 2 * self.step], k)
+        there = np.flatnonzero(np.isin(question, passage)) if len(words) - at >= k else []
+        if not len(answer) or not len(there):
+            return 0.0
+        left = len(question) - 1 - int(there[-1]) + 2 * len(answer) + 8
+        ends = np.flatnonzero(passage == question[there[-1]]) + at + k
+        return max(in_order(answer, words[e : e + left]) for e in ends.tolist())
 
     def search(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
         """WAND: items of the blocks whose score reaches the threshold."""
@@ -143,8 +171,10 @@ class BlockMaxIndex:
                 for k, _ in self.parts[item]:
                     if k not in inside:
                         inside[k] = np.unique(shingles(words[p * self.step : (p + 2) * self.step], k))
-                question, answer = (1.0 if not len(x) else float(np.isin(x, inside[k]).mean()) for k, x in self.parts[item])
-                if min(question, answer) >= s.overlap and (item not in out or out[item][1] < score):
+                question, answer, whole = (1.0 if not len(x) else float(np.isin(np.unique(x), inside[k]).mean()) for k, x in self.parts[item])
+                if max(question, whole) >= s.overlap > answer:
+                    answer = max(answer, self._beside(item, words, p * self.step))
+                if min(max(question, whole), answer) >= s.overlap and (item not in out or out[item][1] < score):
                     out[item] = (p * self.step, score, question, answer)
         return {self.items[i]: v for i, v in out.items()} if len(set(self.items)) == len(self.items) else self._by_id(out)
 
@@ -160,7 +190,7 @@ def build(items: list[tuple[int, str]], s: LeakSettings = LeakSettings()) -> lis
     """One index for each length class of items."""
     classes = defaultdict(list)
     for i, t in sorted((i, t) for i, t in items if t):
-        n, step = len(word_hashes(t)), s.least_words
+        n, step = len(_words(t)), s.least_words
         while step < n:
             step *= 2
         if n:
@@ -195,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSe
             for b in batches:
                 out = []
                 for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = word_hashes(t)
+                    words = _words(t)
                     for own in shared.value:
                         out += [(doc_id, item, *v) for item, v in own.hits(words).items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(_HITS), _HITS)], schema=_HITS)
@@ -213,7 +243,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSe
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                words = (word_hashes(t) for t in b.column(at).to_pylist())
+                words = (_words(t) for t in b.column(at).to_pylist())
                 yield b.filter(pa.array([not any(own.hits(w) for own in shared.value) for w in words], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

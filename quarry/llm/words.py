@@ -18,6 +18,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_IS_SIGN = np.zeros(256, bool)
+_IS_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -43,16 +45,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
+def word_hashes(text: str | None, lower: bool = True, strip: bool = False) -> np.ndarray:
     """One 64-bit hash for each word of a text; empty for null."""
-    return word_spans(text, lower)[0]
+    return word_spans(text, lower, strip)[0]
 
 
-def word_spans(text: str | None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _signs(raw: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII signs and of the Latin-1, general and CJK punctuation."""
+    out = _IS_SIGN[raw]
+    if len(raw) > 2:
+        a, b = raw[:-2], raw[1:-1]
+        three = np.flatnonzero((a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80))
+        out[three] = out[three + 1] = out[three + 2] = True
+    two = np.flatnonzero(raw[:-1] == 0xC2)
+    out[two] = out[two + 1] = True
+    return out
+
+
+def word_spans(text: str | None, lower: bool = True, strip: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first bytes and end bytes of the words of a text.
 
     Hashes are polynomial prefix sums over random byte values, so the work is
     vectorized; equal words have equal hashes, and only ASCII case is folded.
+    ``strip`` leaves out signs at the edges of words that are not all signs.
     """
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     none = np.zeros(0, np.int64)
@@ -65,6 +80,12 @@ def word_spans(text: str | None, lower: bool = True) -> tuple[np.ndarray, np.nda
     first, end = edges[::2], edges[1::2]
     if not len(first):
         return none.astype(np.uint64), none, none
+    if strip:
+        kept = np.flatnonzero(~(_signs(raw) | ~inside[1:-1]))
+        if len(kept):
+            at, to = np.searchsorted(kept, first), np.searchsorted(kept, end)
+            some = to > at
+            first[some], end[some] = kept[at[some]], kept[to[some] - 1] + 1
     out = np.empty(len(first), np.uint64)
     # In blocks, so that the power tables stay small for very long texts.
     block = 1 << 20

@@ -110,6 +110,16 @@ def test_leaks_are_all_found_and_nothing_else(spark, docs, rows):
         assert len(a & b) >= 0.7 * len(b)
 
 
+def test_signs_at_words_do_not_hide_leaks(spark):
+    around = " ".join(f"z{i}" for i in range(70))
+    item = "What did the seven sailors carry over the frozen river in spring? Bread and salt for été."
+    texts = [item.replace("été.", "été.&&&"), item.replace("salt for été.", "“salt for été”"), item.replace("seven", "(seven)").upper().replace("ÉTÉ.", "ÉTÉ.!!"), item.replace("Bread and salt for été.", "They came home."), item.replace("salt for", "salt &&& for")]
+    docs = spark.createDataFrame([(i, f"{around} {t} {around}") for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "Why is the sky over the northern harbour so often grey? Rain.")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(i, 1) for i in (0, 1, 2, 4)}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
 def test_wand_finds_what_a_full_scan_finds():
     rng = np.random.default_rng(4)
     items = [(i, " ".join(f"w{j}" for j in rng.zipf(1.3, 30) % 200)) for i in range(90)]
