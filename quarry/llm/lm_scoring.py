@@ -3,10 +3,10 @@
 Every word is predicted from the words on both sides of it; a document's score
 is the sum of the log-probabilities.  The vocabulary comes from counts of all
 words of the corpus (the most frequent have their own id, the rest share
-hashed ids).  Training goes in rounds: in each, every partition improves a copy
-of the network on its share of documents, and the copies are averaged with the
-words they saw as weights; what is gathered grows with the corpus, while the
-network has a fixed size.  The output is a two-level softmax (a class, then an
+hashed ids); it grows with the square root of the corpus.  Training goes in
+rounds, each on its share of the documents, so that every document trains once:
+every partition improves a copy of the network, and the copies are averaged with
+the words they saw as weights.  The output is a two-level softmax (a class, then an
 id of the class), classes being runs of ids by frequency.
 
 Defined results: a null or empty text has no words, score 0 and no mean;
@@ -16,29 +16,30 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, materialize
+from .storage import bounded_batches, discard, materialize
 from .words import word_hashes
 
 
 @dataclass(frozen=True)
 class LmSettings:
+    #: Words with their own id, at least; more in a large corpus.
     frequent: int = 768
     hashed: int = 256
     class_size: int = 32
     side: int = 3
     width: int = 12
     hidden: int = 32
+    #: Each document trains in one of them.
     rounds: int = 2
-    #: In each round one document of so many trains.
-    train_one_in: int = 12
     batch: int = 4096
     rate: float = 4e-3
 
@@ -140,19 +141,28 @@ def _rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def corpus_vocabulary(docs: DataFrame, s: LmSettings = LmSettings(), text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent words of all texts, and their ranks."""
+def fitted(s: LmSettings, words: int, distinct: int) -> LmSettings:
+    """Own ids for the square root of the corpus's words, in whole classes."""
+    wanted = min(math.isqrt(words), distinct)
+    return replace(s, frequent=max(s.frequent, -(-wanted // s.class_size) * s.class_size))
+
+
+def corpus_vocabulary(docs: DataFrame, settings: LmSettings = LmSettings(), text: str = "text") -> tuple[LmSettings, tuple[np.ndarray, np.ndarray]]:
+    """Settings that fit the corpus; sorted hashes of its most frequent words, and their ranks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes, n = np.unique(np.concatenate([word_hashes(t) for t in b.column(1).to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    counted = _rows(docs, text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = materialize(_rows(docs, text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    s = fitted(settings, words, distinct)
     top = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(s.frequent).collect()]
+    discard(counted)
     hashes = np.array(top, np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], order.astype(np.int64)
+    return s, (hashes[order], order.astype(np.int64))
 
 
 def _improve(net: Network, texts: list[np.ndarray], state: list) -> int:
@@ -189,7 +199,7 @@ def train(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], s: LmSetti
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([own.flat.astype(np.float64) * seen], pa.list_(pa.float64())), pa.array([seen], pa.int64())], names=["weights", "seen"])
 
-        drawn = _rows(docs, text).where(F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(s.train_one_in)) == r)
+        drawn = _rows(docs, text).where(F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(s.rounds)) == r)
         copies = materialize(drawn.mapInArrow(local, "weights array<double>, seen long"), "copies")
         total = copies.agg(F.sum("seen")).first()[0]
         if total:
@@ -236,5 +246,5 @@ def score(docs: DataFrame, net: Network, vocabulary: tuple[np.ndarray, np.ndarra
 
 def pseudo_likelihood_scores(docs: DataFrame, settings: LmSettings = LmSettings(), text: str = "text") -> DataFrame:
     """Count, train and score a corpus."""
-    vocabulary = corpus_vocabulary(docs, settings, text)
-    return score(docs, train(docs, vocabulary, settings, text), vocabulary, text)
+    s, vocabulary = corpus_vocabulary(docs, settings, text)
+    return score(docs, train(docs, vocabulary, s, text), vocabulary, text)

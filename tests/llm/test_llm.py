@@ -157,6 +157,18 @@ def test_pseudo_likelihood_sums_every_word():
     assert g[at] == pytest.approx((high - loss()) / 2e-4, abs=1e-4)
 
 
+def test_every_document_trains_the_network(spark):
+    s, none = lm_scoring.LmSettings(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    text = "the cat sat on the mat " * 20
+    ids = [lm_scoring.word_ids(text, *none, s)]
+    for i in range(4):
+        net = lm_scoring.train(spark.createDataFrame([(i, text)], "doc_id long, text string"), none, s)
+        assert lm_scoring.pseudo_likelihoods(net, ids)[0] > lm_scoring.pseudo_likelihoods(lm_scoring.Network(s), ids)[0] + 1
+    s = lm_scoring.fitted(lm_scoring.LmSettings(), 100_000_000, 5_000_000)
+    assert s.frequent >= 10_000 and s.ids % s.class_size == 0
+    assert lm_scoring.fitted(lm_scoring.LmSettings(), 1000, 300) == lm_scoring.LmSettings()
+
+
 def slow_ids(text):
     from tokenizers import Tokenizer
 
