@@ -3,8 +3,8 @@
 The test items are the indexed side, in shards of bounded size that are
 broadcast; every passage of every training document is a query.  Scores are
 BM25 divided by the item's score with itself, so that one threshold fits all
-items.  Bounds of blocks of items are added up for all passages of a document
-at once, and only blocks that can reach the threshold are searched by WAND,
+items.  Bounds of blocks of items (sparse, by term) are added up for many
+passages of a document at once, and only blocks that can reach the threshold are searched by WAND,
 whose pivots skip items that cannot.  All items at or above the threshold are
 retrieved; an item is a leak where the shingles of its question, or of the whole
 item, are in the passage and its answer too: as shingles, or as words in order
@@ -48,8 +48,10 @@ class LeakSettings:
     b: float = 0.75
     block: int = 4
     least_words: int = 64
-    #: Characters of test items in one broadcast index.
-    shard_chars: int = 20_000_000
+    #: Characters of test items in one broadcast index, whose arrays have about 20 bytes for each.
+    shard_chars: int = 8_000_000
+    #: Cells (halves of passages x blocks) of which bounds are added up at once.
+    cells: int = 1 << 20
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -72,7 +74,11 @@ def in_order(answer: np.ndarray, words: np.ndarray) -> float:
 
 
 class BlockMaxIndex:
-    """Postings of items by term, with the largest weight of each block."""
+    """Postings of items by term and block, with the largest weight of each.
+
+    All are sparse sorted arrays: entries (a term in a block) by term, then
+    block; postings by entry, then item.
+    """
 
     def __init__(self, items: list[tuple[int, str]], s: LeakSettings, step: int):
         self.settings, self.step = s, step
@@ -81,22 +87,53 @@ class BlockMaxIndex:
         #: Question, answer and whole item.
         self.parts = [tuple(self._part(_words(p)) for p in (*question_and_answer(t), t)) for _, t in items]
         self.answers = [_words(question_and_answer(t)[1]) for _, t in items]
-        terms = np.concatenate([np.unique(w) for w in words])
-        self.vocabulary, df = np.unique(terms, return_counts=True)
+        own = [np.unique(w, return_counts=True) for w in words]
+        self.vocabulary, df = np.unique(np.concatenate([u for u, _ in own]), return_counts=True)
         idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
         mean = sum(map(len, words)) / len(words)
         self.n_blocks = -(-len(items) // s.block)
-        self.bounds = np.zeros((len(self.vocabulary), self.n_blocks), np.float32)
-        #: By term and block: (item, weight), in order of items.
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
-        for i, w in enumerate(words):
-            own, tf = np.unique(w, return_counts=True)
-            t = np.searchsorted(self.vocabulary, own)
-            weight = idf[t] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(w) / mean))
-            weight /= weight.sum()
-            self.bounds[t, i // s.block] = np.maximum(self.bounds[t, i // s.block], weight * (1 + 1e-6))
-            for x, y in zip(t.tolist(), weight.tolist()):
-                self.postings[i // s.block, x].append((i, y))
+        weights = []
+        for (u, tf), w in zip(own, words):
+            weight = idf[np.searchsorted(self.vocabulary, u)] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(w) / mean))
+            weights.append(weight / weight.sum())
+        term = np.searchsorted(self.vocabulary, np.concatenate([u for u, _ in own]))
+        item = np.repeat(np.arange(len(items)), [len(u) for u, _ in own])
+        order = np.lexsort((item, term))
+        term, self.item, self.weight = term[order], item[order].astype(np.int32), np.concatenate(weights)[order]
+        key = term * self.n_blocks + self.item // s.block
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        #: Of each entry: term and block as one number, largest weight, and first posting (and the end of the last).
+        self.key, self.start = key[start], np.append(start, len(key))
+        self.bound = np.maximum.reduceat(self.weight, start) * (1 + 1e-6)
+        #: First entry of each term (and the end of the last).
+        self.of_term = np.searchsorted(self.key, np.arange(len(self.vocabulary) + 1) * self.n_blocks)
+
+    def postings(self, entry: int) -> list[tuple[int, float]]:
+        own = slice(self.start[entry], self.start[entry + 1])
+        return list(zip(self.item[own].tolist(), self.weight[own].tolist()))
+
+    def entries(self, terms: np.ndarray, block: int) -> np.ndarray:
+        """Entries of the terms that are in a block."""
+        wanted = terms * self.n_blocks + block
+        at = np.searchsorted(self.key, wanted)
+        at[at == len(self.key)] = 0
+        return at[self.key[at] == wanted]
+
+    def reached(self, half: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Passages (two halves each) and the blocks whose bounds reach the threshold there."""
+        n = int(half[-1]) + 1
+        step = max(1, self.settings.cells // self.n_blocks)
+        counts = self.of_term[term + 1] - self.of_term[term]
+        for p in range(0, n, step):
+            x, y = np.searchsorted(half, [p, p + step + 1])  # one half more
+            size = counts[x:y]
+            of = np.repeat(np.arange(x, y), size)
+            entry = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + self.of_term[term[of]]
+            cell = (half[of] - p) * self.n_blocks + self.key[entry] % self.n_blocks
+            sums = np.bincount(cell, self.bound[entry], (step + 1) * self.n_blocks if n > step else (n - p + 1) * self.n_blocks).reshape(-1, self.n_blocks)
+            may = sums[:-1] + sums[1:] >= self.settings.threshold * 0.999
+            for k in np.flatnonzero(may.any(1)).tolist():
+                yield p + k, np.flatnonzero(may[k])
 
     def _part(self, words: np.ndarray) -> tuple[int, np.ndarray]:
         """A part's shingles in order, and their words: a short part is one."""
@@ -114,13 +151,11 @@ class BlockMaxIndex:
         ends = np.flatnonzero(passage == question[there[-1]]) + at + k
         return max(in_order(answer, words[e : e + left]) for e in ends.tolist())
 
-    def search(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
+    def search(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
         """WAND: items of the blocks whose score reaches the threshold."""
         least, found = self.settings.threshold - 1e-9, []
-        for block in sorted(blocks):
-            held = self.bounds[terms, block]
-            at = np.flatnonzero(held)
-            cursors = [[self.postings[block, terms[i]], 0, b] for i, b in zip(at.tolist(), held[at].tolist())]
+        for block in blocks.tolist():
+            cursors = [[self.postings(e), 0, float(self.bound[e])] for e in self.entries(terms, block).tolist()]
             while cursors:
                 cursors.sort(key=lambda c: c[0][c[1]][0])
                 bound, pivot = 0.0, None
@@ -158,16 +193,10 @@ class BlockMaxIndex:
         n = len(self.vocabulary)
         pairs = np.unique((where // self.step) * n + at[where])
         half, term = pairs // n, pairs % n
-        first = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1])))
-        reach = np.zeros((int(half[-1]) + 2, self.n_blocks), np.float32)
-        for x in range(0, self.n_blocks, 512):  # bounds of many items in slices
-            reach[half[first], x : x + 512] = np.add.reduceat(self.bounds[term, x : x + 512], first)
-        reach[:-1] += reach[1:].copy()
-        may = reach[:-1] >= s.threshold * 0.999
-        for p in np.flatnonzero(may.any(1)).tolist():
-            terms = np.unique(term[(half >= p) & (half <= p + 1)]).tolist()
+        for p, blocks in self.reached(half, term):
+            terms = np.unique(term[np.searchsorted(half, p) : np.searchsorted(half, p + 2)])
             inside: dict[int, np.ndarray] = {}
-            for item, score in self.search(terms, set(np.flatnonzero(may[p]).tolist())):
+            for item, score in self.search(terms, blocks):
                 for k, _ in self.parts[item]:
                     if k not in inside:
                         inside[k] = np.unique(shingles(words[p * self.step : (p + 2) * self.step], k))

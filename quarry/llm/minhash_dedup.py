@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Documents with the same shingle set are one node.  Every node is posted under
+Texts with the same shingle set are one node, whatever their ids.  Every node is posted under
 each of its signature's coordinate-value pairs; a pair of documents above the
 match threshold shares at least one of the rarest (coordinates - matches + 1)
 pairs of both, so only that prefix, in order of frequency, is merged.  Within a
@@ -17,9 +17,9 @@ With 32 coordinates and 12 matches, a pair of similarity 0.8 falls below the
 threshold with probability 3e-8; the sketch's threshold is as far off.
 
 Defined results: null texts and texts without a word have an empty set, link
-with nothing and stay, as does a null doc_id; rows with the same doc_id and set are alike; ties go to
-the smallest doc_id; an empty table gives an empty result; other columns are
-ignored.
+with nothing and stay, as do rows without a doc_id; different texts under one
+doc_id are judged each; ties go to the smallest doc_id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,7 +90,20 @@ def sketch(own: np.ndarray, add: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, 1)
 
 
-def _sketched(docs: DataFrame, reps: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, the hash of the text, and the text."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
+def _node_texts(docs: DataFrame, places: DataFrame, reps: DataFrame, text: str) -> DataFrame:
+    """rep and text of the nodes in ``reps``; ``places`` has each node's first row."""
+    wanted = places.join(reps, "rep", "left_semi").select("rep", F.col("doc").alias("doc_id"), "th")
+    return _texts(docs, text).join(wanted, ["doc_id", "th"]).select("rep", "text")
+
+
+def _sketched(docs: DataFrame, places: DataFrame, reps: DataFrame, s: DedupSettings, text: str) -> DataFrame:
     """rep, set size and sketch of the nodes in ``reps``, made from their texts."""
     rng = np.random.default_rng(s.seed + 1)
     add = rng.integers(0, 2**32, s.sketch, dtype=np.uint32)
@@ -102,16 +115,14 @@ def _sketched(docs: DataFrame, reps: DataFrame, s: DedupSettings, text: str) ->
             found = [sketch(own, add, times).view(np.int64) for own in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "n", "sketch"])
 
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    return rows.join(reps, "rep", "left_semi").mapInArrow(draw, "rep long, n long, sketch array<long>").dropDuplicates()
+    return _node_texts(docs, places, reps, text).mapInArrow(draw, "rep long, n long, sketch array<long>").dropDuplicates(["rep"])
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
 
 def signed(docs: DataFrame, s: DedupSettings, text: str = "text") -> DataFrame:
-    """Set size, set hash and signature of each document."""
+    """Text hash, set size, set hash and signature of each row."""
     rng = np.random.default_rng(s.seed)
     add = rng.integers(0, 2**64, s.coordinates, dtype=np.uint64)
     times = rng.integers(0, 2**64, s.coordinates, dtype=np.uint64) | np.uint64(1)
@@ -120,21 +131,19 @@ def signed(docs: DataFrame, s: DedupSettings, text: str = "text") -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, h1, h2, sigs = [], [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 own = shingle_set(t, s.shingle)
                 sizes.append(len(own))
                 h1.append(mix(own ^ one).sum(dtype=np.uint64))
                 h2.append(mix(own + two).sum(dtype=np.uint64))
                 sigs.append(signature(own, add, times).view(np.int64) if len(own) else None)
             hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *hashes, pa.array(sigs, pa.list_(pa.int64()))], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *hashes, pa.array(sigs, pa.list_(pa.int64()))], schema=_SIGNED)
 
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>")
+    return _texts(docs, text).mapInArrow(sign, "doc_id long, th long, n_shingles long, h1 long, h2 long, sig array<long>")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: DedupSettings, text: str, filtered: bool = False) -> DataFrame:
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str, filtered: bool = False) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
     Sizes and signatures first (unless that is done): pairs that are too far
@@ -146,16 +155,14 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: DedupSettin
         other = nodes.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
         close = pairs.join(own, "a").join(other, "b").where(_near_sizes(s) & (_equal("sig", "sig2") >= s.matches)).select("a", "b")
         close = materialize(close.distinct(), "close")
-    needed = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
+    needed = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [shingle_set(t, s.shingle).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["doc_id", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["rep", "own"])
 
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = rows.join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, own binary")
+    own = _node_texts(docs, places, needed, text).mapInArrow(sets, "rep long, own binary").dropDuplicates(["rep"])
     own = materialize(own, "sets", compression="none")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +177,11 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: DedupSettin
                 keep.append(shared > 0 and 100 * shared >= s.percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = close.join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a")
+    both = close.join(own.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b").join(own.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a")
     linked = materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
     discard(own)
+    if not filtered:
+        discard(close)
     return linked
 
 
@@ -203,7 +212,7 @@ def _near_sizes(s: DedupSettings) -> Column:
     return (100 * F.col("n") >= s.percent * F.col("n2")) & (100 * F.col("n2") >= s.percent * F.col("n"))
 
 
-def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, docs: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str) -> DataFrame:
     """Pairs of nodes of different components, not yet met, that could reach the similarity.
 
     Sizes and sketches are compared while lists are merged, and a pair comes
@@ -217,57 +226,83 @@ def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, docs: Da
     mixed = materialize(sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("groups > 1").select("key", "largest"), "mixed")
     inside = placed.join(mixed, "key")
     lists = inside.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    carried = lists.join(materialize(_sketched(docs, lists.select("rep"), s, text), "sketches"), "rep")
-    inside = materialize(inside.join(carried, "rep"), "inside")
+    drawn = materialize(_sketched(docs, places, lists.select("rep"), s, text), "sketches")
+    inside = materialize(inside.join(lists.join(drawn, "rep"), "rep"), "inside")
     minor = inside.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "n", "sketch", "keys")
     others = inside.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("keys").alias("keys2"))
     once = F.col("main") | (F.col("a") < F.col("b"))
     could = once & (F.col("ca") != F.col("cb")) & _near_sizes(s) & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")) & (_unlike("sketch", "sketch2") <= s.most_unlike())
     found = minor.join(others, (F.col("key") == F.col("key2")) & could)
     pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return materialize(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
+    discard(placed, mixed, drawn, inside)
+    return pairs
 
 
-def near_duplicates(docs: DataFrame, settings: DedupSettings = DedupSettings(), text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
-    s = settings
+def _judged(docs: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+    """doc_id, th, n_shingles and the component's first row (doc_id and th) for every row."""
     rows = materialize(signed(docs, s, text), "signed")
-    sets = materialize(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "sets")
-    nodes = rows.join(sets, (rows.h1 == sets.h1) & (rows.h2 == sets.h2) & (rows.doc_id == sets.rep), "left_semi")
-    nodes = materialize(nodes.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "h1", "sig").dropDuplicates(["rep", "h1"]), "nodes")
+    first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("at"))
+    sets = materialize(first.select("h1", "h2", F.col("at.doc_id").alias("doc"), F.col("at.th").alias("th"), F.monotonically_increasing_id().alias("rep")), "sets")
+    own = rows.join(sets.withColumnRenamed("doc", "doc_id"), ["h1", "h2", "doc_id", "th"])
+    nodes = materialize(own.select("rep", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep"]), "nodes")
 
-    postings = nodes.select("rep", "h1", F.explode("sig").alias("key"))
+    postings = nodes.select("rep", F.explode("sig").alias("key"))
     shared = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    own = Window.partitionBy("rep", "h1")
-    ranked = postings.join(shared, "key").select("key", "rep", F.row_number().over(own.orderBy("n", "key")).alias("place"), F.count("*").over(own).alias("held"))
+    by_rep = Window.partitionBy("rep")
+    ranked = postings.join(shared, "key").select("key", "rep", F.row_number().over(by_rep.orderBy("n", "key")).alias("place"), F.count("*").over(by_rep).alias("held"))
     prefix = materialize(ranked.where(f"place <= held - {s.matches - 1}").select("key", "rep").distinct(), "prefix")
     discard(shared)
 
+    places = sets.select("rep", "doc", "th")
     met = materialize(_first_merge(prefix), "met")
-    links = _confirm(met, nodes, docs, s, text)
+    links = _confirm(met, nodes, docs, places, s, text)
     groups = materialize(components(links), "groups")
-    rest = _second_merge(prefix, groups, met, docs, s, text)
-    more = _confirm(rest, nodes, docs, s, text, filtered=True)
+    rest = _second_merge(prefix, groups, met, docs, places, s, text)
+    more = _confirm(rest, nodes, docs, places, s, text, filtered=True)
     if not more.isEmpty():
-        groups = materialize(components(links.union(more)), "groups")
-    discard(met, prefix, rest, nodes)
-
-    placed = sets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+        old, groups = groups, materialize(components(links.union(more)), "groups")
+        discard(old)
+    discard(met, prefix, rest, nodes, links, more)
+
+    linked = groups.select(F.col("node").alias("rep"), "component").join(places, "rep")
+    firsts = linked.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("first"))
+    of_rep = linked.join(firsts, "component").select("rep", "first")
+    alone = F.struct("doc", "th")
+    placed = sets.join(of_rep, "rep", "left").select("h1", "h2", F.coalesce("first", alone).alias("first"))
     placed = materialize(placed, "placed")
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = rows.select("doc_id", "th", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "th", "n_shingles", F.when(linkable, F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, settings: DedupSettings = DedupSettings(), text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row."""
+    component = F.coalesce("first.doc", "doc_id")
+    return _judged(docs, settings, text).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, settings: DedupSettings = DedupSettings(), text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component.
+    """The rows of ``docs`` that stay: one text of each component.
 
-    Repeated rows (same doc_id and text) are one document.  Only the ids that go
-    are joined, so a plan with few duplicates moves little else.
+    That is the one of the smallest doc_id (of its texts the one of the smallest
+    hash).  Repeated rows (same doc_id and text) are one document; rows without
+    a doc_id stay, every one.  Only what goes is joined, so a plan with few
+    duplicates moves little else.
     """
-    judged = materialize(near_duplicates(docs, settings, text), "judged")
-    gone = judged.where("not kept").select("doc_id").distinct()
-    stays = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        stays = stays.dropDuplicates(["doc_id", text])
-    return stays
+    first = F.struct(F.col("doc_id").alias("doc"), "th")
+    judged = materialize(_judged(docs, settings, text).select("doc_id", "th", F.coalesce(F.col("first") == first, F.lit(True)).alias("stays")), "judged")
+    th = "_th"
+    while th in docs.columns:
+        th += "_"
+    rows = docs.withColumn(th, F.xxhash64(F.col(text).cast("string")))
+    same = lambda t: (rows["doc_id"].cast("long") == t["_id"]) & (rows[th] == t["_own"])
+    named = [F.col("doc_id").alias("_id"), F.col("th").alias("_own")]
+    gone = judged.where("not stays").select(*named).distinct()
+    again = materialize(judged.where("stays and doc_id is not null").groupBy("doc_id", "th").count().where("count > 1").select(*named), "again")
+    stays = rows.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        rows = stays
+        once = stays.join(again, same(again), "left_anti")
+        stays = once.union(stays.join(again, same(again), "left_semi").dropDuplicates(["doc_id", th]))
+    return stays.select(*docs.columns)

@@ -1,12 +1,13 @@
 """Shared-folder tables: how operators cut lineage and survive lost executors.
 
 Intermediate tables go to the folder named in ``spark.checkpoint.dir`` (every
-executor and the driver see it).  Only when the session names none (local
-tests) is a temporary folder made.
+executor and the driver see it), or in the context's checkpoint folder.  Only
+where there is neither and Spark runs in this process is a temporary one made.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,11 @@ TEXT_ROWS_PER_BATCH = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh local one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("quarry.scratch.dir", None)
+    """The checkpoint folder; a fresh local one where there is none, in local mode alone."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("quarry.scratch.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.scratch.dir", at)
     return at.rstrip("/")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,47 +126,68 @@ def test_wand_finds_what_a_full_scan_finds():
     items = [(i, " ".join(f"w{j}" for j in rng.zipf(1.3, 30) % 200)) for i in range(90)]
     index = decontaminate.build(items)[0]
     for _ in range(50):
-        terms = sorted(set((rng.zipf(1.3, 60) % len(index.vocabulary)).tolist()))
+        terms = np.unique(rng.zipf(1.3, 60) % len(index.vocabulary))
         full = Counter()
-        for t in terms:
-            for block in range(index.n_blocks):
-                for i, w in index.postings.get((block, t), []):
+        for block in range(index.n_blocks):
+            for e in index.entries(terms, block):
+                for i, w in index.postings(e):
                     full[i] += w
         want = {i for i, w in full.items() if w >= index.settings.threshold}
-        assert {i for i, _ in index.search(terms, set(range(index.n_blocks)))} == want
+        assert {i for i, _ in index.search(terms, np.arange(index.n_blocks))} == want
+
+
+def test_leaks_equal_a_scan_of_all_passages_and_items(spark, docs, rows):
+    """BM25 of every passage with every item from the formula, and overlaps from sets."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    for s in (decontaminate.LeakSettings(), decontaminate.LeakSettings(cells=16)):
+        got = {(r.doc_id, r.item_id): (r.passage_word, round(r.score, 6)) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), s).collect()}
+        assert got == brute.leaks(rows, items)
 
 
 def test_pseudo_likelihood_sums_every_word():
-    s = lm_scoring.LmSettings(frequent=24, hashed=8, class_size=8)
+    s = lm_scoring.LmSettings(frequent=24, hashed=8, branches=4)
     net, text = lm_scoring.Network(s), np.array([1, 5, 30, 2, 2, 9])
     padded = [s.ids] * s.side + text.tolist() + [s.ids] * s.side
     want = 0.0
     for i, w in enumerate(text):
         around = [padded[i + s.side + d] for d in range(-s.side, s.side + 1) if d]
-        h = np.tanh(np.concatenate([net.embed[a] for a in around]) @ net.mix + net.bias)
-        top = h @ net.top + net.top0
-        low = h @ net.low[w // 8] + net.low0[w // 8]
-        want += top[w // 8] - np.log(np.exp(top).sum()) + low[w % 8] - np.log(np.exp(low).sum())
-    assert lm_scoring.pseudo_likelihoods(net, [np.zeros(0, int), text])[1] == pytest.approx(want, rel=1e-4)
+        h = np.tanh(net.start + sum(net.embed[a] * net.gate[d] for d, a in enumerate(around)))
+        for k in range(s.depth):
+            z = h @ net.out[k][w // 4 ** (s.depth - k)] + net.bias[k][w // 4 ** (s.depth - k)]
+            want += z[w // 4 ** (s.depth - 1 - k) % 4] - np.log(np.exp(z).sum())
+    assert s.depth == 3 and lm_scoring.pseudo_likelihoods(net, [np.zeros(0, int), text])[1] == pytest.approx(want, rel=1e-4)
     around, words = net.contexts([text])
-    g, at = net.gradient(around, words), 40
-    up = lm_scoring.Network(s, net.flat.astype(np.float64))
-    loss = lambda: -up.log_probabilities(around, words).mean()
-    up.flat[at] += 1e-4
-    high = loss()
-    up.flat[at] -= 2e-4
-    assert g[at] == pytest.approx((high - loss()) / 2e-4, abs=1e-4)
+    g = net.gradient(around, words)
+    for at in (40, 4 * s.width, (s.ids + 1) * s.width + 3, len(net.flat) - 40, len(net.flat) - 3):
+        up = lm_scoring.Network(s, net.flat.astype(np.float64))
+        loss = lambda: -up.log_probabilities(around, words).mean()
+        up.flat[at] += 1e-4
+        high = loss()
+        up.flat[at] -= 2e-4
+        assert g[at] == pytest.approx((high - loss()) / 2e-4, abs=1e-4)
+
+
+def test_training_lowers_loss_whatever_the_partitions(spark, docs):
+    s, vocabulary, words = lm_scoring.corpus_vocabulary(docs, lm_scoring.LmSettings(batch=1024))
+    nets = [lm_scoring.train(lm_scoring.coded(docs.repartition(n), vocabulary, s), words, s) for n in (1, 7)]
+    assert np.allclose(nets[0].flat, nets[1].flat, atol=1e-5)
+    texts = [lm_scoring.word_ids(r.text, vocabulary, s) for r in docs.collect()]
+    before, after = (lm_scoring.pseudo_likelihoods(n, texts).sum() / words for n in (lm_scoring.Network(s), nets[0]))
+    counts = np.bincount(np.concatenate(texts), minlength=s.ids)
+    by_frequency = (counts[counts > 0] * np.log(counts[counts > 0] / words)).sum() / words
+    assert after > before + 0.9 and after > by_frequency + 0.1
 
 
 def test_every_document_trains_the_network(spark):
-    s, none = lm_scoring.LmSettings(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    text = "the cat sat on the mat " * 20
-    ids = [lm_scoring.word_ids(text, *none, s)]
+    s, none = lm_scoring.LmSettings(batch=100), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    text = "the cat sat on the mat " * 200
+    ids = [lm_scoring.word_ids(text, none, s)]
     for i in range(4):
-        net = lm_scoring.train(spark.createDataFrame([(i, text)], "doc_id long, text string"), none, s)
+        table = lm_scoring.coded(spark.createDataFrame([(i, text)], "doc_id long, text string"), none, s)
+        net = lm_scoring.train(table, 1200, s)
         assert lm_scoring.pseudo_likelihoods(net, ids)[0] > lm_scoring.pseudo_likelihoods(lm_scoring.Network(s), ids)[0] + 1
     s = lm_scoring.fitted(lm_scoring.LmSettings(), 100_000_000, 5_000_000)
-    assert s.frequent >= 10_000 and s.ids % s.class_size == 0
+    assert s.frequent == 10_000 and s.hashed == 2500 and s.depth == 3
     assert lm_scoring.fitted(lm_scoring.LmSettings(), 1000, 300) == lm_scoring.LmSettings()
 
 
@@ -198,13 +220,30 @@ def test_token_files_round_trip(request, which):
     df = request.getfixturevalue(which)
     got = sorted(map(tuple, token_store.store_and_digest(df).collect()), key=lambda r: r[1])
     start, want = 0, []
-    for r in sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text or "")):
+    for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect():
         ids = slow_ids(r.text) + [2]
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
 
 
+def test_token_files_have_dictionaries_row_groups_and_page_indexes(spark, docs, nothing, tmp_path):
+    at = f"file://{tmp_path}/tokens"
+    token_store.write_tokens(docs, at, settings=token_store.StoreSettings(row_group_bytes=1 << 14, page_bytes=1 << 12))
+    files = [pq.ParquetFile(f) for f in sorted(tmp_path.glob("tokens/*.parquet"))]
+    assert sum(f.metadata.num_row_groups for f in files) > len(files) > 1
+    chunk = {f.metadata.row_group(0).column(i).path_in_schema.split(".")[0]: f.metadata.row_group(0).column(i) for f in files for i in range(5)}
+    assert "RLE_DICTIONARY" in chunk["ids"].encodings and any("DELTA" in e or "RLE_DICTIONARY" in e for e in chunk["local_start"].encodings)
+    assert all(c.has_offset_index and c.has_column_index for c in chunk.values())
+    stored = token_store.read_tokens(spark, at)
+    want = [len(slow_ids(r.text)) + 1 for r in docs.orderBy("doc_id").collect()]
+    some = stored.where("doc_id between 3 and 5").select("doc_id", "n_tokens")
+    plan = some._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan and "GreaterThanOrEqual(doc_id,3)" in plan
+    assert [r.n_tokens for r in stored.orderBy("doc_id").select("n_tokens").collect()] == want
+    assert token_store.store_and_digest(nothing).count() == 0
+
+
 def test_near_duplicates_equal_all_pairs(spark, rows):
     base = " ".join(f"w{i}" for i in range(60))
     more = [(10_000 + i, " ".join(x if j != 7 * i else f"z{i}" for j, x in enumerate(base.split()))) for i in range(8)]
@@ -219,6 +258,19 @@ def test_one_of_each_keeps_columns_and_one_repeat(odd):
     assert out.columns == odd.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 
+def test_one_of_each_judges_every_text_of_an_id(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n=60: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
+    x, y, z = word(), word(), word()
+    near = f"{z} end"
+    data = [(1, x), (5, x), (5, y), (5, y), (9, near), (7, z), (7, near), (None, x), (None, x), (None, None), (8, None), (8, None), (8, "")]
+    kept = minhash_dedup.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, r.text) for r in kept)
+    of_z = [k for k in got if k[1] in (z, near)]
+    assert len(of_z) == 1 and of_z[0][0] == 7 and got.pop(of_z[0]) == 1
+    assert got == {(1, x): 1, (5, y): 1, (None, x): 2, (None, None): 1, (8, None): 1, (8, ""): 1}
+
+
 def test_repeated_passages(spark):
     rng = np.random.default_rng(8)
     word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
@@ -255,6 +307,47 @@ def test_exact_passages_are_found_beside_near_copies(spark):
         assert met == set(places), (places, covers)
 
 
+def test_near_passages_meet_beside_texts_with_fragments(spark):
+    """Two edited copies of a passage are found whatever else holds parts of it."""
+    rng = np.random.default_rng(77)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    data, n = [], 40
+    for k in range(n):
+        passage = word(230)
+        other = list(passage)
+        for j in range(40, 230, 46):
+            other[j] = "changed"
+        for i in range(k % 4):  # documents of lower and higher ids with pieces of 35 words
+            pieces = [w for at in range(10 * i, 195, 50) for w in (*passage[at : at + 35], *word(20))]
+            data.append((100 * k + 20 * i, pieces))
+        data += [(100 * k + 11, [*word(40), *passage]), (100 * k + 31, [*other, *word(30)])]
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string"))
+    met = {(r.doc_id, r.other_id) for r in out.collect()}
+    assert sum((100 * k + 11, 100 * k + 31) in met for k in range(n)) == n
+    assert all(a // 100 == b // 100 for a, b in met)
+
+
+def test_two_texts_under_one_id_and_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
+    x, y = word(60), word(70)
+    data = [(1, x), (1, y), (1, y), (2, f"{x} {word(9)}"), (3, f"{word(9)} {y}"), (None, x), (4, None)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).where("kind = 'passage'")
+    assert {(r.doc_id, r.other_id) for r in out.collect()} == {(1, 2), (2, 1), (1, 3), (3, 1)}
+
+
+def test_windows_cover_every_passage():
+    """The smallest token of any passage of the least length is a window's centre."""
+    s, rng = substring_dedup.PassageSettings(), np.random.default_rng(6)
+    words = rng.integers(0, 40, 300).astype(np.uint64)
+    width = s.least - s.shingle + 1
+    for values in substring_dedup._hash_values(substring_dedup.shingles(words, s.shingle), s):
+        centres = {c: (l, r) for l, c, r in substring_dedup.compact_windows(values, width)}
+        for at in range(len(values) - width + 1):
+            c = at + int(values[at : at + width].argmin())
+            assert centres[c][0] <= at and at + width - 1 <= centres[c][1]
+
+
 def test_passage_twice_in_the_first_text(spark):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
