@@ -2,12 +2,18 @@
 
 Every word is predicted from the words on both sides of it; a document's score
 is the sum of the log-probabilities.  The vocabulary comes from counts of all
-words of the corpus (the most frequent have their own id, the rest share
-hashed ids); it grows with the square root of the corpus.  Training goes in
-rounds, each on its share of the documents, so that every document trains once:
-every partition improves a copy of the network, and the copies are averaged with
-the words they saw as weights.  The output is a two-level softmax (a class, then an
-id of the class), classes being runs of ids by frequency.
+words of the corpus: the most frequent have their own id, as many as the square
+root of the corpus's words; the rest share hashed ids, at least a quarter as
+many.  The network sums the gated embeddings of the window, and its output is a
+tree of softmaxes of 32 branches, so the work for a word grows with the
+logarithm of the vocabulary.
+
+Texts become ids once, in a table that training and scoring read.  Training goes
+in rounds, each on its share of the documents, so that every document trains
+once.  Shards (by a hash of id and text, as many as the corpus's size asks for)
+improve copies of the network, each in the order of the hashes, and copies are
+averaged with the words they saw as weights: how rows lie in partitions does
+not matter, but for the rounding of sums.
 
 Defined results: a null or empty text has no words, score 0 and no mean;
 repeated rows count each; an empty table gives an empty result; other columns
@@ -31,190 +37,260 @@ from .words import word_hashes
 
 @dataclass(frozen=True)
 class LmSettings:
-    #: Words with their own id, at least; more in a large corpus.
+    #: Words with their own id, and ids that the rest share, at least; more in a large corpus.
     frequent: int = 768
     hashed: int = 256
-    class_size: int = 32
+    branches: int = 32
     side: int = 3
-    width: int = 12
-    hidden: int = 32
+    width: int = 16
     #: Each document trains in one of them.
     rounds: int = 2
-    batch: int = 4096
-    rate: float = 4e-3
+    #: Words of one step, of a shard in a round (on average), and of a block to score.
+    batch: int = 16384
+    shard_words: int = 2_000_000
+    block: int = 1 << 15
+    rate: float = 0.02
 
     @property
     def ids(self) -> int:
         return self.frequent + self.hashed
 
+    @property
+    def depth(self) -> int:
+        d = 1
+        while self.branches**d < self.ids:
+            d += 1
+        return d
+
 
 class Network:
-    """Weights as one flat float32 vector with named views."""
+    """Weights as one flat float32 vector with named views.
+
+    ``out[k]`` and ``bias[k]`` belong to the nodes of level k of the tree; a
+    word's path are the digits of its id.
+    """
 
     def __init__(self, s: LmSettings, flat: np.ndarray | None = None):
-        self.s, n, c = s, s.ids, s.ids // s.class_size
-        shapes = {"embed": (n + 1, s.width), "mix": (2 * s.side * s.width, s.hidden), "bias": (s.hidden,), "top": (s.hidden, c), "top0": (c,), "low": (c, s.hidden, s.class_size), "low0": (c, s.class_size)}
-        size = sum(int(np.prod(v)) for v in shapes.values())
+        self.s, b = s, s.branches
+        nodes = [-(-s.ids // b ** (s.depth - k)) for k in range(s.depth)]
+        shapes = [(s.ids + 1, s.width), (2 * s.side, s.width), (s.width,), *((n, s.width, b) for n in nodes), *((n, b) for n in nodes)]
+        sizes = [int(np.prod(x)) for x in shapes]
         if flat is None:
-            flat = np.random.default_rng(3).normal(0, 0.1, size).astype(np.float32)
-        self.flat, at = flat, 0
-        for name, shape in shapes.items():
-            k = int(np.prod(shape))
-            setattr(self, name, flat[at : at + k].reshape(shape))
-            at += k
+            flat = np.random.default_rng(3).normal(0, 0.1, sum(sizes)).astype(np.float32)
+            flat[sizes[0] : sizes[0] + sizes[1]] += 1
+        self.flat = flat
+        views = [x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes)]
+        self.embed, self.gate, self.start = views[:3]
+        self.out, self.bias = views[3 : 3 + s.depth], views[3 + s.depth :]
 
     def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids beside each word (the pad id beyond an end), and the words."""
-        side, pad = self.s.side, np.full(self.s.side, self.s.ids)
+        side, pad = self.s.side, np.full(self.s.side, self.s.ids, np.int64)
         line = np.concatenate([x for t in texts for x in (pad, t)] + [pad]).astype(np.int64)
         at = np.flatnonzero(line != self.s.ids)
         return np.stack([line[at + d] for d in range(-side, side + 1) if d], 1), line[at]
 
-    def hidden_of(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.embed[around].reshape(len(around), -1)
-        return x, np.tanh(x @ self.mix + self.bias)
+    def _hidden(self, around: np.ndarray) -> np.ndarray:
+        total = np.tile(self.start, (len(around), 1))
+        for d in range(around.shape[1]):
+            total += self.embed[around[:, d]] * self.gate[d]
+        return np.tanh(total)
+
+    def _level(self, h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of the branches at level k, the branch taken, and where nodes begin; words ascend."""
+        b, below = self.s.branches, self.s.depth - 1 - k
+        node, digit = words // b ** (below + 1), words // b**below % b
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        z = np.empty((len(words), b), h.dtype)
+        for n, x, y in zip(node[first].tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
+            np.matmul(h[x:y], self.out[k][n], out=z[x:y])
+        z += self.bias[k][node]
+        z -= z.max(1, keepdims=True)
+        return z, digit, first, node[first]
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Of each word given what is beside it."""
-        size = self.s.class_size
-        _, h = self.hidden_of(around)
-        kind, place = words // size, words % size
-        top = h @ self.top + self.top0
-        top -= top.max(1, keepdims=True)
-        out = top[np.arange(len(words)), kind] - np.log(np.exp(top).sum(1))
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(len(self.low) + 1))
-        for c in range(len(self.low)):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                z = h[rows] @ self.low[c] + self.low0[c]
-                z -= z.max(1, keepdims=True)
-                out[rows] += z[np.arange(len(rows)), place[rows]] - np.log(np.exp(z).sum(1))
+        order = np.argsort(words.astype(np.uint16) if self.s.ids < 1 << 16 else words, kind="stable")
+        words, rows = words[order], np.arange(len(words))
+        h, total = self._hidden(around[order]), np.zeros(len(words))
+        for k in range(self.s.depth):
+            z, digit, _, _ = self._level(h, words, k)
+            total += z[rows, digit] - np.log(np.exp(z).sum(1))
+        out = np.empty(len(words))
+        out[order] = total
         return out
 
     def gradient(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
         g = Network(self.s, np.zeros_like(self.flat))
-        size, n = self.s.class_size, len(words)
-        x, h = self.hidden_of(around)
-        kind, place = words // size, words % size
-        top = h @ self.top + self.top0
-        p = np.exp(top - top.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), kind] -= 1
-        g.top[:], g.top0[:] = h.T @ p, p.sum(0)
-        dh = p @ self.top.T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(len(self.low) + 1))
-        for c in range(len(self.low)):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                z = h[rows] @ self.low[c] + self.low0[c]
-                q = np.exp(z - z.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(rows)), place[rows]] -= 1
-                g.low[c], g.low0[c] = h[rows].T @ q, q.sum(0)
-                dh[rows] += q @ self.low[c].T
+        order = np.argsort(words.astype(np.uint16) if self.s.ids < 1 << 16 else words, kind="stable")
+        around, words, rows = around[order], words[order], np.arange(len(words))
+        h = self._hidden(around)
+        dh = np.zeros_like(h)
+        for k in range(self.s.depth):
+            p, digit, first, nodes = self._level(h, words, k)
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True)
+            p[rows, digit] -= 1
+            g.bias[k][nodes] = np.add.reduceat(p, first)
+            for n, x, y in zip(nodes.tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
+                np.matmul(h[x:y].T, p[x:y], out=g.out[k][n])
+                dh[x:y] += p[x:y] @ self.out[k][n].T
         dh *= 1 - h * h
-        g.mix[:], g.bias[:] = x.T @ dh, dh.sum(0)
-        dx = (dh @ self.mix.T).reshape(-1, self.s.width)
-        flat = around.reshape(-1)
+        g.start[:] = dh.sum(0)
+        dx = np.empty((around.shape[1], self.s.width, len(words)), dh.dtype)
+        for d in range(around.shape[1]):
+            g.gate[d] = (self.embed[around[:, d]] * dh).sum(0)
+            dx[d] = (dh * self.gate[d]).T
+        flat = around.T.reshape(-1)
         for j in range(self.s.width):
-            g.embed[:, j] = np.bincount(flat, dx[:, j], self.s.ids + 1)
-        return g.flat / n
+            g.embed[:, j] = np.bincount(flat, dx[:, j].reshape(-1), self.s.ids + 1)
+        return g.flat / len(words)
 
 
-def word_ids(text: str | None, vocabulary: np.ndarray, rank: np.ndarray, s: LmSettings) -> np.ndarray:
+def word_ids(text: str | None, vocabulary: tuple[np.ndarray, np.ndarray], s: LmSettings) -> np.ndarray:
     """Ids of all words: frequency rank, or a hashed id beyond."""
+    known, rank = vocabulary
     h = word_hashes(text)
-    out = (s.frequent + h % np.uint64(s.hashed)).astype(np.int64)
-    if len(vocabulary):
-        at = np.searchsorted(vocabulary, h)
-        at[at == len(vocabulary)] = 0
-        known = vocabulary[at] == h
-        out[known] = rank[at[known]]
+    out = (s.frequent + h % np.uint64(s.hashed)).astype(np.int32)
+    if len(known):
+        at = np.searchsorted(known, h)
+        at[at == len(known)] = 0
+        own = known[at] == h
+        out[own] = rank[at[own]]
     return out
 
 
-def _rows(docs: DataFrame, text: str) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-
-
 def fitted(s: LmSettings, words: int, distinct: int) -> LmSettings:
-    """Own ids for the square root of the corpus's words, in whole classes."""
-    wanted = min(math.isqrt(words), distinct)
-    return replace(s, frequent=max(s.frequent, -(-wanted // s.class_size) * s.class_size))
+    """Own ids for the square root of the corpus's words, and a quarter as many shared ones."""
+    frequent = max(s.frequent, min(math.isqrt(words), distinct))
+    return replace(s, frequent=frequent, hashed=max(s.hashed, frequent // 4))
 
 
-def corpus_vocabulary(docs: DataFrame, settings: LmSettings = LmSettings(), text: str = "text") -> tuple[LmSettings, tuple[np.ndarray, np.ndarray]]:
-    """Settings that fit the corpus; sorted hashes of its most frequent words, and their ranks."""
+def corpus_vocabulary(docs: DataFrame, settings: LmSettings = LmSettings(), text: str = "text") -> tuple[LmSettings, tuple[np.ndarray, np.ndarray], int]:
+    """Settings that fit the corpus; sorted hashes of its most frequent words, and their ranks; the words in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, n = np.unique(np.concatenate([word_hashes(t) for t in b.column(1).to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
+            hashes, n = np.unique(np.concatenate([word_hashes(t) for t in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    counted = materialize(_rows(docs, text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    counted = materialize(texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     words, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     s = fitted(settings, words, distinct)
     top = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(s.frequent).collect()]
     discard(counted)
     hashes = np.array(top, np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return s, (hashes[order], order.astype(np.int64))
+    return s, (hashes[order], order.astype(np.int32)), words
+
+
+_CODED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("ids", pa.binary())])
+
 
+def coded(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], s: LmSettings, text: str = "text") -> DataFrame:
+    """doc_id, a hash of the row, and the ids (little-endian, 32 bits) of every row, as a table."""
+    shared = docs.sparkSession.sparkContext.broadcast((s, vocabulary))
 
-def _improve(net: Network, texts: list[np.ndarray], state: list) -> int:
-    """Adam steps over the texts, in place; the words seen."""
-    s, seen = net.s, 0
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, vocabulary = shared.value
+        for b in batches:
+            ids = [word_ids(t, vocabulary, s).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], schema=_CODED)
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    return materialize(rows.mapInArrow(code, "doc_id long, h long, ids binary"), "coded")
+
+
+def _texts_of(b: pa.RecordBatch, column: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(column)]
+
+
+def _improve(net: Network, texts: list[np.ndarray], state: list) -> None:
+    """One Adam step on the words of the texts, in place."""
+    s = net.s
     around, words = net.contexts(texts)
-    shuffled = np.random.default_rng(len(words)).permutation(len(words))
-    for at in range(0, len(words), s.batch):
-        own = shuffled[at : at + s.batch]
-        g = net.gradient(around[own], words[own])
+    for at in range(0, len(words), 2 * s.batch):  # a very long text takes several
+        g = net.gradient(around[at : at + 2 * s.batch], words[at : at + 2 * s.batch])
         state[0] += 1
-        state[1] = 0.9 * state[1] + 0.1 * g
-        state[2] = 0.99 * state[2] + 0.01 * g * g
+        state[1] += 0.1 * (g - state[1])
+        state[2] += 0.01 * (g * g - state[2])
         k = state[0]
-        net.flat -= (s.rate * (state[1] / (1 - 0.9**k)) / (np.sqrt(state[2] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
-        seen += len(own)
-    return seen
-
-
-def train(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], s: LmSettings = LmSettings(), text: str = "text") -> Network:
-    """Rounds of local training and averaging; the number of rounds is fixed."""
+        net.flat -= (s.rate / (1 - 0.9**k)) * state[1] / (np.sqrt(state[2] / (1 - 0.99**k)) + 1e-6)
+
+
+def improved(net: Network, texts: Iterator[np.ndarray]) -> int:
+    """Train on texts in their order, in steps of the setting's words; the words seen."""
+    state = [0, np.zeros_like(net.flat), np.zeros_like(net.flat)]
+    held, size, seen = [], 0, 0
+    for t in texts:
+        if len(t):
+            held.append(t)
+            size += len(t)
+        if size >= net.s.batch:
+            _improve(net, held, state)
+            held, size, seen = [], 0, seen + size
+    if held:
+        _improve(net, held, state)
+    return seen + size
+
+
+def train(table: DataFrame, words: int, s: LmSettings = LmSettings()) -> Network:
+    """Rounds of local training of shards and averaging; the number of rounds is fixed."""
     net = Network(s)
+    shards = max(1, round(words / s.rounds / s.shard_words))
+    names = F.pmod(F.col("h"), F.lit(shards)).cast("int")
     for r in range(s.rounds):
-        start = docs.sparkSession.sparkContext.broadcast((net.flat, vocabulary))
+        start = table.sparkSession.sparkContext.broadcast((s, net.flat))
 
         def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            flat, vocab = start.value
-            own, seen = Network(s, flat.copy()), 0
-            state = [0, np.zeros_like(flat), np.zeros_like(flat)]
-            for b in batches:
-                texts = [x for x in (word_ids(t, *vocab, s) for t in b.column(1).to_pylist()) if len(x)]
-                for at in range(0, len(texts), 200):
-                    seen += _improve(own, texts[at : at + 200], state)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([own.flat.astype(np.float64) * seen], pa.list_(pa.float64())), pa.array([seen], pa.int64())], names=["weights", "seen"])
-
-        drawn = _rows(docs, text).where(F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(s.rounds)) == r)
+            s, flat = start.value
+            sums, total = np.zeros(len(flat)), 0
+
+            def shard_texts(first: pa.RecordBatch) -> Iterator[np.ndarray]:
+                nonlocal left
+                b, shard = first, first.column(0)[0].as_py()
+                while b is not None:
+                    cut = int(np.searchsorted(b.column(0).to_numpy(), shard, "right"))
+                    yield from _texts_of(b.slice(0, cut), 1)
+                    if cut < b.num_rows:
+                        left = b.slice(cut)
+                        return
+                    b = next(filled, None)
+                left = None
+
+            filled = (b for b in batches if b.num_rows)
+            left = next(filled, None)
+            while left is not None:
+                net = Network(s, flat.copy())
+                seen = improved(net, shard_texts(left))
+                sums += net.flat.astype(np.float64) * seen
+                total += seen
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64())), pa.array([total], pa.int64())], names=["weights", "seen"])
+
+        drawn = table.where(F.pmod(F.xxhash64("h", F.lit(21)), F.lit(s.rounds)) == r).select(names.alias("shard"), "ids", "h")
+        drawn = drawn.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
         copies = materialize(drawn.mapInArrow(local, "weights array<double>, seen long"), "copies")
         total = copies.agg(F.sum("seen")).first()[0]
         if total:
             mean = copies.select(F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum("w") / F.lit(float(total))).cast("float").alias("w"))
             flat = np.zeros_like(net.flat)
-            for i, w in mean.collect():  # the network's size, whatever the corpus
-                flat[i] = w
+            rows = mean.toArrow()  # the network's size: the square root of the corpus's words
+            flat[rows["i"].to_numpy()] = rows["w"].to_numpy()
             net = Network(s, flat)
+        discard(copies)
     return net
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64()), ("pll_per_token", pa.float64())])
 
 
-def pseudo_likelihoods(net: Network, texts: list[np.ndarray], block: int = 1 << 15) -> np.ndarray:
+def pseudo_likelihoods(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Summed log-probabilities of each text."""
     out = np.zeros(len(texts))
     sizes = np.array([len(t) for t in texts])
@@ -222,29 +298,30 @@ def pseudo_likelihoods(net: Network, texts: list[np.ndarray], block: int = 1 <<
         return out
     around, words = net.contexts([t for t in texts if len(t)])
     of = np.repeat(np.arange(len(texts)), sizes)
-    for at in range(0, len(words), block):
-        out += np.bincount(of[at : at + block], net.log_probabilities(around[at : at + block], words[at : at + block]), len(texts))
+    for at in range(0, len(words), net.s.block):
+        own = slice(at, at + net.s.block)
+        out += np.bincount(of[own], net.log_probabilities(around[own], words[own]), len(texts))
     return out
 
 
-def score(docs: DataFrame, net: Network, vocabulary: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, pll and pll_per_token of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((net.s, net.flat, vocabulary))
+def score(table: DataFrame, net: Network) -> DataFrame:
+    """doc_id, n_tokens, pll and pll_per_token of every row of a coded table."""
+    shared = table.sparkSession.sparkContext.broadcast((net.s, net.flat))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, flat, vocab = shared.value
-        own = Network(s, flat)
+        own = Network(*shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 some = b.slice(at, 100)
-                texts = [word_ids(t, *vocab, s) for t in some.column(1).to_pylist()]
+                texts = _texts_of(some, 1)
                 n, pll = [len(t) for t in texts], pseudo_likelihoods(own, texts).tolist()
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(pll, pa.float64()), pa.array([p / k if k else None for p, k in zip(pll, n)], pa.float64())], schema=_SCORES)
 
-    return _rows(docs, text).mapInArrow(scored, "doc_id long, n_tokens long, pll double, pll_per_token double")
+    return table.select("doc_id", "ids").mapInArrow(scored, "doc_id long, n_tokens long, pll double, pll_per_token double")
 
 
 def pseudo_likelihood_scores(docs: DataFrame, settings: LmSettings = LmSettings(), text: str = "text") -> DataFrame:
     """Count, train and score a corpus."""
-    s, vocabulary = corpus_vocabulary(docs, settings, text)
-    return score(docs, train(docs, vocabulary, s, text), vocabulary, text)
+    s, vocabulary, words = corpus_vocabulary(docs, settings, text)
+    table = coded(docs, vocabulary, s, text)
+    return score(table, train(table, words, s))
