@@ -1,15 +1,16 @@
 """Token ids in Parquet list columns, written in order and read selectively.
 
-Documents are range-partitioned by id and sorted, then encoded in order with a
-running count inside each partition, and written by Parquet's second-version
-writer: ids are dictionary-encoded (delta-encoded where a dictionary does not
-pay), row groups and pages have set sizes, and page indexes are kept, so that a
-reader of a few documents or of the metadata columns alone reads little.
-Global offsets need only the totals of the partitions.
-
-Defined results: a null or empty text has only the end id; rows with the same
-id are ordered by their text and each is written; an empty table gives an empty
-result; other columns are ignored.
+Documents are range-partitioned by id (and by a hash of the text, so that many
+rows of one id are split too) and sorted, then encoded in order with a running
+count inside each partition, and written by Parquet's second-version writer:
+ids are dictionary-encoded (delta-encoded where a dictionary does not pay), row
+groups and pages have set sizes, and page indexes are kept, so that a reader of
+a few documents or of the metadata columns alone reads little.  Global offsets
+need only the totals of the partitions.
+
+Defined results: a null or empty text has only the end id; a null doc_id comes
+first; rows with the same id are ordered by the hash of their text and each is
+written; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .storage import bounded_batches, new_path
 from .tokenizing import encode_texts, vocabulary
@@ -35,8 +35,8 @@ class StoreSettings:
     row_group_bytes: int = 32 << 20
     page_bytes: int = 64 << 10
     dictionary: bool = True
-    #: Input bytes for each partition to encode; its files are a few times less.
-    partitions: int | None = None
+    #: Bytes of text in a task and its file, on average.
+    task_bytes: int = 32 << 20
 
 
 _STORED = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -64,13 +64,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, setti
                     [some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts), pa.ListArray.from_arrays(offsets, flat)], schema=_STORED
                 )
 
-    n = settings.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, -(-size // settings.task_bytes))
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     (
         ordered.mapInArrow(encode, _STORED_SQL)
         .write.option("parquet.block.size", str(settings.row_group_bytes))
         .option("parquet.page.size", str(settings.page_bytes))
+        .option("parquet.page.size.row.check.min", "10")
+        .option("parquet.block.size.row.check.min", "10")
         .option("parquet.enable.dictionary", str(settings.dictionary).lower())
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.page.row.count.limit", "1000")
@@ -84,42 +88,34 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_STORED_SQL).parquet(path)
 
 
-def with_starts(stored: DataFrame) -> DataFrame:
-    """The stored rows with ``start``, the ids of all documents before each.
+def starts_of_parts(stored: DataFrame) -> np.ndarray:
+    """The ids before each part: prefix sums of one number for each task that wrote.
 
-    Partition totals (one number for each partition that wrote) come from the
-    metadata columns alone; their prefix sums travel with the tasks.
+    Only the metadata columns are read.
     """
     totals = dict(stored.groupBy("part").agg(F.sum("n_tokens")).collect())
     parts = sorted(totals)
     before = np.zeros(max(parts, default=0) + 1, np.int64)
     if parts:
         before[parts] = np.concatenate(([0], np.cumsum([totals[p] for p in parts])[:-1]))
-    names = [f.name for f in stored.schema]
-    part, local = names.index("part"), names.index("local_start")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            start = before[b.column(part).to_numpy(zero_copy_only=False)] + b.column(local).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start, pa.int64())], names=[*names, "start"])
-
-    return stored.mapInArrow(add, T.StructType([*stored.schema, T.StructField("start", T.LongType())]))
+    return before
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids, from the files."""
+    """doc_id, start (ids of all documents before), n_tokens and crc32 of the ids, from the files."""
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    before = starts_of_parts(stored)
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(2)
+            start = before[b.column(1).to_numpy(zero_copy_only=False)] + b.column(2).to_numpy(zero_copy_only=False)
+            ids = b.column(3)
             flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_pylist()
-            sums = [zlib.crc32(flat[x:y].tobytes()) for x, y in zip(offsets, offsets[1:])]
+            sums = [zlib.crc32(flat[x:y].data) for x, y in zip(offsets, offsets[1:])]
             counts = np.diff(np.array(offsets, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts), pa.array(sums, pa.int64())], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(start, pa.int64()), pa.array(counts), pa.array(sums, pa.int64())], schema=out)
 
-    placed = with_starts(stored)
-    return placed.select("doc_id", "start", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.select("doc_id", "part", "local_start", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_digest(docs: DataFrame, tokenizer: str | None = None, settings: StoreSettings = StoreSettings(), text: str = "text") -> DataFrame:

@@ -17,11 +17,9 @@ import numpy as np
 _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space for Python's \s but not for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
-#: A new line, a run of Latin letters after at most one space, and a sign: the
-#: tokenizer's pattern always splits these three from each other.
-_PLAIN = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+_SIGNS = ".,;:!?"
 #: Pieces a worker keeps that it met again, and new ones; the longest kept.
-KEEP, KEEP_NEW, LONGEST = 500_000, 250_000, 40
+KEEP, KEEP_NEW, LONGEST = 600_000, 600_000, 40
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,21 +35,38 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _even(text: str) -> bool:
+    """Whether one space or new line, and no other white space, is between any two words."""
+    doubled = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+    return not (doubled or text[0] in " \n" or text[-1] in " \n") and text.replace("\n", "").isprintable()
+
+
+def _key(piece: str) -> str:
+    if piece[0] == " " and piece[1:2] not in ("\n", "\t"):
+        return piece[1:]
+    return piece if piece[0] == "\n" else "\t" + piece
+
+
 class _Pieces(dict):
-    """Ids of pieces met before; ``new`` has those met once, and may be emptied."""
+    """Ids of pieces met before; ``new`` has those met once, and may be emptied.
+
+    A key stands for itself after a space; a tab before it means no space, and
+    a key with a new line in front is itself.
+    """
 
     def __init__(self, ids_of):
         self.new: dict[str, bytes] = {}
         self.ids_of = ids_of
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.new.pop(piece, None)
+    def __missing__(self, key: str) -> bytes:
+        ids = self.new.pop(key, None)
         if ids is not None:
-            self[piece] = ids
+            self[key] = ids
             return ids
-        ids = self.ids_of(piece)
-        if len(piece) <= LONGEST:
-            self.new[piece] = ids
+        first = key[:1]
+        ids = self.ids_of(key[1:] if first == "\t" else key if first == "\n" else " " + key)
+        if len(key) <= LONGEST:
+            self.new[key] = ids
         return ids
 
 
@@ -65,20 +80,37 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.bpe, self.letters = self.model.model, _byte_letters()
-        self.signs = {s: self._in_full(s) for s in ".,;:!?\n"} | {"": b""}
+        self.space = self.letters[32]
+        self.signs = {s: self._in_full(s) for s in _SIGNS}
+        self.line = self._in_full("\n")
         self.known = _Pieces(self._ids)
 
     def _in_full(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ids(self, piece: str) -> bytes:
-        """A plain word by the model alone, anything else in full."""
-        plain = _PLAIN.fullmatch(piece)
-        if plain is None:
+        """A plain word by the model alone, anything else in full.
+
+        The tokenizer's pattern always splits a new line, a run of letters after
+        at most one space, and a sign from each other.
+        """
+        word, before, after = piece, b"", b""
+        if word[:1] == "\n":
+            word, before = word[1:], self.line
+        if word[-1:] in self.signs:
+            word, after = word[:-1], self.signs[word[-1]]
+        space = word[:1] == " "
+        core = word[1:] if space else word
+        if not core.isalpha():
+            return self._in_full(piece)
+        if core.isascii():
+            shown = core
+        elif max(core) < "\u0250":  # Latin letters, the same in every version of Unicode
+            shown = core.encode().decode("latin-1").translate(self.letters)
+        else:
             return self._in_full(piece)
-        line, word, sign = plain.groups()
-        ids = [t.id for t in self.bpe.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        return self.signs[line] + pack(f"<{len(ids)}I", *ids) + self.signs[sign]
+        ids = [t.id for t in self.bpe.tokenize(self.space + shown if space else shown)]
+        return before + pack(f"<{len(ids)}I", *ids) + after
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as bytes; a null text is empty."""
@@ -89,9 +121,11 @@ class Encoder:
             known.clear()
         if len(known.new) > KEEP_NEW:
             known.new.clear()
+        if _even(text):
+            return b"".join(map(known.__getitem__, ("\t" + text.replace("\n", " \n")).split(" ")))
         if _ODD.search(text):
             return self._in_full(text)
-        return b"".join(map(known.__getitem__, _PIECE.findall(text)))
+        return b"".join([known[_key(p)] for p in _PIECE.findall(text)])
 
 
 _encoders: dict[str, Encoder] = {}
