@@ -1,13 +1,16 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-For each language a four-letter model is estimated from a bounded sample of
-labelled rows; probabilities (already interpolated) and backoff weights live in
+For each language, however many there are, a four-letter model is estimated
+from a bounded sample of its labelled rows; probabilities (already interpolated) and backoff weights live in
 arrays sorted by n-gram hash, one column for each language, and are broadcast.
 A text goes to the language with the lowest cross-entropy per letter; a
 logistic calibration on other sampled rows turns the margin into a score, and
 texts below the calibrated score or with an unusual entropy are marked as not
 accepted.
 
+Letters are what Unicode says (categories L); a language of few rows trains on
+all of them.  Of many languages each gets its share of ``train_rows``.
+
 Defined results: null texts and texts without a letter are ``und`` with score
 0; ties go to the first language in order; with no labelled row every text is
 ``und``; an empty table gives an empty result; other columns are ignored.
@@ -38,8 +41,10 @@ class LanguageSettings:
     #: Expected labelled rows of each language to train on, and to calibrate on.
     train_docs: int = 1500
     calibrate_docs: int = 400
-    #: Languages beyond these (by rows) are not learnt.
-    max_languages: int = 200
+    #: Rows of all languages that are read, about; at least ``few`` of each.
+    train_rows: int = 60_000
+    #: Languages of no more rows train on all of them.
+    few: int = 50
     #: Letters that an unseen letter shares its probability with.
     alphabet: int = 1000
     accept_score: float = 0.5
@@ -48,7 +53,11 @@ class LanguageSettings:
 def letters(text: str | None) -> str:
     """Lower-case words of letters, a space before and after each."""
     found = _LETTERS.findall((text or "").lower())
-    return f" {' '.join(found)} " if found else ""
+    line = f" {' '.join(found)} " if found else ""
+    if not line.replace(" ", "a").isalpha():  # numbers such as one half are in \w too
+        found = "".join(c if c.isalpha() else " " for c in line).split()
+        line = f" {' '.join(found)} " if found else ""
+    return line
 
 
 def _hashes(points: np.ndarray, n: int) -> np.ndarray:
@@ -162,14 +171,16 @@ def estimate(counts: dict[str, Counter], s: LanguageSettings) -> LanguageModel:
 def _sample(docs: DataFrame, learn: Column, s: LanguageSettings) -> DataFrame | None:
     """A bounded, repeatable sample of labelled rows, about even by language."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
         return None
-    wanted = s.train_docs + s.calibrate_docs
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, wanted / r["count"]))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
-    train = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(wanted)) < s.train_docs
-    return materialize(labelled.where(draw < share[F.col("lang")]).select("text", "lang", train.alias("train")), "language-sample")
+    wanted = max(s.few, min(s.train_docs + s.calibrate_docs, s.train_rows // len(sizes)))
+    learnt = max(1, wanted * s.train_docs // (s.train_docs + s.calibrate_docs))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, wanted / r["count"]), r["count"] <= s.few) for r in sizes], "lang string, share double, all_train boolean")
+    labelled = labelled.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)) / 1e6
+    train = F.col("all_train") | (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(wanted)) < learnt)
+    return materialize(labelled.where(draw < F.col("share")).select("text", "lang", train.alias("train")), "language-sample")
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,12 @@
 """Secret scanning: exact base patterns plus a linear-chain CRF.
 
 One pass over the whole texts finds the base spans and the runs of tokens that
-could hold a secret (a tag dictionary allows only "outside" for every other
-token, so the chain falls apart into these short runs without changing the
-Viterbi path).  The CRF is trained with numpy on a bounded sample of runs whose
-tags come from the base spans; it sees the token's shape, the words and signs
-beside it and features of the file.  Spans of the CRF are added where no base
+could hold a secret: those with a digit or a capital inside, after ``:`` or
+``=``, or of 20 characters.  A tag dictionary allows only "outside" for every
+other token, so the chain falls apart into these short runs without changing the
+Viterbi path.  The CRF is trained with numpy on a bounded sample of runs whose
+tags come from the base spans, cut at hashed places of the texts; it sees the
+token's shape, the words and signs beside it and features of the file.  Spans of the CRF are added where no base
 span is; base spans always stay.
 
 Defined results: a null or empty text has no spans; repeated rows count each;
@@ -19,13 +20,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, hash_sample, materialize
+from .storage import bounded_batches, materialize
 
 KINDS = ("assign", "access", "hex", "crf")
 _WORDS = ("password", "passwd", "secret", "token", "api")
@@ -33,14 +35,18 @@ _KEY = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "p
 _ASSIGN = re.compile(rf"(?:{_KEY})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"[A-Za-z+/_.-]*[0-9][A-Za-z0-9+/_.-]*|[A-Za-z+/_.-]{32,}")
+_TOKEN = re.compile(r"[A-Za-z+/_.-]*(?:[0-9]|[a-z][A-Z])[A-Za-z0-9+/_.-]*|(?<=[:=])[\"']?[A-Za-z+/_.-]{6,}|(?<=[:=] )[\"']?[A-Za-z+/_.-]{6,}|[A-Za-z+/_.-]{20,}")
+_WORD_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z\n]{1,6}\Z")
+_WORD_AFTER = re.compile(r"[^A-Za-z\n]{1,6}([A-Za-z]+)")
 _NEAR_KEY = re.compile(rf"(?:{_KEY}|[cC]redential|[pP]assphrase|[kK][eE][yY]|[aA]uth|[bB]earer)[^A-Za-z0-9\n]{{0,6}}$")
 _GAP = re.compile(r"[^A-Za-z0-9\n]{0,3}$")
 
 #: Sizes of the categorical features of a token.
-FEATURES = {"shape": 64, "digits": 4, "hex": 2, "turns": 4, "key": 2, "before": 6, "after": 6, "file_tokens": 3, "file_signs": 3}
+FEATURES = {"shape": 64, "digits": 4, "hex": 2, "turns": 4, "key": 2, "before": 6, "after": 6, "word_before": 64, "word_after": 16, "file_tokens": 3, "file_signs": 3}
 _BASE = np.cumsum([0, *FEATURES.values()])
 OUT, BEGIN, INSIDE = 0, 1, 2
+#: The number of the feature that a key word is near.
+_KEYED = int(_BASE[list(FEATURES).index("key")]) + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,6 +69,11 @@ def _beside(c: str) -> int:
     return 0 if not c else 1 if c in "=:" else 2 if c in "\"'`" else 3 if c.isspace() else 4 if c == "@" else 5
 
 
+def _word(found: re.Match | None, of: int) -> int:
+    """A hashed feature of a neighbouring word; 0 for none."""
+    return 1 + crc32(found[1].lower().encode()) % (of - 1) if found else 0
+
+
 def _features(text: str, a: int, b: int, file: tuple[int, int]) -> list[int]:
     t = text[a:b]
     n, digits = b - a, sum(map(str.isdigit, t))
@@ -82,6 +93,8 @@ def _features(text: str, a: int, b: int, file: tuple[int, int]) -> list[int]:
         int(_NEAR_KEY.search(text, max(0, a - 30), a) is not None),
         _beside(text[at - 1 : at]),
         _beside(text[b : b + 1]),
+        _word(_WORD_BEFORE.search(text, max(0, a - 30), a), FEATURES["word_before"]),
+        _word(_WORD_AFTER.match(text, b, b + 30), FEATURES["word_after"]),
         *file,
     )
     return [int(o + v) for o, v in zip(_BASE, values)]
@@ -89,7 +102,7 @@ def _features(text: str, a: int, b: int, file: tuple[int, int]) -> list[int]:
 
 def runs(text: str) -> list[list[tuple[int, int, list[int]]]]:
     """Runs of neighbouring tokens that may be secrets: (start, end, features)."""
-    found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    found = [(m.start() + (text[m.start()] in "\"'"), m.end()) for m in _TOKEN.finditer(text)]
     found = [(a, b) for a, b in found if b - a >= 6]
     if not found:
         return []
@@ -140,10 +153,9 @@ class Crf:
 
 @dataclass(frozen=True)
 class ScanSettings:
-    #: About so many documents with, and without, a base span are read for training,
-    #: and at most so many of their runs used.
+    #: About so many runs with, and without, a base span are read for training.
     train_runs: int = 3000
-    #: Longer runs are cut for training only.
+    #: Longer runs are cut in parts, for training only.
     train_length: int = 24
     steps: int = 200
     rate: float = 0.1
@@ -235,18 +247,44 @@ def _cut(tokens: list[int], lengths: list[int]) -> list[list[list[int]]]:
     return out
 
 
+def _parts(scanned: DataFrame, s: ScanSettings) -> DataFrame:
+    """All runs in parts of the training length.
+
+    A token beside a key word that no base pattern covers is not known to be
+    clean, so parts with one do not train.
+    """
+    out = pa.schema([("cells", pa.list_(pa.int64())), ("positive", pa.bool_())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells, positive = [], []
+            for tokens, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for run in _cut(tokens, lengths):
+                    for at in range(0, len(run), s.train_length):
+                        part = run[at : at + s.train_length]
+                        if any(c[2] == OUT and _KEYED in c[3:] for c in part):
+                            continue
+                        cells.append([x for c in part for x in c])
+                        positive.append(any(c[2] for c in part))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.int64())), pa.array(positive, pa.bool_())], schema=out)
+
+    return scanned.where(F.size("lengths") > 0).select("tokens", "lengths").mapInArrow(cut, "cells array<long>, positive boolean")
+
+
 def fit(scanned: DataFrame, s: ScanSettings = ScanSettings()) -> Crf:
-    """Train on at most ``train_runs`` documents' runs of either kind."""
+    """Train on about ``train_runs`` parts of runs of either kind, chosen by hash.
+
+    Equal parts (repeated rows) count once, so the sample is bounded.
+    """
+    parts = _parts(scanned, s)
+    sizes = dict(parts.groupBy("positive").count().collect())
     samples = []
     for positive in (True, False):
-        some = hash_sample(scanned.where((F.size("lengths") > 0) & (F.col("positive") == positive)), s.train_runs, "doc_id")
-        taken = some.select(F.slice("tokens", 1, _WIDTH * s.train_length).alias("tokens"), F.slice("lengths", 1, s.train_length).alias("lengths")).collect()
-        kept = 0
-        for row in sorted(taken, key=lambda r: r.tokens):
-            for run in _cut(row.tokens, row.lengths):
-                if run and kept < s.train_runs:
-                    samples.append(([c[3:] for c in run], [c[2] for c in run]))
-                    kept += 1
+        share = min(1.0, s.train_runs / max(1, sizes.get(positive, 0)))
+        chosen = parts.where((F.col("positive") == positive) & (F.pmod(F.xxhash64("cells"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("cells").distinct()
+        for row in sorted(r.cells for r in chosen.collect()):
+            cells = [row[i : i + _WIDTH] for i in range(0, len(row), _WIDTH)]
+            samples.append(([c[3:] for c in cells], [c[2] for c in cells]))
     return train_crf(samples, s)
 
 

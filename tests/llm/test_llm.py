@@ -100,6 +100,16 @@ def test_languages_of_held_out_documents(docs):
     assert out.where("lang_pred = lang").count() >= 0.9 * out.count()
 
 
+def test_letters_are_what_unicode_says(spark):
+    assert language_id.letters("½ ² Ⅷ 12_") == "" and language_id.letters("Aé½b ⅷ 日本") == " aé b 日本 "
+    data = [(i, "der hund und die katze " * 3, "de") for i in range(30)] + [(100 + i, "the dog and the cat " * 3, f"x{i}") for i in range(230)] + [(500, "½ ²", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    assert len(model.languages) == 231
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert got[0] == "de" and got[500] == "und" and got[100].startswith("x")
+
+
 def test_leaks_are_all_found_and_nothing_else(spark, docs, rows):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
@@ -388,6 +398,20 @@ def test_crf_learns_and_viterbi_is_best():
     assert tuple(crf.decode(f)) == max(itertools.product(range(3), repeat=4), key=score)
 
 
+def test_secrets_beyond_the_base_patterns(spark):
+    """The CRF learns from base spans and finds keys that no pattern covers; plain text stays."""
+    rng = np.random.default_rng(21)
+    key = lambda n=20: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
+    plain = ["the version 2024.10.1 of module alpha3 runs since 12:30", "see chapter12 and figure7b on page 310", "McDonald and iPhone owners met in Room101", "ratio: medium and colour=green for item0042x"]
+    data = [(i, f"some words here {'password' if i % 2 else 'api_key'}: {key()} {plain[i % 4]}") for i in range(400)]
+    data += [(1000 + i, f"some words here credential: {key()} {plain[i % 4]}") for i in range(50)]
+    data += [(2000 + i, f"{plain[i % 4]} {plain[(i + 1) % 4]}") for i in range(200)]
+    got = {r.doc_id: r for r in secret_scan.find_secrets(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = sum(got[1000 + i].n_crf == 1 and got[1000 + i].n_assign == 0 for i in range(50))
+    wrong = sum(got[i].n_crf for i in [*range(400), *range(2000, 2200)])
+    assert found >= 45 and wrong <= 6, (found, wrong)
+
+
 def test_redaction_keeps_everything_else(spark):
     data = [(1, "x password=b7db7aa4a5fcc78305 y", "k"), (2, "clean text", None), (3, None, "k")]
     out = secret_scan.redact(spark.createDataFrame(data, "doc_id long, text string, base string"))
