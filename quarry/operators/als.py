@@ -1,8 +1,10 @@
 """Alternating least squares for implicit feedback, on DataFrames.
 
-A half-step joins ratings with the other side's factors by a shuffle on the
-item, brings each row's entries together sorted, and solves rows in a stream:
-memory is one k×k system, whatever a row's length.  YᵀY is one small matrix.
+A half-step joins ratings with the other side's factors on the item, brings
+each row's entries together sorted, and solves rows in a stream: memory is one
+k×k system, whatever a row's length.  The entries of a row with very many are
+dealt to several tasks, whose partial systems are added up before it is solved.
+YᵀY is one small matrix.
 Each half-step is cut from its lineage by a table in the shared folder.
 """
 
@@ -40,42 +42,72 @@ def normal_parts(value: np.ndarray, y: np.ndarray, s: RecommenderSettings) -> tu
     return (w + y.T @ y if s.loss_ignores_unspecified else w), b
 
 
-def half_step(r: DataFrame, y: DataFrame, s: RecommenderSettings) -> DataFrame:
-    """(user_id, features) from ratings (user_id, item_id, value) and (item_id, features)."""
-    whole = gram(y)
-    k = len(whole)
-    base = np.zeros((k, k)) if s.loss_ignores_unspecified else whole
-    ridge = s.lambda_ * s.alpha
-    schema = pa.schema([("user_id", pa.int64()), ("features", pa.list_(pa.float32()))])
+def normal_equations(r: DataFrame, y: DataFrame, s: RecommenderSettings, hot_rows: int = 200_000) -> DataFrame:
+    """(user_id, n, w, b) of every user: entries, the flat k×k matrix and the right-hand side.
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A user with more than ``hot_rows`` entries has several rows, to be added up.
+    """
+    schema = pa.schema([("user_id", pa.int64()), ("n", pa.int64()), ("w", pa.list_(pa.float64())), ("b", pa.list_(pa.float64()))])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        for b in batches:
-            if not b.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            users, value, f = b.column(0).to_numpy(), b.column(1).to_numpy().astype(float), matrix(b.column(2))
+            users, value, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float), matrix(batch.column(2))
             edges = np.concatenate(([0], np.flatnonzero(np.diff(users)) + 1, [len(users)]))
-            done: tuple[list, list] = ([], [])
+            done: list[tuple] = []
             for x, z in zip(edges[:-1], edges[1:]):
                 w, c = normal_parts(value[x:z], f[x:z], s)
                 if users[x] == now:
-                    state = (state[0] + w, state[1] + c, state[2] + z - x)
+                    state = (int(state[0] + z - x), state[1] + w, state[2] + c)
                 else:
                     if state is not None:
-                        done[0].append(now)
-                        done[1].append(_solved(base, ridge, *state))
-                    now, state = users[x], (w, c, z - x)
-            if done[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.list_(pa.float32()))], schema=schema)
+                        done.append((int(now), state[0], state[1].reshape(-1), state[2]))
+                    now, state = users[x], (int(z - x), w, c)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), schema)], schema=schema)
         if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([_solved(base, ridge, *state)], pa.list_(pa.float32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip((int(now), state[0], state[1].reshape(-1), state[2]), schema)], schema=schema)
+
+    counts = r.groupBy("user_id").agg(F.count("*").alias("held")).where(F.col("held") > hot_rows)
+    rows = r.join(y, "item_id").where("features is not null").join(counts, "user_id", "left")
+    part = F.when(F.col("held").isNotNull(), F.pmod(F.xxhash64("item_id"), F.ceil(F.col("held") / hot_rows))).otherwise(0).alias("part")
+    rows = rows.select("user_id", "value", "features", part).repartition("user_id", "part").sortWithinPartitions("user_id", "part")
+    return rows.select("user_id", "value", "features").mapInArrow(add_up, "user_id long, n long, w array<double>, b array<double>")
+
+
+def half_step(r: DataFrame, y: DataFrame, s: RecommenderSettings, hot_rows: int = 200_000) -> DataFrame:
+    """(user_id, features) from ratings (user_id, item_id, value) and (item_id, features)."""
+    whole = gram(y)
+    k = len(whole)
+    base = np.zeros((k, k)) if s.loss_ignores_unspecified else whole
+    ridge = s.lambda_ * s.alpha
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_solved(base, ridge, w.reshape(k, k), b, n) for n, w, b in zip(batch.column(1).to_pylist(), matrix(batch.column(2)), matrix(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=["user_id", "features"])
 
-    rows = r.join(y, "item_id").select("user_id", "value", "features").where("features is not null")
-    return rows.repartition("user_id").sortWithinPartitions("user_id").mapInArrow(solve, "user_id long, features array<float>")
+    parts = normal_equations(r, y, s, hot_rows)
+    is_hot = r.groupBy("user_id").count().where(F.col("count") > hot_rows).select("user_id")
+    if not is_hot.isEmpty():  # their partial systems are added up; there are few such users
+        parts = cut_lineage(parts, "systems")
+        cells = lambda c: parts.join(is_hot, "user_id", "left_semi").select("user_id", F.posexplode(c).alias("i", "v")).groupBy("user_id", "i").agg(F.sum("v").alias("v")).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda z: z["v"]).alias(c))
+        sizes = parts.join(is_hot, "user_id", "left_semi").groupBy("user_id").agg(F.sum("n").alias("n"))
+        merged = sizes.join(cells("w"), "user_id").join(cells("b"), "user_id").select("user_id", "n", "w", "b")
+        parts = parts.join(is_hot, "user_id", "left_anti").select("user_id", "n", "w", "b").union(merged)
+    return parts.mapInArrow(solve, "user_id long, features array<float>")
 
 
 def _solved(base: np.ndarray, ridge: float, w: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    return np.linalg.solve(base + w + ridge * n * np.eye(len(b)), b).astype(np.float32)
+    """The system's solution; of a singular one the shortest of the best."""
+    a = base + w + ridge * n * np.eye(len(b))
+    try:
+        np.linalg.cholesky(a)
+        return np.linalg.solve(a, b).astype(np.float32)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, b, rcond=1e-10)[0].astype(np.float32)
 
 
 def initial_factors(ids: DataFrame, k: int, seed: int = 1729, previous: DataFrame | None = None) -> DataFrame:

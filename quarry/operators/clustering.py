@@ -46,17 +46,83 @@ def assign(points: DataFrame, centers: np.ndarray | list, vec: str = "vec") -> D
     return points.mapInArrow(nearest, schema)
 
 
-def assign_expression(vec: Column, centers: list[list[float]]) -> Column:
-    """Struct (sq, center_id) of the nearest of a few centres, inside the JVM."""
-    return F.array_min(F.array(*(F.struct(V.squared_distance(vec, F.array(*map(F.lit, map(float, c)))).alias("sq"), F.lit(i).alias("center_id")) for i, c in enumerate(centers))))
-
-
 def centroids(assigned: DataFrame, size: int, vec: str = "vec", weight: Column | None = None) -> DataFrame:
     """(center_id, n, centroid): weighted means with partial sums."""
     w = F.lit(1.0) if weight is None else weight
     return assigned.groupBy("center_id").agg(F.sum(w).alias("n"), F.array(*(F.sum(F.col(vec)[i] * w) / F.sum(w) for i in range(size))).alias("centroid"))
 
 
+def lloyd_many(points: DataFrame, models: list[list[list[float]]], iterations: int = 1, vec: str = "vec") -> list[list[list[float]]]:
+    """Lloyd steps of several centre sets, each step one pass over the points.
+
+    A task adds up sums for its points; what is shuffled has a row for each
+    centre, element and task.
+    """
+    now = [np.asarray(m, float) for m in models]
+    for _ in range(iterations):
+
+        def part(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros((len(m), m.shape[1] + 1)) for m in now]
+            for b in batches:
+                x = matrix(b.column(0))
+                for k, m in enumerate(now if len(x) else []):
+                    near = distances(x, m).argmin(1)
+                    np.add.at(sums[k], near, np.column_stack([np.ones(len(x)), x]))
+            for k, total in enumerate(sums):
+                c, e = np.nonzero(np.ones_like(total))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k)), pa.array(c), pa.array(e), pa.array(total.reshape(-1))], names=["model", "center", "e", "v"])
+
+        rows = points.select(vec).where(F.col(vec).isNotNull()).mapInArrow(part, "model long, center long, e long, v double").groupBy("model", "center", "e").agg(F.sum("v").alias("v")).collect()
+        totals = [np.zeros((len(m), m.shape[1] + 1)) for m in now]
+        for r in rows:
+            totals[r["model"]][r["center"], r["e"]] = r["v"]
+        now = [np.where(t[:, :1] > 0, t[:, 1:] / np.maximum(t[:, :1], 1), m) for t, m in zip(totals, now)]
+    return [m.tolist() for m in now]
+
+
+class CenterIndex:
+    """Nearest centres of several models through sign bits of random planes.
+
+    The centres with the ``shortlist`` smallest Hamming distances are compared
+    exactly, by squared lengths and products; ``exact`` compares all.
+    """
+
+    def __init__(self, models: list, bits: int = 64, shortlist: int = 10, seed: int = 1729):
+        self.centers = [np.asarray(m, float) for m in models]
+        size = self.centers[0].shape[1]
+        self.planes = np.random.default_rng(seed).normal(size=(size, bits))
+        self.signs = [m @ self.planes > 0 for m in self.centers]
+        self.squares = [(m * m).sum(1) for m in self.centers]
+        self.shortlist = shortlist
+
+    def nearest(self, x: np.ndarray, model: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Centre ids and squared distances of the rows of ``x``."""
+        c, own = self.centers[model], (x * x).sum(1)
+        if exact or len(c) <= self.shortlist:
+            d = own[:, None] + self.squares[model] - 2 * x @ c.T
+            best = d.argmin(1)
+            return best, np.maximum(d[np.arange(len(x)), best], 0)
+        away = ((x @ self.planes > 0)[:, None, :] != self.signs[model]).sum(2)
+        some = np.argsort(away, axis=1, kind="stable")[:, : self.shortlist]
+        d = own[:, None] + self.squares[model][some] - 2 * np.einsum("nd,nkd->nk", x, c[some])
+        at = d.argmin(1)
+        rows = np.arange(len(x))
+        return some[rows, at], np.maximum(d[rows, at], 0)
+
+    def assign(self, points: DataFrame, model: int = 0, exact: bool = False, vec: str = "vec") -> DataFrame:
+        """Adds center_id and sq of one model."""
+        schema = T.StructType([*points.schema, T.StructField("center_id", T.IntegerType()), T.StructField("sq", T.DoubleType())])
+        at = points.columns.index(vec)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    best, sq = self.nearest(matrix(b.column(at)), model, exact)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.astype(np.int32)), pa.array(sq)], names=[*b.schema.names, "center_id", "sq"])
+
+        return points.mapInArrow(near, schema)
+
+
 def lloyd(points: DataFrame, centers: list[list[float]], iterations: int = 1, vec: str = "vec") -> list[list[float]]:
     """Distributed Lloyd steps; a centre without points stays."""
     now = [list(map(float, c)) for c in centers]
@@ -203,12 +269,36 @@ def select_k(points: DataFrame, s: ClusterSettings = ClusterSettings(), key: str
 
 
 def covariance(assigned: DataFrame, size: int, vec: str = "vec") -> DataFrame:
-    """(center_id, i, j, mean_i, mean_j, cov), i <= j: population covariances."""
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    v = F.col(vec)
-    sums = assigned.groupBy("center_id").agg(*(F.avg(v[i]).alias(f"m{i}") for i in range(size)), *(F.covar_pop(v[i], v[j]).alias(f"c{i}_{j}") for i, j in pairs))
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"m{i}").alias("mean_i"), F.col(f"m{j}").alias("mean_j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs))
-    return sums.select("center_id", F.inline(cells))
+    """(center_id, i, j, mean_i, mean_j, cov), i <= j: population covariances.
+
+    Every task adds up its own products, about one row of the data so that far
+    means lose no digits; only size² numbers a cluster and task are shuffled.
+    """
+    some = assigned.select(vec).where(F.col(vec).isNotNull()).first()
+    shift = np.array(some[0], float) if some else np.zeros(size)
+    i, j = np.triu_indices(size)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1)) - shift
+            for k in np.unique(ids).tolist():
+                own = x[ids == k]
+                now = sums.setdefault(k, [0, np.zeros(size), np.zeros((size, size))])
+                now[0] += len(own)
+                now[1] += own.sum(0)
+                now[2] += own.T @ own
+        for k, (n, total, products) in sums.items():
+            full = len(i)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(full, k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(full, float(n))), pa.array(total[i]), pa.array(total[j]), pa.array(products[i, j])], names=["center_id", "i", "j", "n", "si", "sj", "q"])
+
+    sums = assigned.select("center_id", vec).where(F.col(vec).isNotNull()).mapInArrow(part, "center_id int, i int, j int, n double, si double, sj double, q double")
+    sums = sums.groupBy("center_id", "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "si", "sj", "q")))
+    origin = F.array(*map(F.lit, shift.tolist()))
+    mean = lambda c, at: origin[F.col(at)] + F.col(c) / F.col("n")
+    return sums.select("center_id", "i", "j", mean("si", "i").alias("mean_i"), mean("sj", "j").alias("mean_j"), (F.col("q") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n")).alias("cov"))
 
 
 def outliers(assigned: DataFrame, cells: DataFrame, size: int, vec: str = "vec") -> DataFrame:

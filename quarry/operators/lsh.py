@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import BLOCK_ROWS, CELLS
 
 
 def planes(hashes: int, size: int, seed: int = 1729) -> list[list[int]]:
@@ -29,14 +32,36 @@ def signature(v: Column, mean: list[float], signs: list[list[int]]) -> Column:
 
 
 def max_distance(hashes: int, ratio: float) -> int:
-    """The largest Hamming distance that keeps about ``ratio`` of the items."""
-    total, at = 0.0, 0
-    while at <= hashes:
-        total += comb(hashes, at) / 2**hashes
-        if total >= ratio:
-            break
-        at += 1
-    return max(0, at - 1)
+    """The largest Hamming distance whose share of all signatures is under ``ratio``."""
+    shares = np.cumsum([comb(hashes, k) / 2**hashes for k in range(hashes + 1)])
+    return max(0, int(np.searchsorted(shares, ratio)) - 1)
+
+
+def near(asked: DataFrame, items: DataFrame, distance: int) -> DataFrame:
+    """(asked, item_id): items within the distance of each asked signature.
+
+    ``asked`` has (asked, signature), a query set; blocks of bounded size of it
+    are broadcast, and items stream past each.
+    """
+    spark = items.sparkSession
+    schema = pa.schema([("asked", pa.int64()), ("item_id", pa.int64())])
+    out = spark.createDataFrame([], "asked long, item_id long")
+    parts = -(-asked.count() // BLOCK_ROWS)
+    for k in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("asked"), F.lit(parts)) == k).select("asked", "signature").toArrow()
+        shared = spark.sparkContext.broadcast((block["asked"].to_numpy(), block["signature"].to_numpy()))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, own = shared.value
+            step = max(1, CELLS // max(1, len(own)))
+            for b in batches:
+                item, signs = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for at in range(0, len(item), step):
+                    i, j = np.nonzero(np.bitwise_count(signs[at : at + step, None] ^ own) <= distance)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(item[at : at + step][i])], schema=schema)
+
+        out = out.union(items.select("item_id", "signature").mapInArrow(compare, "asked long, item_id long"))
+    return out
 
 
 class SignIndex:

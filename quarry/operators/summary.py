@@ -32,9 +32,13 @@ def histogram(df: DataFrame, columns: list[str], cap: int = 1_000_000) -> DataFr
     """(column, level, n), the alphabetically first ``cap`` levels, and whether some were left out."""
     pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns))).alias("p")).select("p.*")
     counts = pairs.where("level is not null").groupBy("column", "level").agg(F.count("*").alias("n"))
-    kept = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("level"))).where(F.col("rank") <= cap)
-    sizes = counts.groupBy("column").agg((F.count("*") > cap).alias("trimmed"))
-    return kept.drop("rank").join(sizes, "column")
+    sizes = counts.groupBy("column").agg(F.count("*").alias("size"))
+    sized = counts.join(sizes, "column").withColumn("trimmed", F.col("size") > cap)
+    if sizes.where(F.col("size") > cap).isEmpty():
+        return sized.drop("size")
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("level"))
+    kept = sized.where("trimmed").withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
+    return sized.where("not trimmed").union(kept).drop("size")
 
 
 def to_json(summary: DataFrame) -> DataFrame:
@@ -46,11 +50,17 @@ def counted(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
     return {r["column"]: {k: r[k] for k in NUMBERS} for r in numeric_summary(df, columns).collect()}
 
 
+class TooManyLevels(ValueError):
+    """A column has more levels than a vector may have places."""
+
+
 def levels(df: DataFrame, columns: list[str], cap: int = 1_000_000) -> dict[str, list[str]]:
-    """Sorted levels of each categorical column."""
+    """Sorted levels of each categorical column; TooManyLevels beyond the cap."""
     out: dict[str, list[str]] = {c: [] for c in columns}
     if columns:
-        for r in histogram(df, columns, cap).select("column", "level").orderBy("column", "level").collect():
+        for r in histogram(df, columns, cap).select("column", "level", "trimmed").orderBy("column", "level").collect():
+            if r["trimmed"]:
+                raise TooManyLevels(f"column {r['column']} has more than {cap} levels")
             out[r["column"]].append(r["level"])
     return out
 

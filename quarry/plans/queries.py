@@ -17,7 +17,7 @@ from ..streaming import flows
 from .serving import Rescorer
 from .storage import shared_folder
 
-DIM = 8  # leading vector elements for covariance, clusters and outliers
+DIM = 64  # elements of a vector
 CENTERS = 5
 
 
@@ -169,7 +169,7 @@ def fold_in_weight(spark, d):
 
 
 def recommend_to_anonymous(spark, d):
-    return recommend.recommend_to_anonymous(_items(spark, d), [1, 2, 3], [1.0, 2.0, 3.0], 10)
+    return recommend.recommend_to_anonymous(_items(spark, d), [1, 2, 3], [1.0, 2.0, 3.0], 10).withColumn("value", F.round("value", 6))
 
 
 def column_summary(spark, d):
@@ -197,14 +197,14 @@ def one_hot(spark, d):
 
 
 def _points(spark, d) -> DataFrame:
-    return load(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, DIM).cast("array<double>").alias("vec"))
+    return load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def _centers(spark, d) -> list[list[float]]:
     return [list(r["vec"]) for r in _points(spark, d).where(F.col("vec_id") < CENTERS).orderBy("vec_id").collect()]
 
 
-ASSIGN = f"""pts as (select vec_id, label, list_transform(embedding[1:{DIM}], lambda x: x::double) v from embeddings),
+ASSIGN = f"""pts as (select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings),
  dist as (select p.vec_id, p.label, p.v, c.vec_id cid, list_sum(list_transform(list_zip(p.v, c.v), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) sq from pts p, (select * from pts where vec_id < {CENTERS}) c),
  asg as (select vec_id, label, v, arg_min(cid, (sq, cid)) cid, min(sq) sq from dist group by 1, 2, 3)"""
 
@@ -234,7 +234,7 @@ def contingency_vi_vd(spark, d):
 
 def cluster_covariance(spark, d):
     c = clustering.covariance(clustering.assign(_points(spark, d), _centers(spark, d)), DIM)
-    return c.select(F.col("center_id").cast("long").alias("center_id"), "i", "j", F.round("cov", 5).alias("cov"))
+    return c.select(F.col("center_id").cast("long").alias("center_id"), "i", "j", (F.round("cov", 5) + 0.0).alias("cov"))
 
 
 def outlier_scores(spark, d):
@@ -262,11 +262,11 @@ def tree_fold_assign(spark, d):
 
 
 def als_normal_equations(spark, d):
-    """The right-hand side and diagonal weight of each user's system."""
-    p = prefs(spark, d).withColumn("c", 1 + 0.1 * F.abs("value"))
-    y = _items(spark, d)
-    joined = p.join(y, "item_id").select("user_id", "c", F.posexplode(F.slice("features", 1, DIM)).alias("i", "f"))
-    return joined.groupBy("user_id", "i").agg(F.round(F.sum(F.col("c") * F.col("f")), 3).alias("b"), F.round(F.sum((F.col("c") - 1) * F.col("f").cast("double") * F.col("f")), 3).alias("w"))
+    """Each user's right-hand side and the sums of the rows of the whole matrix."""
+    parts = als.normal_equations(prefs(spark, d), _items(spark, d), RecommenderSettings(alpha=0.1))
+    rows = parts.select("user_id", "n", F.posexplode("b").alias("i", "b"), "w")
+    row = F.aggregate(F.slice("w", F.col("i") * DIM + 1, DIM), F.lit(0.0), lambda x, y: x + y)
+    return rows.select("user_id", "n", "i", F.round("b", 3).alias("b"), F.round(row, 3).alias("w"))
 
 
 def als_factors(spark, d):
@@ -297,43 +297,28 @@ def lsh_signature(spark, d):
 
 def lsh_candidates(spark, d):
     s = _signatures(spark, d)
-    asked = F.broadcast(s.where("item_id < 10").select(F.col("item_id").alias("asked"), F.col("signature").alias("own")))
-    near = s.join(asked, F.bit_count(F.col("signature").bitwiseXOR(F.col("own"))) <= lsh.max_distance(16, 0.1))
-    return near.select("asked", "item_id")
+    asked = s.where("item_id % 20 = 0").select(F.col("item_id").alias("asked"), "signature")
+    return lsh.near(asked, s, lsh.max_distance(16, 0.1))
 
 
 def class_entropy(spark, d):
-    c = load(spark, d, "lineitem").groupBy("l_shipdate", "l_returnflag").count().groupBy("l_shipdate").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("count") > 1, F.col("count") * F.ln("count")).otherwise(0.0)).alias("s"))
-    return c.select(F.col("l_shipdate").cast("date").cast("string").alias("day"), F.round(F.ln("n") - F.col("s") / F.col("n"), 6).alias("entropy"))
+    c = forest.class_counts(load(spark, d, "lineitem"), ["l_shipdate"], "l_returnflag", ["A", "N", "R"])
+    return c.select(F.col("l_shipdate").cast("date").cast("string").alias("day"), F.round(forest.entropy_of("stats"), 6).alias("entropy"))
 
 
 def split_gain_categorical(spark, d):
-    """Gain for the class of the return flag at every quantity, by prefix sums."""
-    li = load(spark, d, "lineitem")
-    classes = ["A", "N", "R"]
-    per = li.groupBy("l_quantity").agg(*(F.sum((F.col("l_returnflag") == c).cast("double")).alias(c) for c in classes))
-    before, whole = Window.orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    cum = per.select("l_quantity", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"l{c}") for c in classes), *(F.sum(c).over(whole).alias(f"t{c}") for c in classes))
-    xlogx = lambda x: F.when(x > 1, x * F.ln(x)).otherwise(0.0)
-    nl, nt = sum(F.col(f"l{c}") for c in classes), sum(F.col(f"t{c}") for c in classes)
-    rows = cum.withColumns({"nl": nl, "nt": nt}).where("nl > 0")
-    ent = lambda p, n: F.ln(n) - sum(xlogx(p(c)) for c in classes) / n
-    left, right, both = ent(lambda c: F.col(f"l{c}"), F.col("nl")), ent(lambda c: F.col(f"t{c}") - F.col(f"l{c}"), F.col("nt") - F.col("nl")), ent(lambda c: F.col(f"t{c}"), F.col("nt"))
-    gain = both - (F.col("nl") * left + (F.col("nt") - F.col("nl")) * right) / F.col("nt")
-    return rows.select("l_quantity", F.round(gain, 8).alias("gain"))
+    """Gain for the class of the return flag at every quantity."""
+    cells = forest.class_counts(load(spark, d, "lineitem"), ["l_quantity"], "l_returnflag", ["A", "N", "R"])
+    gains = forest.gains(cells.select(F.lit(0).alias("node"), F.col("l_quantity").alias("x"), "stats"), ["node"], ["A", "N", "R"])
+    return gains.select(F.col("x").alias("l_quantity"), F.round("gain", 8).alias("gain"))
 
 
 def split_gain_numeric(spark, d):
     """Half log-variance gain for the tax at every quantity."""
-    y = F.round(F.col("l_tax") * 100)
-    per = load(spark, d, "lineitem").groupBy("l_quantity").agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    before = Window.orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, -1)
-    rows = per.select("l_quantity", *(F.sum(c).over(before).alias(f"l{c}") for c in "nsq"), *(F.sum(c).over(Window.partitionBy()).alias(f"t{c}") for c in "nsq")).where("ln > 1 and tn - ln > 1")
-    var = lambda n, s, q: (q - s * s / n) / (n - 1)
-    c = F.col
-    vl, vr, v = var(c("ln"), c("ls"), c("lq")), var(c("tn") - c("ln"), c("ts") - c("ls"), c("tq") - c("lq")), var(c("tn"), c("ts"), c("tq"))
-    gain = 0.5 * (F.ln(v) - (c("ln") * F.ln(vl) + (c("tn") - c("ln")) * F.ln(vr)) / c("tn"))
-    return rows.select("l_quantity", F.round(gain, 8).alias("gain"))
+    li = load(spark, d, "lineitem").withColumn("y", F.round(F.col("l_tax") * 100))
+    cells = forest.class_counts(li, ["l_quantity"], "y", None)
+    gains = forest.gains(cells.select(F.lit(0).alias("node"), F.col("l_quantity").alias("x"), "stats"), ["node"], None)
+    return gains.where("gain is not null").select(F.col("x").alias("l_quantity"), F.round("gain", 8).alias("gain"))
 
 
 def weighted_vote(spark, d):
@@ -356,9 +341,9 @@ def forest_build(spark, d):
 
 
 def decision_predicates(spark, d):
-    c = load(spark, d, "customer")
-    numeric = F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")) >= 4500, F.lit(True))
-    level = F.coalesce(F.array_contains(F.array(F.lit("BUILDING"), F.lit("MACHINERY")), F.col("c_mktsegment")), F.lit(False))
+    c = load(spark, d, "customer").withColumn("positive", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    numeric = forest.Node("r", feature="positive", threshold=4500.0, default=True).condition()
+    level = forest.Node("r", feature="c_mktsegment", categories=["BUILDING", "MACHINERY"], default=False).condition()
     return c.select("c_custkey", numeric.alias("numeric_side"), level.alias("level_side"))
 
 
@@ -375,19 +360,24 @@ def events_hourly_stats(spark, d):
 
 
 def sliding_hour_stats(spark, d):
-    """For each event, the hour up to it, as a range frame by type."""
-    e = load(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("event_type").orderBy("s").rangeBetween(-3_600_000_000, 0)
-    return e.select("event_id", F.count("*").over(w).alias("n"), F.round(F.min("value").over(w), 4).alias("low"), F.round(F.max("value").over(w), 4).alias("high"))
+    """For each event, the hour up to it, by type."""
+    out = flows.trailing_stats(load(spark, d, "events"))
+    return out.select("event_id", "n", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+STREAM_CUTS = ("1994-01-01", "1996-01-01")
 
 
 def stream_merge(spark, d):
-    """All of a stream's waiting files merged, batch after batch."""
+    """A stream's waiting files merged in order: one of each span of order dates."""
     import uuid
 
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    _, new = _generations(spark, d)
-    new.select("user_id", "item_id", "value", "is_delete").coalesce(1).write.parquet(f"{at}/inbound")
+    day = F.col("o_orderdate")
+    spans = F.when(day < F.lit(STREAM_CUTS[0]).cast("timestamp"), 0).when(day < F.lit(STREAM_CUTS[1]).cast("timestamp"), 1).otherwise(2)
+    rows = _lines(spark, d).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("value"), (F.col("l_returnflag") == "R").alias("is_delete"), spans.alias("span"))
+    for k in range(3):  # files are taken in the order of their times; one batch, one file
+        rows.where(F.col("span") == k).drop("span").coalesce(1).write.mode("append").parquet(f"{at}/inbound")
     out = flows.merge_stream(spark, f"{at}/inbound", "user_id long, item_id long, value double, is_delete boolean", f"{at}/state", f"{at}/checkpoint")
     return out.withColumn("value", F.round("value", 4))
 
@@ -463,16 +453,16 @@ SQL: dict[str, str] = {
     "contingency_vi_vd": f"""with {ASSIGN}, t as (select cid a, label b, count(*)::double c from asg group by 1, 2), ra as (select a, sum(c) c, max(c) m from t group by 1), rb as (select b, sum(c) c, max(c) m from t group by 1), n as (select sum(c) n from t),
         h as (select (select sum(-c / n * ln(c / n)) from ra, n) + (select sum(-c / n * ln(c / n)) from rb, n) ent, (select sum(t.c / n * ln(t.c * n / (ra.c * rb.c))) from t join ra using (a) join rb using (b), n) mi)
         select round((2 * n - (select sum(m) from ra) - (select sum(m) from rb)) / (2 * n - (select max(c) from ra) - (select max(c) from rb)), 6) vd, round(1 - 2 * mi / ent, 6) vi from n, h""",
-    "cluster_covariance": f"with {ASSIGN}, u as (select vec_id, cid, unnest(v) x, unnest(range({DIM}))::int i from asg) select a.cid center_id, a.i, b.i j, round(covar_pop(a.x, b.x), 5) cov from u a join u b on a.vec_id = b.vec_id and a.i <= b.i group by 1, 2, 3",
+    "cluster_covariance": f"with {ASSIGN}, u as (select vec_id, cid, unnest(v) x, unnest(range({DIM}))::int i from asg) select a.cid center_id, a.i, b.i j, round(covar_pop(a.x, b.x), 5) + 0.0::double cov from u a join u b on a.vec_id = b.vec_id and a.i <= b.i group by 1, 2, 3",
     "kfold_assign": f"select c_custkey, least(floor(({_U.format('c_custkey', 1729)}) * 5)::int, 4) as fold from customer",
     "weighted_sample": f"""with t as (select p_partkey, p_size, p_brand, ln(greatest({_U.format('p_partkey', 1729)}, 1e-300)) / p_size k from part where p_size > 0)
         select p_partkey, p_size, p_brand from (select *, row_number() over (partition by p_brand order by k desc, p_partkey) r from t) where r <= 2""",
     "tree_fold_assign": "select c_custkey, tree from customer, (select unnest(range(5))::int tree) where (c_custkey % 5 - tree + 5) % 5 < 3",
-    "als_normal_equations": f"""with {PREFS}, t as (select user_id, 1 + 0.1::double * abs(value) c, unnest(embedding[1:{DIM}])::double f, unnest(range({DIM}))::int i from prefs join embeddings on vec_id = item_id)
-        select user_id, i, round(sum(c * f), 3) b, round(sum((c - 1) * f * f), 3) w from t group by 1, 2""",
+    "als_normal_equations": f"""with {PREFS}, t as (select user_id, 0.1::double * abs(value) c, list_sum(list_transform(embedding, lambda x: x::double)) total, unnest(embedding)::double f, unnest(range({DIM}))::int i from prefs join embeddings on vec_id = item_id)
+        select user_id, count(*) n, i, round(sum((1 + c) * f), 3) b, round(sum(c * f * total), 3) w from t group by 1, 3""",
     "als_convergence": f"with {PREFS} select round(sum(abs(value - value * 0.9::double) * value) / sum(value), 6) as change from prefs where value > 0",
     "lsh_signature": _signature_sql(),
-    "lsh_candidates": f"with s as ({_signature_sql()}) select a.item_id asked, s.item_id from s a, s where a.item_id < 10 and bit_count(xor(a.signature, s.signature)) <= {lsh.max_distance(16, 0.1)}",
+    "lsh_candidates": f"with s as ({_signature_sql()}) select a.item_id asked, s.item_id from s a, s where a.item_id % 20 = 0 and bit_count(xor(a.signature, s.signature)) <= {lsh.max_distance(16, 0.1)}",
     "class_entropy": "with c as (select l_shipdate, l_returnflag, count(*)::double c from lineitem group by 1, 2) select strftime(l_shipdate, '%Y-%m-%d') as day, round(ln(sum(c)) - sum(case when c > 1 then c * ln(c) else 0 end) / sum(c), 6) as entropy from c group by l_shipdate",
     "split_gain_categorical": """with p as (select l_quantity, sum((l_returnflag = 'A')::int)::double a, sum((l_returnflag = 'N')::int)::double n, sum((l_returnflag = 'R')::int)::double r from lineitem group by 1),
         c as (select l_quantity, sum(a) over w la, sum(n) over w lm, sum(r) over w lr, sum(a) over () ta, sum(n) over () tm, sum(r) over () tr from p window w as (order by l_quantity rows between unbounded preceding and 1 preceding)),
@@ -489,7 +479,10 @@ SQL: dict[str, str] = {
     "csv_round_trip": """select c_custkey, '"' || replace(c_name || ',"x" ', '"', '""') || '",,' || c_custkey as line, c_name || ',"x" ' a, '' b, c_custkey::varchar c from customer""",
     "events_hourly_stats": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') window_start, event_type, count(value) n, round(avg(value), 4) mean, round(min(value), 4) low, round(max(value), 4) high from events group by 1, 2",
     "sliding_hour_stats": "select event_id, count(*) over w n, round(min(value) over w, 4) low, round(max(value) over w, 4) high from events window w as (partition by event_type order by epoch_us(ts) range between 3600000000 preceding and current row)",
-    "stream_merge": f"select o_custkey user_id, l_partkey item_id, round(sum(l_quantity), 4) as value from lineitem join orders on l_orderkey = o_orderkey where o_orderdate >= timestamp '{SPLIT}' and l_returnflag <> 'R' group by 1, 2",
+    "stream_merge": f"""with l as (select o_custkey user_id, l_partkey item_id, l_quantity v, l_returnflag = 'R' del, case when o_orderdate < timestamp '{STREAM_CUTS[0]}' then 0 when o_orderdate < timestamp '{STREAM_CUTS[1]}' then 1 else 2 end k from lineitem join orders on l_orderkey = o_orderkey),
+        a as (select user_id, item_id, coalesce(sum(v) filter (k = 0 and not del), 0) a0, coalesce(sum(v) filter (k = 1 and not del), 0) a1, coalesce(sum(v) filter (k = 2 and not del), 0) a2, coalesce(bool_or(del) filter (k = 1), false) d1, coalesce(bool_or(del) filter (k = 2), false) d2 from l group by 1, 2),
+        m as (select user_id, item_id, case when d2 then 0 else case when d1 then 0 else a0 end + a1 end + a2 as value from a)
+        select user_id, item_id, round(value, 4) as value from m where abs(value) > 0""",
     "unit_vectors": "select p_partkey item_id, 1.0::double as length from part",
     "uniform_draws": f"select c_custkey, {_U.format('c_custkey', 7)} u from customer",
 }

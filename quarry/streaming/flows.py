@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import preferences
 from ..operators.blocks import gram
 from ..operators.recommend import updated_vectors
+from ..plans.generation import DONE, Store
 
 
 def windowed_stats(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -19,22 +21,46 @@ def windowed_stats(events: DataFrame, length: str = "1 hour", slide: str | None
     return stats.select(F.col("w.start").alias("window_start"), "event_type", "n", "mean", "low", "high")
 
 
+def trailing_stats(events: DataFrame, seconds: int = 3600, key: str = "event_type", value: str = "value") -> DataFrame:
+    """For each event, (event_id, n, low, high) of its key's events in the time up to it.
+
+    Rows are dealt by key and slot of that length, each also to the next slot as
+    history, so a task has one slot of a key and not the key.
+    """
+    micros = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    slot = F.floor(at / F.lit(micros))
+    rows = events.select("event_id", F.col(key).alias("key"), F.col(value).alias("value"), at.alias("s"), F.explode(F.array(slot, slot + 1)).alias("slot"), slot.alias("own"))
+    w = Window.partitionBy("key", "slot").orderBy("s").rangeBetween(-micros, 0)
+    stats = rows.withColumns({"n": F.count("*").over(w), "low": F.min("value").over(w), "high": F.max("value").over(w)})
+    return stats.where("slot = own").select("event_id", "n", "low", "high")
+
+
 def merge_stream(spark: SparkSession, inbound: str, schema: str, state: str, checkpoint: str, decay: float = 1.0) -> DataFrame:
-    """Merge all waiting files into the state, a micro-batch at a time.
+    """Merge all waiting files into the state, a micro-batch at a time; the state.
 
-    A batch's result goes to its own numbered folder, so a batch that is run
-    again after a failure reads the same state and writes the same result.
+    A batch's result goes to its own numbered folder, and starts from the newest
+    complete one before it, so a batch that is run again after a failure reads
+    the same state and writes the same result; the last two are kept.  Without
+    waiting files the state stays as it is.
     """
+    empty = spark.createDataFrame([], "user_id long, item_id long, value double")
+    store = Store(spark, state)
+
+    def complete() -> list[int]:
+        return [int(n) for n in store.names() if n.isdigit() and store.exists(f"{n}/{DONE}")]
 
     def step(batch: DataFrame, epoch: int) -> None:
-        empty = spark.createDataFrame([], "user_id long, item_id long, value double")
-        old = spark.read.parquet(f"{state}/{epoch - 1:08d}") if epoch else empty
+        older = [e for e in complete() if e < epoch]
+        old = spark.read.parquet(f"{state}/{older[-1]:08d}") if older else empty
         preferences.merge(old, batch, decay).write.mode("overwrite").parquet(f"{state}/{epoch:08d}")
+        for e in older[:-1]:
+            store.delete(f"{e:08d}")
 
     query = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbound).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.parquet(f"{state}/{last['batchId'] if last else 0:08d}")
+    done = complete()
+    return spark.read.parquet(f"{state}/{done[-1]:08d}") if done else empty
 
 
 def fold_in(events: list[tuple[int, int, float]], x: DataFrame, y: DataFrame) -> tuple[dict[int, list[float]], dict[int, list[float]]]:
