@@ -21,7 +21,21 @@ def to_long(name: Column) -> Column:
 def mapping(df: DataFrame, *columns: str) -> DataFrame:
     """(id, name) for every string that is not its own number."""
     names = df.select(F.explode(F.array(*(F.col(c).cast("string") for c in columns))).alias("name")).where("name is not null")
-    return names.select(to_long(F.col("name")).alias("id"), "name").where("cast(id as string) <> name").groupBy("id").agg(F.min("name").alias("name"))
+    own = names.select(to_long(F.col("name")).alias("id"), "name").where("cast(id as string) <> name")
+    return own.groupBy("id").agg(F.min("name").alias("name"))
+
+
+def collisions(df: DataFrame, *columns: str) -> DataFrame:
+    """(id, names): ids that stand for several strings, of which ``mapping`` keeps the first."""
+    names = df.select(F.explode(F.array(*(F.col(c).cast("string") for c in columns))).alias("name")).where("name is not null").distinct()
+    own = names.select(to_long(F.col("name")).alias("id"), "name").groupBy("id").agg(F.count("*").alias("names"))
+    return own.where("names > 1")
+
+
+def read_mapping(lines: DataFrame, column: str = "value", delimiter: str = ",") -> DataFrame:
+    """(id, name) of saved ``id,name`` lines; the name may have the delimiter in it."""
+    parts = F.split(F.col(column), f"[{delimiter}]", 2)
+    return lines.select(parts[0].try_cast("long").alias("id"), parts[1].alias("name")).where("id is not null and name is not null")
 
 
 def decode(df: DataFrame, names: DataFrame, column: str) -> DataFrame:

@@ -31,3 +31,12 @@ def finite_double(text: Column) -> Column:
     """NULL where the text is no finite number."""
     x = text.try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def split_plain(line: Column, delimiter: str = ",") -> Column:
+    """Fields by the delimiter alone, without quotes; trailing empty ones stay."""
+    return F.split(line, f"[{delimiter}]", -1)
+
+
+def join_plain(columns: list[Column], delimiter: str = ",") -> Column:
+    return F.concat_ws(delimiter, *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))

@@ -80,5 +80,28 @@ def mean_vector(a: Column, size: int) -> Column:
     return F.array(*(F.avg(a[i].cast("double")) for i in range(size)))
 
 
+def weighted_mean(x: Column, w: Column) -> Column:
+    """An aggregate; over a window frame rows that leave it are taken off again."""
+    return F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))
+
+
+def to_text(a: Column) -> Column:
+    """``x,y,…``, or ``size:i=x,…`` where fewer than half of the elements are not zero."""
+    dense = F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    kept = F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+    sparse = F.concat(F.size(a).cast("string"), F.lit(":"), F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["i"].cast("string"), e["x"].cast("string"))), ","))
+    return F.when(F.size(kept) * 2 < F.size(a), sparse).otherwise(dense)
+
+
+def from_text(t: Column) -> Column:
+    """The array of doubles of either form."""
+    dense = F.transform(F.filter(F.split(t, ","), lambda x: x != ""), lambda x: x.try_cast("double"))
+    body = F.split(t, ":")[1]
+    cells = F.map_from_entries(F.transform(F.filter(F.split(body, ","), lambda e: e != ""), lambda e: F.struct(F.split(e, "=")[0].cast("int").alias("k"), F.split(e, "=")[1].cast("double").alias("v"))))
+    size = F.split(t, ":")[0].try_cast("int")
+    sparse = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.element_at(cells, i), F.lit(0.0)))
+    return F.when(t.contains(":"), sparse).otherwise(dense)
+
+
 def either(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

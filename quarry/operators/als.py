@@ -122,6 +122,24 @@ def initial_factors(ids: DataFrame, k: int, seed: int = 1729, previous: DataFram
     return joined.select("item_id", F.coalesce(same, F.when(old.isNotNull(), padded), "_new").cast("array<float>").alias("features"))
 
 
+def new_items(r: DataFrame) -> DataFrame:
+    """(item_id, features): every item with an empty vector, to go beside earlier ones."""
+    return r.select("item_id").distinct().select("item_id", F.array().cast("array<float>").alias("features"))
+
+
+def first_vectors(*sources: DataFrame) -> DataFrame:
+    """(item_id, features): of each item the longest of its vectors, so one that is not empty."""
+    rows = sources[0].select("item_id", "features")
+    for s in sources[1:]:
+        rows = rows.unionByName(s.select("item_id", "features"))
+    return rows.groupBy("item_id").agg(F.max_by("features", F.size("features")).alias("features"))
+
+
+def sampled(pairs: DataFrame, modulus: int) -> DataFrame:
+    """The rows whose user and item ids are both multiples of the modulus."""
+    return pairs.where((F.col("user_id") % modulus == 0) & (F.col("item_id") % modulus == 0))
+
+
 def convergence(old: DataFrame, new: DataFrame) -> DataFrame:
     """Mean of abs(new - old) weighted by new, over pairs where new > 0."""
     both = old.select("user_id", "item_id", F.col("value").alias("old")).join(new, ["user_id", "item_id"])

@@ -64,7 +64,7 @@ def recommend(x: DataFrame, y: DataFrame, r: DataFrame, user: int, n: int = 10,
     return top(rescore(scored) if rescore else scored, n)
 
 
-def recommend_to_many(x: DataFrame, y: DataFrame, r: DataFrame, users: list[int], n: int = 10, consider_known: bool = False) -> DataFrame:
+def recommend_to_many(x: DataFrame, y: DataFrame, r: DataFrame, users: list[int], n: int = 10, consider_known: bool = False, rescore=None) -> DataFrame:
     """Mean score over the users that exist, without items known to all of them."""
     from .preferences import known_to_all
 
@@ -73,7 +73,8 @@ def recommend_to_many(x: DataFrame, y: DataFrame, r: DataFrame, users: list[int]
         raise NoSuchUser(users)
     mean = np.mean([f["features"] for f in found], 0).tolist()
     candidates = y if consider_known else y.join(known_to_all(r, [f["user_id"] for f in found]), "item_id", "left_anti")
-    return top(score_by(candidates, mean), n)
+    scored = score_by(candidates, mean)
+    return top(rescore(scored) if rescore else scored, n)
 
 
 def anonymous_vector(y: DataFrame, items: list[int], values: list[float] | None = None) -> list[float]:
@@ -83,11 +84,12 @@ def anonymous_vector(y: DataFrame, items: list[int], values: list[float] | None
     if not found:
         raise NoSuchItem(items)
     right = sum(fold_in_weight_of(0.0, strength[f["item_id"]]) * np.array(f["features"], float) for f in found)
-    return np.linalg.solve(gram(y), right).tolist()
+    return _solution(gram(y), right).tolist()
 
 
-def recommend_to_anonymous(y: DataFrame, items: list[int], values: list[float] | None = None, n: int = 10) -> DataFrame:
-    return top(score_by(y.where(~F.col("item_id").isin(items)), anonymous_vector(y, items, values)), n)
+def recommend_to_anonymous(y: DataFrame, items: list[int], values: list[float] | None = None, n: int = 10, rescore=None) -> DataFrame:
+    scored = score_by(y.where(~F.col("item_id").isin(items)), anonymous_vector(y, items, values))
+    return top(rescore(scored) if rescore else scored, n)
 
 
 def estimate_for_anonymous(y: DataFrame, to_item: int, items: list[int], values: list[float] | None = None) -> DataFrame:
@@ -100,14 +102,22 @@ def estimates(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     return joined.select(*pairs.columns, F.coalesce(V.dot(F.col("_x"), F.col("_y")), F.lit(0.0)).alias("value"))
 
 
-def most_similar(y: DataFrame, items: list[int], n: int = 10) -> DataFrame:
-    """Mean cosine to the items that exist; they are left out."""
+def most_similar(y: DataFrame, items: list[int], n: int = 10, rescore=None) -> DataFrame:
+    """Mean cosine to the items that exist; they are left out.
+
+    With ``rescore`` every pair's cosine is rescored before the mean.
+    """
     found = _found(y, "item_id", items)
     if not found:
         raise NoSuchItem(items)
     unit = [np.array(f["features"], float) for f in found]
-    mean = np.mean([u / max(np.linalg.norm(u), 1e-300) for u in unit], 0)
-    scored = y.where(~F.col("item_id").isin(items)).select("item_id", V.dot(V.normalize(F.col("features")), F.array(*map(F.lit, mean.tolist()))).alias("value"))
+    unit = [u / max(np.linalg.norm(u), 1e-300) for u in unit]
+    others = y.where(~F.col("item_id").isin(items)).select("item_id", V.normalize(F.col("features")).alias("_v"))
+    if rescore is None:
+        scored = others.select("item_id", V.dot(F.col("_v"), F.array(*map(F.lit, np.mean(unit, 0).tolist()))).alias("value"))
+    else:
+        pairs = [F.struct(F.lit(f["item_id"]).alias("asked"), V.dot(F.col("_v"), F.array(*map(F.lit, u.tolist()))).alias("value")) for f, u in zip(found, unit)]
+        scored = rescore(others.select("item_id", F.inline(F.array(*pairs)))).groupBy("item_id").agg(F.avg("value").alias("value"))
     return top(scored.where(~F.isnan("value")), n)
 
 
@@ -133,4 +143,12 @@ def updated_vectors(x: list[float], y: list[float], value: float, xtx: np.ndarra
     """Both vectors after one event; both moves use the vectors before it."""
     a, b = np.array(x, float), np.array(y, float)
     w = fold_in_weight_of(float(a @ b), value)
-    return (a + w * np.linalg.solve(yty, b)).tolist(), (b + w * np.linalg.solve(xtx, a)).tolist()
+    return (a + w * _solution(yty, b)).tolist(), (b + w * _solution(xtx, a)).tolist()
+
+
+def _solution(m: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of a singular matrix the shortest of the best."""
+    try:
+        return np.linalg.solve(m, right)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(m, right, rcond=1e-10)[0]

@@ -42,6 +42,7 @@ def weighted_draws(df: DataFrame, n: int, key: str, weight: str, seed: int = 172
 
 
 def bernoulli(df: DataFrame, rate: float, key: str, seed: int = 1729) -> DataFrame:
+    """Each row with probability ``rate``, by its key."""
     return df.where(uniform(F.col(key), seed) < rate)
 
 

@@ -6,7 +6,10 @@ to will do.
 
 from __future__ import annotations
 
+import gzip
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +54,18 @@ class Store:
         out.write(bytearray(text.encode("utf-8")))
         out.close()
 
+    def write_bytes(self, name: str, content: bytes) -> None:
+        """Under another name first, which readers leave out, so nobody sees a part of it."""
+        folder, _, own = name.rpartition("/")
+        hidden = f"{folder}/_{own}.inprogress" if folder else f"_{own}.inprogress"
+        out = self._fs.create(self.at(hidden), True)
+        out.write(bytearray(content))
+        out.close()
+        self._fs.rename(self.at(hidden), self.at(name))
+
+    def age_minutes(self, name: str) -> float:
+        return time.time() / 60 - self._fs.getFileStatus(self.at(name)).getModificationTime() / 60_000
+
     def read_text(self, name: str) -> str:
         stream = self._fs.open(self.at(name))
         try:
@@ -89,6 +104,16 @@ class Generations:
         self.store.make(f"{self.name(g)}/inbound")
         return g
 
+    def settled(self, generation: int, patience_minutes: float = 20) -> bool:
+        """Whether no file is being written to a generation's input; what is left over goes."""
+        at = f"{self.name(generation)}/inbound"
+        pending = [n for n in self.store.names(at) if n.endswith((".inprogress", "._COPYING_"))]
+        for n in list(pending):
+            if self.store.age_minutes(f"{at}/{n}") > patience_minutes:
+                self.store.delete(f"{at}/{n}")
+                pending.remove(n)
+        return not pending
+
     def should_run(self, generation: int, data_threshold_mb: int = -1, minutes_since_last: float = 0, time_threshold_minutes: int = -1, forced: bool = False) -> bool:
         """First and forced runs go ahead; else by age or by new data."""
         if forced or self.newest_done() is None:
@@ -115,6 +140,46 @@ class Generations:
             self.store.delete(self.name(g))
 
 
+class AppendLog:
+    """Lines that become gzip files of the open generation's input, so many at a time."""
+
+    def __init__(self, generations: Generations, writes: int = 10_000):
+        self.generations, self.writes, self.held = generations, writes, []
+
+    def append(self, *lines: str) -> None:
+        self.held += lines
+        if len(self.held) >= self.writes:
+            self.roll()
+
+    def roll(self) -> str | None:
+        """Write what is held; the file's name."""
+        if not self.held:
+            return None
+        name = f"{self.generations.name(self.generations.open_next())}/inbound/{uuid.uuid4().hex}.csv.gz"
+        self.generations.store.write_bytes(name, gzip.compress("".join(f"{x}\n" for x in self.held).encode(), mtime=0))
+        self.held = []
+        return name
+
+
+class Reloading:
+    """A value that is made again after some time; a failure keeps the old one and waits longer."""
+
+    def __init__(self, make: Callable, seconds: float = 300, now: Callable[[], float] = time.monotonic):
+        self.make, self.seconds, self.now = make, seconds, now
+        self.value, self.due, self.failed = None, float("-inf"), 0
+
+    def get(self):
+        if self.now() >= self.due:
+            try:
+                self.value, self.failed = self.make(), 0
+            except Exception:
+                if self.value is None:
+                    raise
+                self.failed += 1
+            self.due = self.now() + self.seconds * 2 ** min(self.failed, 6)
+        return self.value
+
+
 def schedule(dependencies: Iterable[tuple[str, str | None]]) -> list[list[str]]:
     """Levels of steps from (step, needs) pairs; a cycle is an error."""
     needs: dict[str, set[str]] = {}

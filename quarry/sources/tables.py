@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import zipfile
 from collections.abc import Iterator
-from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import encode_delimited
 
@@ -20,6 +19,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "[!._]*").text(path)
 
 
+def read_lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with ``seq``, their order by the time of their file, its name and their place in it."""
+    meta = F.col("_metadata")
+    files = read_lines(spark, path).select(meta["file_modification_time"].alias("at"), meta["file_path"].alias("file")).distinct()
+    ranks = files.orderBy("at", "file").select("file").collect()  # one row for each file
+    numbered = spark.createDataFrame([(r["file"], i) for i, r in enumerate(ranks)], "file string, k long")
+    # Ids grow within a partition, and a file's blocks are read in the order of their places.
+    lines = read_lines(spark, path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"))
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
+    placed = lines.withColumn("n", within)
+    before = placed.groupBy("file", "block").agg(F.max("n").alias("size"))
+    before = before.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(before, ["file", "block"]).join(F.broadcast(numbered), "file").select("value", (F.col("k") * (1 << 40) + F.col("before") + F.col("n")).alias("seq"))
+
+
 def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the members of zip archives, one task an archive."""
 
@@ -64,32 +78,3 @@ def read_factors(spark: SparkSession, path: str, key: str) -> DataFrame:
 def read_known_items(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t")
     return read_lines(spark, path).select(parts[0].cast("long").alias("user_id"), F.split(parts[1], ",").cast("array<bigint>").alias("items"))
-
-
-def clusters_to_pmml(fields: list[str], centers: list[list[float]]) -> str:
-    inside = "".join(f'<ClusteringField field={quoteattr(f)}/>' for f in fields)
-    rows = "".join(f'<Cluster id="{i}"><Array n="{len(c)}" type="real">{" ".join(map(repr, map(float, c)))}</Array></Cluster>' for i, c in enumerate(centers))
-    return f'<PMML version="4.1"><ClusteringModel modelClass="centerBased" numberOfClusters="{len(centers)}">{inside}{rows}</ClusteringModel></PMML>'
-
-
-def forest_to_pmml(forest) -> str:
-    """Trees as nested nodes with predicates; weights on the segments."""
-
-    def node(nodes, p, predicate):
-        n = nodes[p]
-        if n.feature is None:
-            return f'<Node id="{p}" recordCount="{sum(n.counts):g}">{predicate}</Node>'
-        if n.threshold is not None:
-            test = f'<SimplePredicate field={quoteattr(n.feature)} operator="greaterOrEqual" value="{n.threshold!r}"/>'
-        else:
-            test = f'<SimpleSetPredicate field={quoteattr(n.feature)} booleanOperator="isIn"><Array type="string">{escape(" ".join(n.categories))}</Array></SimpleSetPredicate>'
-        default = p + ("+" if n.default else "-")
-        return f'<Node id="{p}" defaultChild="{default}">{predicate}{node(nodes, p + "+", test)}{node(nodes, p + "-", "<True/>")}</Node>'
-
-    kind = "classification" if forest.classes else "regression"
-    segments = "".join(f'<Segment weight="{w!r}"><True/><TreeModel functionName="{kind}">{node(t, "r", "<True/>")}</TreeModel></Segment>' for t, w in zip(forest.trees, forest.weights))
-    return f'<PMML version="4.1"><MiningModel functionName="{kind}"><Segmentation multipleModelMethod="weightedAverage">{segments}</Segmentation></MiningModel></PMML>'
-
-
-def gzip_text(text: str) -> bytes:
-    return gzip.compress(text.encode("utf-8"), mtime=0)
