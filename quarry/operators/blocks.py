@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +68,13 @@ def best_pairs(users: DataFrame, items: DataFrame, n: int, cosine: bool = False,
                     if exclude_self:
                         s[user[:, None] == own[None, :]] = np.nan
                     if with_known:
-                        for i, known in enumerate(some.column(2)):
-                            if known.is_valid and len(known):
-                                s[i, np.isin(own, known.values.to_numpy(zero_copy_only=False))] = np.nan
+                        known = some.column(2)
+                        items_known = known.flatten().to_numpy(zero_copy_only=False)
+                        row = np.repeat(np.arange(len(known)), pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False))
+                        place = np.searchsorted(own, items_known)  # a block's ids ascend
+                        place[place == len(own)] = 0
+                        here = own[place] == items_known if len(own) else np.zeros(0, bool)
+                        s[row[here], place[here]] = np.nan
                     s[~np.isfinite(s)] = -np.inf
                     keep = min(n, len(own))
                     if not keep:
