@@ -66,14 +66,14 @@ class LmSettings:
 class Network:
     """Weights as one flat float32 vector with named views.
 
-    ``out[k]`` and ``bias[k]`` belong to the nodes of level k of the tree; a
-    word's path are the digits of its id.
+    ``out[k]`` belongs to the nodes of level k of the tree, its last row being
+    the bias; a word's path are the digits of its id.
     """
 
     def __init__(self, s: LmSettings, flat: np.ndarray | None = None):
         self.s, b = s, s.branches
         nodes = [-(-s.ids // b ** (s.depth - k)) for k in range(s.depth)]
-        shapes = [(s.ids + 1, s.width), (2 * s.side, s.width), (s.width,), *((n, s.width, b) for n in nodes), *((n, b) for n in nodes)]
+        shapes = [(s.ids + 1, s.width), (2 * s.side, s.width), (s.width,), *((n, s.width + 1, b) for n in nodes)]
         sizes = [int(np.prod(x)) for x in shapes]
         if flat is None:
             flat = np.random.default_rng(3).normal(0, 0.1, sum(sizes)).astype(np.float32)
@@ -81,7 +81,7 @@ class Network:
         self.flat = flat
         views = [x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes)]
         self.embed, self.gate, self.start = views[:3]
-        self.out, self.bias = views[3 : 3 + s.depth], views[3 + s.depth :]
+        self.out = views[3:]
 
     def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids beside each word (the pad id beyond an end), and the words."""
@@ -91,21 +91,24 @@ class Network:
         return np.stack([line[at + d] for d in range(-side, side + 1) if d], 1), line[at]
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
-        total = np.tile(self.start, (len(around), 1))
+        """Of the window, and a column of ones."""
+        total = np.empty((len(around), self.s.width + 1), self.flat.dtype)
+        total[:, :-1] = self.start
         for d in range(around.shape[1]):
-            total += self.embed[around[:, d]] * self.gate[d]
-        return np.tanh(total)
+            total[:, :-1] += self.embed[around[:, d]] * self.gate[d]
+        np.tanh(total[:, :-1], out=total[:, :-1])
+        total[:, -1] = 1
+        return total
 
     def _level(self, h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of the branches at level k, the branch taken, and where nodes begin; words ascend."""
+        """Logits of the branches at level k, the branch taken, and where nodes begin; words ascend."""
         b, below = self.s.branches, self.s.depth - 1 - k
         node, digit = words // b ** (below + 1), words // b**below % b
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         z = np.empty((len(words), b), h.dtype)
         for n, x, y in zip(node[first].tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
             np.matmul(h[x:y], self.out[k][n], out=z[x:y])
-        z += self.bias[k][node]
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -80, 80, out=z)
         return z, digit, first, node[first]
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -115,7 +118,8 @@ class Network:
         h, total = self._hidden(around[order]), np.zeros(len(words))
         for k in range(self.s.depth):
             z, digit, _, _ = self._level(h, words, k)
-            total += z[rows, digit] - np.log(np.exp(z).sum(1))
+            total += z[rows, digit]
+            total -= np.log(np.exp(z, out=z).sum(1))
         out = np.empty(len(words))
         out[order] = total
         return out
@@ -126,17 +130,16 @@ class Network:
         order = np.argsort(words.astype(np.uint16) if self.s.ids < 1 << 16 else words, kind="stable")
         around, words, rows = around[order], words[order], np.arange(len(words))
         h = self._hidden(around)
-        dh = np.zeros_like(h)
+        dh = np.zeros((len(words), self.s.width), h.dtype)
         for k in range(self.s.depth):
             p, digit, first, nodes = self._level(h, words, k)
             np.exp(p, out=p)
             p /= p.sum(1, keepdims=True)
             p[rows, digit] -= 1
-            g.bias[k][nodes] = np.add.reduceat(p, first)
             for n, x, y in zip(nodes.tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
                 np.matmul(h[x:y].T, p[x:y], out=g.out[k][n])
-                dh[x:y] += p[x:y] @ self.out[k][n].T
-        dh *= 1 - h * h
+                dh[x:y] += p[x:y] @ self.out[k][n, :-1].T
+        dh *= 1 - h[:, :-1] ** 2
         g.start[:] = dh.sum(0)
         dx = np.empty((around.shape[1], self.s.width, len(words)), dh.dtype)
         for d in range(around.shape[1]):
@@ -239,6 +242,17 @@ def improved(net: Network, texts: Iterator[np.ndarray]) -> int:
     return seen + size
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of binary vectors."""
+    total = None
+    for b in batches:
+        for x in b.column(0):
+            own = np.frombuffer(x.as_buffer(), "<f8")
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["weights"])
+
+
 def train(table: DataFrame, words: int, s: LmSettings = LmSettings()) -> Network:
     """Rounds of local training of shards and averaging; the number of rounds is fixed."""
     net = Network(s)
@@ -271,18 +285,16 @@ def train(table: DataFrame, words: int, s: LmSettings = LmSettings()) -> Network
                 sums += net.flat.astype(np.float64) * seen
                 total += seen
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64())), pa.array([total], pa.int64())], names=["weights", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([total], pa.int64())], names=["weights", "seen"])
 
         drawn = table.where(F.pmod(F.xxhash64("h", F.lit(21)), F.lit(s.rounds)) == r).select(names.alias("shard"), "ids", "h")
         drawn = drawn.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
-        copies = materialize(drawn.mapInArrow(local, "weights array<double>, seen long"), "copies")
+        copies = materialize(drawn.mapInArrow(local, "weights binary, seen long"), "copies")
         total = copies.agg(F.sum("seen")).first()[0]
         if total:
-            mean = copies.select(F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum("w") / F.lit(float(total))).cast("float").alias("w"))
-            flat = np.zeros_like(net.flat)
-            rows = mean.toArrow()  # the network's size: the square root of the corpus's words
-            flat[rows["i"].to_numpy()] = rows["w"].to_numpy()
-            net = Network(s, flat)
+            # A few partial sums of the network's size: the square root of the corpus's words.
+            sums = copies.select("weights").coalesce(8).mapInArrow(_added, "weights binary").collect()
+            net = Network(s, (sum(np.frombuffer(r[0], "<f8") for r in sums) / total).astype(np.float32))
         discard(copies)
     return net
 

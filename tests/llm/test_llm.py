@@ -163,7 +163,7 @@ def test_pseudo_likelihood_sums_every_word():
         around = [padded[i + s.side + d] for d in range(-s.side, s.side + 1) if d]
         h = np.tanh(net.start + sum(net.embed[a] * net.gate[d] for d, a in enumerate(around)))
         for k in range(s.depth):
-            z = h @ net.out[k][w // 4 ** (s.depth - k)] + net.bias[k][w // 4 ** (s.depth - k)]
+            z = np.append(h, 1) @ net.out[k][w // 4 ** (s.depth - k)]
             want += z[w // 4 ** (s.depth - 1 - k) % 4] - np.log(np.exp(z).sum())
     assert s.depth == 3 and lm_scoring.pseudo_likelihoods(net, [np.zeros(0, int), text])[1] == pytest.approx(want, rel=1e-4)
     around, words = net.contexts([text])
