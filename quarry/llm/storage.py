@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text handed to a Python worker at once; bounds its memory.
+#: Rows of text handed to a Python worker at once; Spark's own bound of a batch's
+#: bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB) cuts batches of long texts.
 TEXT_ROWS_PER_BATCH = 1000
 
 
