@@ -8,6 +8,15 @@ before it kept; all but the last return the columns of ``documents``.
 - benchmark decontamination: documents that hold a test item go;
 - secret scan: secrets are replaced in the text, and n_chars follows;
 - packing: what is left becomes full sequences, one row for each piece.
+
+Defined results of the stages: a null or empty text has a score like any other
+text's form, is never a near copy or a leak, has no secret and is packed as its
+separator alone; rows without a doc_id are judged by their text and stay in
+near-dedup, every one; of near copies the text with the smallest doc_id stays,
+of several under that id the one with the smallest hash; repeated rows are one
+document from near-dedup on; very long texts are read whole; an empty table, or
+empty labels or test items, give empty or unchanged results; further columns of
+``documents`` are carried along whatever their names.
 """
 
 from __future__ import annotations
