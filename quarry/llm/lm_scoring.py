@@ -288,7 +288,7 @@ def train(table: DataFrame, words: int, s: LmSettings = LmSettings()) -> Network
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([total], pa.int64())], names=["weights", "seen"])
 
         drawn = table.where(F.pmod(F.xxhash64("h", F.lit(21)), F.lit(s.rounds)) == r).select(names.alias("shard"), "ids", "h")
-        drawn = drawn.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
+        drawn = drawn.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
         copies = materialize(drawn.mapInArrow(local, "weights binary, seen long"), "copies")
         total = copies.agg(F.sum("seen")).first()[0]
         if total:

@@ -154,7 +154,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, places: DataFr
         own = nodes.select(F.col("rep").alias("a"), "n", "sig")
         other = nodes.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
         close = pairs.join(own, "a").join(other, "b").where(_near_sizes(s) & (_equal("sig", "sig2") >= s.matches)).select("a", "b")
-        close = materialize(close.distinct(), "close")
+        # Pairs are distinct; another aggregation by one side would keep Spark from splitting a hot side.
+        close = materialize(close, "close")
     needed = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
