@@ -268,6 +268,17 @@ def select_k(points: DataFrame, s: ClusterSettings = ClusterSettings(), key: str
     return stats, choose_k(stats, s), {(r["k"], r["replica"]): np.array(r["centers"]) for r in rows}
 
 
+def result_tables(spark, stats: list[Validity], chosen: list[Validity], centers: dict[tuple[int, int], np.ndarray]):
+    """(k, replica, costs, agreement, chosen) and (k, replica, center_id, center) of every model."""
+    picked = {(v.k, v.replica) for v in chosen}
+    rows = [(v.k, v.replica, v.test_cost, v.train_cost, v.van_dongen, v.variation_of_information, (v.k, v.replica) in picked) for v in stats]
+    cells = [(k, r, i, c.tolist()) for (k, r), m in centers.items() for i, c in enumerate(m)]
+    return (
+        spark.createDataFrame(rows, "k int, replica int, test_cost double, train_cost double, van_dongen double, variation_of_information double, chosen boolean"),
+        spark.createDataFrame(cells, "k int, replica int, center_id int, center array<double>"),
+    )
+
+
 def covariance(assigned: DataFrame, size: int, vec: str = "vec") -> DataFrame:
     """(center_id, i, j, mean_i, mean_j, cov), i <= j: population covariances.
 

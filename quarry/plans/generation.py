@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import GenerationSettings
+
 DONE = "_SUCCESS"
 
 
@@ -122,6 +124,10 @@ class Generations:
             return True
         return 0 <= data_threshold_mb <= self.store.size(f"{self.name(generation)}/inbound") / 1e6
 
+    def due(self, generation: int, settings: GenerationSettings, minutes_since_last: float = 0, forced: bool = False) -> bool:
+        """Whether the settings ask for a run, and nothing is being written to its input."""
+        return self.settled(generation) and self.should_run(generation, settings.data_threshold_mb, minutes_since_last, settings.time_threshold_minutes, forced)
+
     def table(self, generation: int, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A step's table: read where it is complete, else made (again)."""
         at = self.path(generation, name)
@@ -140,6 +146,31 @@ class Generations:
             self.store.delete(self.name(g))
 
 
+class Runner:
+    """Builds generations when they are due, forced or not, until it is interrupted."""
+
+    def __init__(self, generations: Generations, build: Callable[[int], dict], settings: GenerationSettings = GenerationSettings(), now: Callable[[], float] = time.monotonic):
+        self.generations, self.build, self.settings, self.now = generations, build, settings, now
+        self.last, self.forced, self.stopped = now(), False, False
+
+    def force_run(self) -> None:
+        self.forced = True
+
+    def interrupt(self) -> None:
+        self.stopped = True
+
+    def tick(self) -> int | None:
+        """Build the open generation if that is due; its number."""
+        g = self.generations
+        open_ = g.open_next()
+        if self.stopped or not g.due(open_, self.settings, (self.now() - self.last) / 60, self.forced):
+            return None
+        self.forced = False
+        g.finish(open_, self.build(open_), self.settings.keep)
+        self.last = self.now()
+        return open_
+
+
 class AppendLog:
     """Lines that become gzip files of the open generation's input, so many at a time."""
 

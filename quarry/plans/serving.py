@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import lsh, preferences, recommend, topk
-from ..plans.generation import Generations
+from ..sources.models import factors_from_pmml, factors_to_pmml
+from .generation import Generations
 
 
 class NotReady(RuntimeError):
@@ -119,13 +120,22 @@ class Recommender:
         newest = generations.newest_done()
         if newest is None:
             return False
-        read = lambda name: generations.spark.read.parquet(generations.path(newest, name))
-        self.x, self.y, self.r = read("x"), read("y"), read("r")
+        text = generations.store.read_text(f"{generations.name(newest)}/model.pmml")
+        for name, path in factors_from_pmml(text).items():
+            setattr(self, name, generations.spark.read.parquet(path))
         again, self.recent = self.recent, []
         for u, i, v in again:
             self.remove(u, i) if v is None else self.set_preference(u, i, v)
         return True
 
+    def save(self, generations: Generations, generation: int) -> None:
+        """Write the model's tables and their description to a generation."""
+        tables = {k: v for k, v in (("x", self.x), ("y", self.y), ("r", self.r), ("names", self.names)) if v is not None}
+        for name, table in tables.items():
+            generations.table(generation, name, lambda table=table: table)
+        paths = {k: generations.path(generation, k) for k in tables}
+        generations.store.write_text(f"{generations.name(generation)}/model.pmml", factors_to_pmml(paths))
+
     def _id(self, name: str | int) -> int:
         if isinstance(name, int):
             return name

@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.config import ClusterSettings, ForestSettings, InboundSettings, RecommenderSettings
+from quarry.config import ClusterSettings, ForestSettings, GenerationSettings, InboundSettings, RecommenderSettings
 from quarry.functions import ids, text
 from quarry.functions import vectors as V
 from quarry.operators import als, clustering, forest, lsh, normalize, sampling, summary
-from quarry.plans.generation import AppendLog, Generations, Reloading
+from quarry.plans.generation import AppendLog, Generations, Reloading, Runner
 from quarry.plans.requests import ClusterRequests, ForestRequests, Requests, lines, status
 from quarry.plans.serving import PairRescorer, Recommender, Rescorer, RescorerProvider, load, sign_candidates
 from quarry.plans.vectors import RowVectors
@@ -127,9 +127,7 @@ def test_preferences_move_vectors_at_once(spark, model, tmp_path):
     assert model.x.where("user_id = 42").count() == 0
     g = Generations(spark, f"file://{tmp_path}/m")
     assert not model.refresh(g)
-    g.open_next()
-    for name in ("x", "y", "r"):
-        g.table(0, name, lambda name=name: getattr(model, name))
+    model.save(g, g.open_next())
     g.finish(0, {})
     model.recent = [(50, 2, 1.0)]
     assert model.refresh(g) and model.x.where("user_id = 50").count() == 1 and model.recent == [(50, 2, 1.0)]
@@ -215,8 +213,10 @@ def test_centre_index_and_several_sets(spark):
     assert np.allclose([cov[i, j] for i, j in sorted(cov)], np.cov(points.T, bias=True)[np.triu_indices(12)])
     far = clustering.outliers(clustering.assign(df, centers), clustering.covariance(clustering.assign(df, centers), 12), 12)
     assert far.where("mahalanobis < 0").count() == 0
-    stats, chosen, _ = clustering.select_k(df, ClusterSettings(ks=(2, 5), replications=1))
+    stats, chosen, models_ = clustering.select_k(df, ClusterSettings(ks=(2, 5), replications=1))
     assert len(stats) == 2 and len(chosen) >= 1
+    one, two = clustering.result_tables(spark, stats, chosen, models_)
+    assert one.where("chosen").count() == len(chosen) and two.count() == 7
 
 
 def test_append_log_and_settled_input(spark, tmp_path):
@@ -251,6 +251,37 @@ def test_lines_in_order_and_streams_that_restart(spark, tmp_path):
         assert merge() == want and merge() == want  # again, without new files
 
 
+def test_files_round_trip(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.csv", "1,2\n3,4\n")
+        z.writestr("two.csv", "5,é\n")
+    assert sorted(r.value for r in tables.read_zipped_lines(spark, f"file://{tmp_path}").collect()) == ["1,2", "3,4", "5,é"]
+    df = spark.createDataFrame([(1, 'a,"b"', 2.5), (2, "", None)], "id long, s string, x double")
+    tables.write_delimited(df, f"file://{tmp_path}/csv")
+    back = tables.read_delimited(spark, f"file://{tmp_path}/csv", "id long, s string, x double").orderBy("id").collect()
+    assert [(r.id, r.s, r.x) for r in back] == [(1, 'a,"b"', 2.5), (2, None, None)]
+    f = spark.createDataFrame([(5, [0.5, -1.0])], "item_id long, features array<float>")
+    tables.write_factors(f, f"file://{tmp_path}/y", "item_id")
+    assert tables.read_factors(spark, f"file://{tmp_path}/y", "item_id").collect() == f.collect()
+    (tmp_path / "known.txt").write_text("7\t1,2\n")
+    assert list(tables.read_known_items(spark, f"file://{tmp_path}/known.txt").first()) == [7, [1, 2]]
+
+
+def test_runner(spark, tmp_path):
+    now, g = [0.0], Generations(spark, f"file://{tmp_path}/m")
+    r = Runner(g, lambda k: {"built": k}, GenerationSettings(keep=1, time_threshold_minutes=5), lambda: now[0])
+    assert r.tick() == 0 and r.tick() is None
+    r.force_run()
+    assert r.tick() == 1 and r.tick() is None and g.every() == [1, 2]
+    now[0] = 600.0
+    assert r.tick() == 2
+    r.interrupt()
+    r.force_run()
+    assert r.tick() is None
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([("1,a,,", [0.0, 0.0, 2.0, 0.0, 0.0], 1.0, 2.0), ("x", [1.0, 2.0], None, 1.0), ("y", [], 4.0, 6.0)], "line string, v array<double>, x double, w double")
     assert df.select(text.split_plain(F.col("line")).alias("f")).first().f == ["1", "a", "", ""]
