@@ -48,6 +48,8 @@ class DedupSettings:
     sketch: int = 1024
     #: Standard deviations below the mean of a pair at the similarity.
     margin: float = 5.4
+    #: Nodes of a list from which on its nodes meet by a second coordinate too.
+    hot_list: int = 4096
     seed: int = 17
 
     def most_unlike(self) -> int:
@@ -213,30 +215,55 @@ def _near_sizes(s: DedupSettings) -> Column:
     return (100 * F.col("n") >= s.percent * F.col("n2")) & (100 * F.col("n2") >= s.percent * F.col("n"))
 
 
-def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+def _prefixes(postings: DataFrame, by: list[str], list_of: list[str], matches: int) -> DataFrame:
+    """The postings by which any two nodes with ``matches`` values in common meet.
+
+    Of each node (``by``) its rarest values among those that others have too:
+    all but ``matches`` - 1.
+    """
+    shared = postings.groupBy(*list_of).agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy(*by)
+    ranked = postings.join(shared, list_of).withColumns({"place": F.row_number().over(own.orderBy("often", list_of[-1])), "held": F.count("*").over(own)})
+    return ranked.where(f"place <= held - {matches - 1}").drop("often", "place", "held")
+
+
+def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, nodes: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str) -> DataFrame:
     """Pairs of nodes of different components, not yet met, that could reach the similarity.
 
     Sizes and sketches are compared while lists are merged, and a pair comes
     only from the first list that both prefixes hold, so what leaves the merge
     is each pair that must be confirmed, once.  Sketches are made only for the
-    nodes in lists of several components.
+    nodes in lists of several components.  In a very large list nodes meet only
+    where they share one more of their other coordinates, again by prefixes of
+    the rarest, so texts that have little else in common are never compared.
     """
     placed = prefix.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "placed")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = materialize(sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("groups > 1").select("key", "largest"), "mixed")
+    mixed = materialize(sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("size")).where("groups > 1").select("key", "largest", (F.col("size") >= s.hot_list).alias("hot")), "mixed")
     inside = placed.join(mixed, "key")
     lists = inside.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     drawn = materialize(_sketched(docs, places, lists.select("rep"), s, text), "sketches")
     inside = materialize(inside.join(lists.join(drawn, "rep"), "rep"), "inside")
-    minor = inside.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "n", "sketch", "keys")
-    others = inside.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("keys").alias("keys2"))
     once = F.col("main") | (F.col("a") < F.col("b"))
     could = once & (F.col("ca") != F.col("cb")) & _near_sizes(s) & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")) & (_unlike("sketch", "sketch2") <= s.most_unlike())
-    found = minor.join(others, (F.col("key") == F.col("key2")) & could)
+
+    def sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        minor = rows.where("component <> largest").select("key", *more, F.col("rep").alias("a"), F.col("component").alias("ca"), "n", "sketch", "keys")
+        others = rows.select(F.col("key").alias("key2"), *(F.col(m).alias(f"{m}2") for m in more), F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("keys").alias("keys2"))
+        return minor, others
+
+    minor, others = sides(inside.where("not hot"))
+    found = minor.join(others, (F.col("key") == F.col("key2")) & could).select("a", "b")
+    second = None
+    if not mixed.where("hot").isEmpty():
+        own = inside.where("hot").select("key", "rep").join(nodes.select("rep", F.explode("sig").alias("value")), "rep").where("value <> key")
+        second = materialize(_prefixes(own, ["key", "rep"], ["key", "value"], s.matches - 1), "second")
+        minor, others = sides(inside.where("hot").join(second, ["key", "rep"]), "value")
+        found = found.union(minor.join(others, (F.col("key") == F.col("key2")) & (F.col("value") == F.col("value2")) & could).select("a", "b"))
     pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = materialize(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
-    discard(placed, mixed, drawn, inside)
+    discard(placed, mixed, drawn, inside, *([second] if second is not None else []))
     return pairs
 
 
@@ -249,17 +276,13 @@ def _judged(docs: DataFrame, s: DedupSettings, text: str) -> DataFrame:
     nodes = materialize(own.select("rep", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep"]), "nodes")
 
     postings = nodes.select("rep", F.explode("sig").alias("key"))
-    shared = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    by_rep = Window.partitionBy("rep")
-    ranked = postings.join(shared, "key").select("key", "rep", F.row_number().over(by_rep.orderBy("n", "key")).alias("place"), F.count("*").over(by_rep).alias("held"))
-    prefix = materialize(ranked.where(f"place <= held - {s.matches - 1}").select("key", "rep").distinct(), "prefix")
-    discard(shared)
+    prefix = materialize(_prefixes(postings, ["rep"], ["key"], s.matches).select("key", "rep").distinct(), "prefix")
 
     places = sets.select("rep", "doc", "th")
     met = materialize(_first_merge(prefix), "met")
     links = _confirm(met, nodes, docs, places, s, text)
     groups = materialize(components(links), "groups")
-    rest = _second_merge(prefix, groups, met, docs, places, s, text)
+    rest = _second_merge(prefix, groups, met, nodes, docs, places, s, text)
     more = _confirm(rest, nodes, docs, places, s, text, filtered=True)
     if not more.isEmpty():
         old, groups = groups, materialize(components(links.union(more)), "groups")

@@ -254,11 +254,12 @@ def test_token_files_have_dictionaries_row_groups_and_page_indexes(spark, docs,
     assert token_store.store_and_digest(nothing).count() == 0
 
 
-def test_near_duplicates_equal_all_pairs(spark, rows):
+@pytest.mark.parametrize("hot_list", [4096, 2])
+def test_near_duplicates_equal_all_pairs(spark, rows, hot_list):
     base = " ".join(f"w{i}" for i in range(60))
     more = [(10_000 + i, " ".join(x if j != 7 * i else f"z{i}" for j, x in enumerate(base.split()))) for i in range(8)]
     data = [*rows, *more, *[(i + 20_000, t) for i, t in ODD if i != 4]]
-    got = minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), minhash_dedup.DedupSettings(shingle=4)).collect()
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), minhash_dedup.DedupSettings(shingle=4, hot_list=hot_list)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicate_components(data, 4)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
