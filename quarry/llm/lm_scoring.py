@@ -292,9 +292,10 @@ def train(table: DataFrame, words: int, s: LmSettings = LmSettings()) -> Network
         copies = materialize(drawn.mapInArrow(local, "weights binary, seen long"), "copies")
         total = copies.agg(F.sum("seen")).first()[0]
         if total:
-            # A few partial sums of the network's size: the square root of the corpus's words.
-            sums = copies.select("weights").coalesce(8).mapInArrow(_added, "weights binary").collect()
-            net = Network(s, (sum(np.frombuffer(r[0], "<f8") for r in sums) / total).astype(np.float32))
+            # Added up in two levels; one vector of the network's size comes to the driver.
+            some = copies.select("weights").coalesce(math.isqrt(shards) + 1).mapInArrow(_added, "weights binary")
+            mean = some.repartition(1).mapInArrow(_added, "weights binary").first()[0]
+            net = Network(s, (np.frombuffer(mean, "<f8") / total).astype(np.float32))
         discard(copies)
     return net
 
