@@ -266,7 +266,7 @@ def als_normal_equations(spark, d):
     parts = als.normal_equations(prefs(spark, d), _items(spark, d), RecommenderSettings(alpha=0.1))
     rows = parts.select("user_id", "n", F.posexplode("b").alias("i", "b"), "w")
     row = F.aggregate(F.slice("w", F.col("i") * DIM + 1, DIM), F.lit(0.0), lambda x, y: x + y)
-    return rows.select("user_id", "n", "i", F.round("b", 3).alias("b"), F.round(row, 3).alias("w"))
+    return rows.select("user_id", "n", "i", (F.round("b", 3) + 0.0).alias("b"), (F.round(row, 3) + 0.0).alias("w"))
 
 
 def als_factors(spark, d):
@@ -459,7 +459,7 @@ SQL: dict[str, str] = {
         select p_partkey, p_size, p_brand from (select *, row_number() over (partition by p_brand order by k desc, p_partkey) r from t) where r <= 2""",
     "tree_fold_assign": "select c_custkey, tree from customer, (select unnest(range(5))::int tree) where (c_custkey % 5 - tree + 5) % 5 < 3",
     "als_normal_equations": f"""with {PREFS}, t as (select user_id, 0.1::double * abs(value) c, list_sum(list_transform(embedding, lambda x: x::double)) total, unnest(embedding)::double f, unnest(range({DIM}))::int i from prefs join embeddings on vec_id = item_id)
-        select user_id, count(*) n, i, round(sum((1 + c) * f), 3) b, round(sum(c * f * total), 3) w from t group by 1, 3""",
+        select user_id, count(*) n, i, round(sum((1 + c) * f), 3) + 0.0::double b, round(sum(c * f * total), 3) + 0.0::double w from t group by 1, 3""",
     "als_convergence": f"with {PREFS} select round(sum(abs(value - value * 0.9::double) * value) / sum(value), 6) as change from prefs where value > 0",
     "lsh_signature": _signature_sql(),
     "lsh_candidates": f"with s as ({_signature_sql()}) select a.item_id asked, s.item_id from s a, s where a.item_id % 20 = 0 and bit_count(xor(a.signature, s.signature)) <= {lsh.max_distance(16, 0.1)}",
