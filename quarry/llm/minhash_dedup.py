@@ -5,13 +5,15 @@ each of its signature's coordinate-value pairs; a pair of documents above the
 match threshold shares at least one of the rarest (coordinates - matches + 1)
 pairs of both, so only that prefix, in order of frequency, is merged.  Within a
 posting list each node meets the list's first node; links confirmed on the full
-sets join nodes into components, and a second merge then meets only nodes of
-different components, each outside the list's largest component with all the
-others.  So a large group of near copies costs its size, not its square, and no
-pair above the threshold is skipped unless both are in one component already.
-Collisions of the merged pairs are counted on whole signatures, in the second
-merge on sketches of many more coordinates with few bits each, and what is left
-is confirmed exactly.
+sets join nodes into components.  Then, as long as that joins many, each node
+outside a list's largest component meets two hubs of the list, and at last all
+nodes of the list that are of other components.  So a large group of near copies
+costs its size, not its square, and no pair above the threshold is skipped unless
+both are in one component already.  The first merge counts collisions on whole
+signatures, the others on sketches of many more coordinates with few bits each;
+what is left is confirmed exactly.  The last merge compares arrays inside its
+tasks and hands on pieces of nodes, so only its comparisons grow with the number
+of texts in a list that are alike but not linked.
 
 With 32 coordinates and 12 matches, a pair of similarity 0.8 falls below the
 threshold with probability 3e-8; the sketch's threshold is as far off.
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,8 +51,8 @@ class DedupSettings:
     sketch: int = 1024
     #: Standard deviations below the mean of a pair at the similarity.
     margin: float = 5.4
-    #: Nodes of a list from which on its nodes meet by a second coordinate too.
-    hot_list: int = 4096
+    #: Nodes of a list from which on it is dealt to several tasks.
+    hot_list: int = 512
     seed: int = 17
 
     def most_unlike(self) -> int:
@@ -145,6 +148,27 @@ def signed(docs: DataFrame, s: DedupSettings, text: str = "text") -> DataFrame:
     return _texts(docs, text).mapInArrow(sign, "doc_id long, th long, n_shingles long, h1 long, h2 long, sig array<long>")
 
 
+def _sets(docs: DataFrame, places: DataFrame, reps: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+    """rep and full set of the nodes in ``reps``, made from their texts."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingle_set(t, s.shingle).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["rep", "own"])
+
+    own = _node_texts(docs, places, reps, text).mapInArrow(sets, "rep long, own binary").dropDuplicates(["rep"])
+    return materialize(own, "sets", compression="none")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, s: DedupSettings) -> bool:
+    """Whether two full sets reach the similarity."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    shared = int((large[at] == small).sum()) if len(large) else 0
+    return shared > 0 and 100 * shared >= s.percent * (len(x) + len(y) - shared)
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str, filtered: bool = False) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
@@ -158,26 +182,11 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, places: DataFr
         close = pairs.join(own, "a").join(other, "b").where(_near_sizes(s) & (_equal("sig", "sig2") >= s.matches)).select("a", "b")
         # Pairs are distinct; another aggregation by one side would keep Spark from splitting a hot side.
         close = materialize(close, "close")
-    needed = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [shingle_set(t, s.shingle).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["rep", "own"])
-
-    own = _node_texts(docs, places, needed, text).mapInArrow(sets, "rep long, own binary").dropDuplicates(["rep"])
-    own = materialize(own, "sets", compression="none")
+    own = _sets(docs, places, close.select(F.col("a").alias("rep")).union(close.select("b")).distinct(), s, text)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                shared = int((large[at] == small).sum()) if len(large) else 0
-                keep.append(shared > 0 and 100 * shared >= s.percent * (len(x) + len(y) - shared))
+            keep = [_alike(*(np.frombuffer(z.as_buffer(), np.uint64) for z in both), s) for both in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = close.join(own.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b").join(own.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a")
@@ -227,44 +236,231 @@ def _prefixes(postings: DataFrame, by: list[str], list_of: list[str], matches: i
     return ranked.where(f"place <= held - {matches - 1}").drop("often", "place", "held")
 
 
-def _second_merge(prefix: DataFrame, groups: DataFrame, met: DataFrame, nodes: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str) -> DataFrame:
-    """Pairs of nodes of different components, not yet met, that could reach the similarity.
+def _mixed_lists(prefix: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """The postings in lists of several components, with their component.
 
-    Sizes and sketches are compared while lists are merged, and a pair comes
-    only from the first list that both prefixes hold, so what leaves the merge
-    is each pair that must be confirmed, once.  Sketches are made only for the
-    nodes in lists of several components.  In a very large list nodes meet only
-    where they share one more of their other coordinates, again by prefixes of
-    the rarest, so texts that have little else in common are never compared.
+    Beside them are the list's size, its largest component and two hubs: a node
+    of that component and a node of any component, others at every turn.
+    """
+    placed = materialize(prefix.select("key", "rep").join(groups, "rep"), "placed")
+    hub = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("hub")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), hub)
+    main = F.max(F.struct("n", "component", "hub.rep")).alias("main")
+    some = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), "component", "hub.rep")).alias("some")
+    lists = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("size"), main, some).where("groups > 1")
+    lists = materialize(lists.select("key", "size", F.col("main.component").alias("largest"), F.col("main.rep").alias("hub"), F.col("some.component").alias("c2"), F.col("some.rep").alias("hub2")), "mixed")
+    inside = materialize(placed.join(lists, "key"), "inside")
+    discard(placed, lists)
+    return inside
+
+
+def _hub_merge(inside: DataFrame, drawn: DataFrame, s: DedupSettings) -> DataFrame:
+    """Each node outside a list's largest component with the list's two hubs, where sketches are near."""
+    minor = inside.where("component <> largest")
+    pairs = minor.select(F.col("rep").alias("a"), F.col("hub").alias("b")).union(minor.where("component <> c2").select("rep", "hub2"))
+    one = drawn.select(F.col("rep").alias("a"), "n", "sketch")
+    two = drawn.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    could = _near_sizes(s) & (_unlike("sketch", "sketch2") <= s.most_unlike())
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return materialize(pairs.join(one, "a").join(two, "b").where(could).select("a", "b"), "pairs")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (rep, component) of all nodes after further links; these meet as components."""
+    own, other = (groups.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = links.join(own, "a").join(other, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    to = components(materialize(between, "between")).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return materialize(groups.join(to, "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "groups")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.RecordBatch]:
+    """Batches anew, so that no run of equal values in the first ``units`` columns is cut."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(units)]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in own]))
+        if held and last != [c[0] for c in own]:
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if cut:
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+        last = [c[-1] for c in own]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _met_in(b: pa.RecordBatch, s: DedupSettings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the rows that could reach the similarity, of whole units.
+
+    The columns are key, part, rep, component, main, own, n, sketch and keys.
+    Rows outside the main component meet the unit's own rows.
+    """
+    key, part, rep, component, main, own, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+    drawn = b.column(7).flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+    at, lists = b.column(8).offsets.to_numpy(), b.column(8).values.to_numpy()
+    low = np.uint64(0x1111111111111111)
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (component[x] != component[y]) & (main[y] | (rep[x] < rep[y])) & (100 * n[x] >= s.percent * n[y]) & (100 * n[y] >= s.percent * n[x])
+        x, y = x[keep], y[keep]
+        found = np.zeros(len(x), bool)
+        for i in range(0, len(x), 4096):
+            d = drawn[x[i : i + 4096]] ^ drawn[y[i : i + 4096]]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            found[i : i + 4096] = np.bitwise_count(d & low).sum(1, dtype=np.int64) <= s.most_unlike()
+        x, y = x[found], y[found]
+        # Only in the first list that both are in.
+        first = [min(of(i) & of(j)) == key[i] for i, j in zip(x.tolist(), y.tolist())]
+        return x[first], y[first]
+
+    known: dict[int, frozenset] = {}
+
+    def of(i: int) -> frozenset:
+        if i not in known:
+            known[i] = frozenset(lists[at[i] : at[i + 1]].tolist())
+        return known[i]
+
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+    held, size = [], 0
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rep)]):
+        minor, others = start + np.flatnonzero(~main[start:end]), start + np.flatnonzero(own[start:end])
+        step = max(1, (1 << 18) // max(1, len(others)))
+        for i in range(0, len(minor), step):
+            some = minor[i : i + step]
+            held.append((np.repeat(some, len(others)), np.tile(others, len(some))))
+            size += len(held[-1][0])
+            if size >= 1 << 18:
+                yield near(*(np.concatenate(c) for c in zip(*held)))
+                held, size = [], 0
+    if held:
+        yield near(*(np.concatenate(c) for c in zip(*held)))
+
+
+def _pieces(a: np.ndarray, b: np.ndarray, n: dict[int, int], nodes: int = 256, size: int = 1 << 20) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The pairs cut into pieces of few nodes and bounded sets: their nodes, and the pairs."""
+    ranks = [np.unique(c, return_inverse=True)[1] // (nodes // 2) for c in (a, b)]
+    order = np.lexsort((b, a, ranks[1], ranks[0]))
+    pairs = np.stack((a[order], b[order]), 1)
+    have, held, start = set(), 0, 0
+    for i, (x, y) in enumerate(pairs.tolist()):
+        more = {x, y} - have
+        if have and (len(have) + len(more) > nodes or held + sum(n[z] for z in more) > size):
+            yield sorted(have), pairs[start:i]
+            have, held, start, more = set(), 0, i, {x, y}
+        have |= more
+        held += sum(n[z] for z in more)
+    if have:
+        yield sorted(have), pairs[start:]
+
+
+_PIECES = pa.schema([("piece", pa.int64()), ("rep", pa.int64()), ("pairs", pa.binary())])
+
+
+def _second_merge(inside: DataFrame, drawn: DataFrame, s: DedupSettings) -> DataFrame:
+    """Pairs of nodes of different components that could reach the similarity, in pieces.
+
+    The nodes outside a list's largest component meet all of the list, in blocks
+    of arrays: sizes and sketches are compared there, and a pair comes only from
+    the first list that both are in.  A large list is dealt to up to 16 tasks.
+    What comes out are the nodes of each piece, and in one row its pairs, so
+    the rows follow the nodes whatever the number of the pairs.
     """
-    placed = prefix.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(placed, "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = materialize(sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("size")).where("groups > 1").select("key", "largest", (F.col("size") >= s.hot_list).alias("hot")), "mixed")
-    inside = placed.join(mixed, "key")
     lists = inside.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    drawn = materialize(_sketched(docs, places, lists.select("rep"), s, text), "sketches")
-    inside = materialize(inside.join(lists.join(drawn, "rep"), "rep"), "inside")
-    once = F.col("main") | (F.col("a") < F.col("b"))
-    could = once & (F.col("ca") != F.col("cb")) & _near_sizes(s) & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")) & (_unlike("sketch", "sketch2") <= s.most_unlike())
-
-    def sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        minor = rows.where("component <> largest").select("key", *more, F.col("rep").alias("a"), F.col("component").alias("ca"), "n", "sketch", "keys")
-        others = rows.select(F.col("key").alias("key2"), *(F.col(m).alias(f"{m}2") for m in more), F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("keys").alias("keys2"))
-        return minor, others
-
-    minor, others = sides(inside.where("not hot"))
-    found = minor.join(others, (F.col("key") == F.col("key2")) & could).select("a", "b")
-    second = None
-    if not mixed.where("hot").isEmpty():
-        own = inside.where("hot").select("key", "rep").join(nodes.select("rep", F.explode("sig").alias("value")), "rep").where("value <> key")
-        second = materialize(_prefixes(own, ["key", "rep"], ["key", "value"], s.matches - 1), "second")
-        minor, others = sides(inside.where("hot").join(second, ["key", "rep"]), "value")
-        found = found.union(minor.join(others, (F.col("key") == F.col("key2")) & (F.col("value") == F.col("value2")) & could).select("a", "b"))
-    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
-    discard(placed, mixed, drawn, inside, *([second] if second is not None else []))
-    return pairs
+    parts = F.least(F.lit(16), F.ceil(F.col("size") / s.hot_list)).cast("int")
+    rows = inside.select("key", "rep", "component", (F.col("component") == F.col("largest")).alias("main"), parts.alias("parts"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = rows.withColumn("part", F.explode(F.when(F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    dealt = dealt.select("key", "part", "rep", "component", "main", (F.col("part") == F.col("at")).alias("own")).join(lists.join(drawn, "rep"), "rep")
+    dealt = dealt.select("key", "part", "rep", "component", "main", "own", "n", "sketch", "keys")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 40
+        for b in _runs(batches, 2):
+            rep, n = b.column(2).to_numpy(), b.column(6).to_numpy()
+            found = list(_met_in(b, s))
+            x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            if not len(x):
+                continue
+            sizes = {int(rep[i]): int(n[i]) for i in np.unique(np.concatenate((x, y))).tolist()}
+            for own, pairs in _pieces(rep[x], rep[y], sizes):
+                ids = pa.array([piece] * (len(own) + 1), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([*own, None], pa.int64()), pa.array([None] * len(own) + [pairs.astype("<i8").tobytes()], pa.binary())], schema=_PIECES)
+                piece += 1
+
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    return materialize(dealt.mapInArrow(meet, "piece long, rep long, pairs binary"), "pieces")
+
+
+def _confirm_pieces(pieces: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+    """Links (a, b) that join all nodes of a piece that its pairs' full sets link: a forest."""
+    nodes = pieces.where("rep is not null").select("piece", "rep")
+    own = _sets(docs, places, nodes.select("rep").distinct(), s, text)
+    rows = nodes.join(own, "rep").select("piece", "rep", "own")
+    rows = rows.union(pieces.where("rep is null").select("piece", "rep", "pairs")).repartition("piece").sortWithinPartitions("piece")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs(batches, 1):
+            piece = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))).tolist()
+            for start, end in zip(starts, [*starts[1:], len(piece)]):
+                sets, pairs = {}, np.zeros((0, 2), np.int64)
+                for rep, held in zip(b.column(1).slice(start, end - start).to_pylist(), b.column(2).slice(start, end - start)):
+                    if rep is None:
+                        pairs = np.frombuffer(held.as_buffer(), "<i8").reshape(-1, 2)
+                    else:
+                        sets[rep] = np.frombuffer(held.as_buffer(), np.uint64)
+                up = {rep: rep for rep in sets}
+
+                def top(x: int) -> int:
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                links = []
+                for x, y in pairs.tolist():
+                    p, q = top(x), top(y)
+                    if p != q and _alike(sets[x], sets[y], s):
+                        up[p] = q
+                        links.append((max(x, y), min(x, y)))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+    links = materialize(rows.mapInArrow(link, "a long, b long"), "links")
+    discard(own)
+    return links
+
+
+def _components(nodes: DataFrame, prefix: DataFrame, docs: DataFrame, places: DataFrame, s: DedupSettings, text: str) -> DataFrame:
+    """rep and component of every node."""
+    met = materialize(_first_merge(prefix), "met")
+    links = _confirm(met, nodes, docs, places, s, text)
+    groups = _merged(nodes.select("rep", F.col("rep").alias("component")), links)
+    discard(met, links)
+    lists, drawn, turn, joined = _mixed_lists(prefix, groups, 0), None, 0, True
+    while joined:
+        if drawn is None:  # only of nodes in lists of several components; later lists are among these
+            drawn = materialize(_sketched(docs, places, lists.select("rep").distinct(), s, text), "sketches")
+        pairs = _hub_merge(lists, drawn, s)
+        links = _confirm(pairs, nodes, docs, places, s, text, filtered=True)
+        left, new = lists.where("component <> largest").select("rep").distinct().count(), links.count()
+        joined = 20 * new > left  # where hubs join few more, what is left meets by itself
+        if new:
+            old = groups, lists
+            groups, turn = _merged(groups, links), turn + 1
+            lists = _mixed_lists(lists, groups, turn)
+            discard(*old)
+        discard(pairs, links)
+    pieces = _second_merge(lists, drawn, s)
+    links = _confirm_pieces(pieces, docs, places, s, text)
+    discard(lists, drawn, pieces)
+    return groups if links.isEmpty() else _merged(groups, links)
 
 
 def _judged(docs: DataFrame, s: DedupSettings, text: str) -> DataFrame:
@@ -279,17 +475,10 @@ def _judged(docs: DataFrame, s: DedupSettings, text: str) -> DataFrame:
     prefix = materialize(_prefixes(postings, ["rep"], ["key"], s.matches).select("key", "rep").distinct(), "prefix")
 
     places = sets.select("rep", "doc", "th")
-    met = materialize(_first_merge(prefix), "met")
-    links = _confirm(met, nodes, docs, places, s, text)
-    groups = materialize(components(links), "groups")
-    rest = _second_merge(prefix, groups, met, nodes, docs, places, s, text)
-    more = _confirm(rest, nodes, docs, places, s, text, filtered=True)
-    if not more.isEmpty():
-        old, groups = groups, materialize(components(links.union(more)), "groups")
-        discard(old)
-    discard(met, prefix, rest, nodes, links, more)
-
-    linked = groups.select(F.col("node").alias("rep"), "component").join(places, "rep")
+    groups = _components(nodes, prefix, docs, places, s, text)
+    discard(prefix, nodes)
+
+    linked = groups.join(places, "rep")
     firsts = linked.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("first"))
     of_rep = linked.join(firsts, "component").select("rep", "first")
     alone = F.struct("doc", "th")

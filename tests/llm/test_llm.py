@@ -264,6 +264,30 @@ def test_near_duplicates_equal_all_pairs(spark, rows, hot_list):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize(("length", "edits"), [(60, 1), (100, 2)])
+def test_a_large_group_of_near_copies_costs_its_size(spark, monkeypatch, length, edits):
+    """No table grows with the pairs of a group, be they linked or just below the similarity."""
+    rng = np.random.default_rng(5)
+    base, n = [f"w{i}" for i in range(length)], 500
+    data = []
+    for i in range(n):
+        words = list(base)
+        for j in rng.choice(length, edits, replace=False):
+            words[j] = f"z{i}x{j}"
+        data.append((i, " ".join(words)))
+    made, write = Counter(), minhash_dedup.materialize
+
+    def counted(df, label, **options):
+        out = write(df, label, **options)
+        made[label] = max(made[label], out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialize", counted)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), minhash_dedup.DedupSettings(shingle=4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicate_components(data, 4)
+    assert max(made.values()) <= 32 * n, made
+
+
 def test_one_of_each_keeps_columns_and_one_repeat(odd):
     out = minhash_dedup.one_of_each(odd)
     assert out.columns == odd.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 4, 5, 6, 7]
