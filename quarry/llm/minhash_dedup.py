@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .storage import bounded_batches, discard, materialize
+from .storage import bounded_batches, discard, materialize, whole_runs
 from .words import mix, shingles, word_hashes
 
 
@@ -273,28 +273,6 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(groups.join(to, "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "groups")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.RecordBatch]:
-    """Batches anew, so that no run of equal values in the first ``units`` columns is cut."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(units)]
-        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in own]))
-        if held and last != [c[0] for c in own]:
-            yield pa.concat_batches(held)
-            held = []
-        cut = int(new[-1]) + 1 if len(new) else 0
-        if cut:
-            yield pa.concat_batches([*held, b.slice(0, cut)])
-            held = []
-        held.append(b.slice(cut))
-        last = [c[-1] for c in own]
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _met_in(b: pa.RecordBatch, s: DedupSettings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (x, y) of the rows that could reach the similarity, of whole units.
 
@@ -382,7 +360,7 @@ def _second_merge(inside: DataFrame, drawn: DataFrame, s: DedupSettings) -> Data
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 40
-        for b in _runs(batches, 2):
+        for b in whole_runs(batches, 2):
             rep, n = b.column(2).to_numpy(), b.column(6).to_numpy()
             found = list(_met_in(b, s))
             x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
@@ -406,7 +384,7 @@ def _confirm_pieces(pieces: DataFrame, docs: DataFrame, places: DataFrame, s: De
     rows = rows.union(pieces.where("rep is null").select("piece", "rep", "pairs")).repartition("piece").sortWithinPartitions("piece")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, 1):
+        for b in whole_runs(batches, 1):
             piece = b.column(0).to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))).tolist()
             for start, end in zip(starts, [*starts[1:], len(piece)]):

@@ -10,7 +10,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,28 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.RecordBatch]:
+    """Batches anew, so that no run of equal values in the first ``units`` columns is cut."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = [b.column(i).to_numpy(zero_copy_only=False) for i in range(units)]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in own]))
+        if held and last != [c[0] for c in own]:
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if cut:
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+        last = [c[-1] for c in own]
+    if held:
+        yield pa.concat_batches(held)
+
+
 def hash_sample(df: DataFrame, rows: int, *keys: str, seed: int = 0) -> DataFrame:
     """About ``rows`` rows, chosen by a hash of the keys; all where there are fewer.
 

@@ -72,6 +72,24 @@ def test_quality_ranking_generalizes(spark, docs):
     assert quality_classifier.score(docs, None).select("score").distinct().first()[0] == 0.5
 
 
+def test_quality_training_uses_every_labelled_row(spark):
+    """The threshold is the exact quantile of all rows, and no row is left out of the sums."""
+    n = 12_000  # more than any sample of before
+    rng = np.random.default_rng(2)
+    data = [(i, " ".join("Ab"[j % 2] * (j % 23 + 1) + f"{j}," * (j % 5) for j in rng.integers(0, 10**6, 20 + i % 31)) + ("!" * (i % 7) if i % 4 else " ##"), int(i % 4 > 0)) for i in range(n)]
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    ranking = quality_classifier.train(df, df.select("doc_id", "quality"), F.lit(True))
+    own = sorted({(y, *map(float, quality_classifier.features(t))) for _, t, y in data})
+    scores = np.sort(np.array([r[1:] for r in own]) @ ranking.weights)
+    k = sum(r[0] == 0 for r in own)
+    assert len(own) > 8000 and abs((scores[k - 1] + scores[k]) / 2 - ranking.cut) < 1e-9
+    s = quality_classifier.QualitySettings()
+    rows = spark.createDataFrame([(r[0], list(r[1:])) for r in own], "label int, x array<double>")
+    dealt = quality_classifier._bucketed(rows, {0: k, 1: len(own) - k}, s)
+    assert dealt.select("label", "x").distinct().count() == len(own)
+    assert dealt.groupBy("bucket").agg(F.countDistinct("label").alias("n")).where("n < 2").isEmpty()
+
+
 def test_language_model_is_kneser_ney():
     s = language_id.LanguageSettings()
     counts = {l: Counter(x[i : i + 4] for i in range(len(x) - 3)) for l, x in (("a", " the cat the hat "), ("b", " der hut der kater "))}
