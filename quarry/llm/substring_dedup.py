@@ -162,8 +162,13 @@ def windows_of(words: np.ndarray, s: PassageSettings) -> tuple[np.ndarray, np.nd
 
 
 _ROW = np.dtype([("key", "<u8"), ("sketch", "<u8"), ("node", "<i8"), ("centre", "<i4")])
-_MEETING = np.dtype([("a", "<i8"), ("b", "<i8"), ("ca", "<i4"), ("cb", "<i4")])
-_BLOBS, _BLOBS_SQL = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("met", pa.binary())]), "bucket int, rows binary, met binary"
+#: In ``many`` is one more than the hash function where the group has more than these two rows.
+_MEETING = np.dtype([("a", "<i8"), ("b", "<i8"), ("ca", "<i4"), ("cb", "<i4"), ("many", "<i4")])
+_BLOBS, _BLOBS_SQL = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("met", pa.binary()), ("looks", pa.binary())]), "bucket int, rows binary, met binary, looks binary"
+#: Of a row's centre: this row stands for others, which were chained in a map task.
+_STANDS = 1 << 30
+#: Bits of a place below its ``many``.
+_PLACE = 28
 
 
 def _packed(rows: np.ndarray) -> bytes:
@@ -196,6 +201,8 @@ def chain(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     after = np.arange(len(start)) + 1
     joined = np.concatenate((of_group[1:] == of_group[:-1], [False]))
     before = np.concatenate(([False], joined[:-1]))
+    several = np.bincount(group) >= 3
+    several[group[rows["centre"] & _STANDS > 0]] = True
     partner = np.where(joined, start[np.minimum(after, len(start) - 1)], np.where(before, start[np.maximum(after - 2, 0)], -1))
     other = partner[run]
     own = np.flatnonzero(other >= 0)
@@ -204,9 +211,19 @@ def chain(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     turned = x < y
     out = np.empty(len(own), _MEETING)
     out["a"], out["b"] = np.where(turned, y, x), np.where(turned, x, y)
-    cx, cy = rows["centre"][own], rows["centre"][other]
+    cx, cy = rows["centre"][own] & (_STANDS - 1), rows["centre"][other] & (_STANDS - 1)
     out["ca"], out["cb"] = np.where(turned, cy, cx), np.where(turned, cx, cy)
-    return np.unique(out)
+    out["many"] = np.where(several[group[own]], (rows["key"][own] & np.uint64(3)).astype(np.int32) + 1, 0)
+    return _once(out)
+
+
+def _once(met: np.ndarray) -> np.ndarray:
+    """Distinct meetings; what is known of a group of many stands for the same two places alone."""
+    met = met[np.lexsort((met["many"], met["cb"], met["ca"], met["b"], met["a"]))]
+    new = np.ones(len(met), bool)
+    same = np.logical_and.reduce([met[f][1:] == met[f][:-1] for f in ("a", "b", "ca", "cb")])
+    new[:-1] = ~(same & ((met["many"][:-1] == 0) | (met["many"][1:] == met["many"][:-1])))
+    return met[new]
 
 
 def _groups(*columns: np.ndarray) -> np.ndarray:
@@ -239,7 +256,9 @@ def chained_here(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(first)
     last = np.concatenate((ends[1:], [len(rows)])) - 1
     hot &= (rows["node"][ends] != rows["node"][last])[group]
-    return rows[~hot | first], chain(rows[hot], group[hot])
+    met = chain(rows[hot], group[hot])
+    rows["centre"][hot & first] |= _STANDS
+    return rows[~hot | first], met
 
 
 def meetings(rows: np.ndarray, fields: int) -> np.ndarray:
@@ -263,82 +282,271 @@ def meetings(rows: np.ndarray, fields: int) -> np.ndarray:
             turn = mix(rows["node"][some].astype(np.uint64))
             own = some[np.lexsort((rows["centre"][some], turn, field[some], rows["key"][some]))]
         found.append(chain(rows[own], _groups(rows["key"][own], field[own])))
-    return np.unique(np.concatenate(found))
+    found = _once(np.concatenate(found))
+    if not fields:
+        found["many"] = 0
+    return found
+
+
+def _look_kind(s: PassageSettings) -> np.dtype:
+    """A place of a list of many, with its sketch and 16 bits of each shingle that a passage of the least length could have there."""
+    return np.dtype([("key", "<u8"), ("node", "<i8"), ("centre", "<i4"), ("sketch", "<u2", 2 * (s.hashes - 1)), ("look", "<u2", 2 * (s.least - s.shingle) + 1)])
+
+
+def _looks_alike(x: np.ndarray, y: np.ndarray, repeats: np.ndarray, s: PassageSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two looks whether they surely have a similar passage around the centre, and whether words must tell.
+
+    A passage on the diagonal is seen here; shingles that repeat in a look count
+    against it.  Where words were put in or left out, shingles of a passage are
+    found a few places aside.
+    """
+    least = s.least - s.shingle + 1
+    equal = x == y
+    sure, maybe = np.zeros(len(x), bool), np.zeros(len(x), bool)
+
+    def best(held: np.ndarray, match: int, miss: int) -> np.ndarray:
+        """The largest sum of a window of ``least`` and more; all such have the centre."""
+        total = np.zeros((len(held), held.shape[1] + 1), np.int16)
+        np.cumsum(np.where(held, np.int16(match), np.int16(-miss)), 1, out=total[:, 1:])
+        ahead = np.maximum.accumulate(total[:, : least - 1 : -1], 1)[:, ::-1]
+        return (ahead - total[:, : ahead.shape[1]]).max(1)
+
+    # 100 e >= percent (2 m - e) for e equal of m shingles
+    rate = 2 * s.percent // (100 - s.percent)
+    number = equal.sum(1, dtype=np.int16)
+    some = np.flatnonzero(number >= 2 * s.percent * least // (100 + s.percent))
+    if len(some):
+        score = best(equal[some], 1, rate)
+        sure[some] = (score >= repeats[some]) | (best(equal[some], 1, 100) >= least)
+        maybe[some] = score >= 0
+        maybe &= ~sure
+    left = np.flatnonzero(~sure & ~maybe & (number >= least // 4))
+    if len(left):
+        x, y, held = x[left], y[left], equal[left]
+        for shift in range(1, 6):
+            held[:, shift:] |= x[:, shift:] == y[:, :-shift]
+            held[:, :-shift] |= x[:, :-shift] == y[:, shift:]
+        moved = held.sum(1, dtype=np.int16) > number[left]
+        left, held = left[moved], held[moved]
+        maybe[left] = best(held, 1, rate // 2) >= 0
+    return sure, maybe
+
+
+def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) -> np.ndarray:
+    """Meetings that join all texts alike in each list, whatever stands between them there.
+
+    Every two looks of a list that agree beside the centre are compared unless
+    looks that are surely alike, or two of one text, join them already.  Of
+    these the ones that join come out, and the others that words must tell, as
+    in a chain each place with a first one of any other text; equal looks are
+    met by exact keys.
+    """
+    if len(rows) < 2:
+        return np.zeros(0, _MEETING)
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    cuts = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1], [True])))
+    look, sketch = rows["look"], rows["sketch"]
+    in_order = np.sort(look, 1)
+    repeats = (in_order[:, 1:] == in_order[:, :-1]).sum(1)
+    component = np.arange(len(rows))  # by a row of it
+    up: dict[int, int] = {}
+    found = [np.zeros((0, 2), np.int64)]
+    small: list[np.ndarray] = []
+
+    def compare(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = pairs.T
+        sure, maybe = _looks_alike(look[x], look[y], np.maximum(repeats[x], repeats[y]), s)
+        return pairs[sure], pairs[maybe]
+
+    def partners(pairs: np.ndarray) -> np.ndarray:
+        """Of every two texts, each place with the first place of the other that it has."""
+        keep = np.zeros(len(pairs), bool)
+        for x, y in (pairs.T, pairs.T[::-1]):
+            order = np.lexsort((rows["node"][y], x))
+            group = _groups(x[order], rows["node"][y][order]) if len(pairs) else order
+            keep[order[np.flatnonzero(np.diff(group, prepend=-1))]] = True
+        return pairs[keep]
+
+    def top(i: int) -> int:
+        while (j := up.get(i, i)) != i:
+            up[i] = i = up.get(j, j)
+        return i
+
+    def flush() -> None:
+        if not small:
+            return
+        sure, maybe = compare(np.concatenate(small))
+        small.clear()
+        joins = []
+        for pair in sure.tolist():
+            p, q = map(top, pair)
+            if p != q:
+                up[p] = q
+                joins.append(pair)
+        found.append(np.array(joins, np.int64).reshape(-1, 2))
+        found.append(partners(maybe[np.array([top(x) != top(y) for x, y in maybe.tolist()], bool)]))
+
+    size = 0
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if (rows["node"][start:end] == rows["node"][start]).all():
+            continue
+        codes = np.ascontiguousarray(look[start:end]).view(f"V{rows.dtype['look'].itemsize}")[:, 0]
+        own, of = np.unique(codes, return_index=True, return_inverse=True)[1:]
+        own += start
+        n, first_of = len(own), {}
+        for node, i in zip(rows["node"][start:end].tolist(), own[of].tolist()):
+            p, q = top(i), top(first_of.setdefault(node, i))
+            if p != q:
+                up[p] = q
+        if n < 64:
+            pairs = own[np.stack(np.triu_indices(n, 1), 1)]
+            component[own] = [top(i) for i in own.tolist()]
+            pairs = pairs[component[pairs[:, 0]] != component[pairs[:, 1]]]
+            small.append(pairs[(sketch[pairs[:, 0]] == sketch[pairs[:, 1]]).any(1)])
+            size += len(small[-1])
+            if size >= block:
+                flush()
+                size = 0
+            continue
+        component[own] = [top(i) for i in own.tolist()]
+        later = [np.zeros((0, 2), np.int64)]
+        for at in range(n - 1):
+            others = own[at + 1 :]
+            others = others[(sketch[others] == sketch[own[at]]).any(1)]
+            others = others[component[others] != component[own[at]]]
+            for i in range(0, len(others), block):
+                some = others[i : i + block]
+                sure, maybe = compare(np.stack((np.full(len(some), own[at]), some), 1))
+                later.append(maybe)
+                if len(sure):
+                    joined, first = np.unique(component[sure[:, 1]], return_index=True)
+                    found.append(sure[first])
+                    component[own[np.isin(component[own], joined)]] = component[own[at]]
+        maybe = np.concatenate(later)
+        found.append(partners(maybe[component[maybe[:, 0]] != component[maybe[:, 1]]]))
+    flush()
+    x, y = np.concatenate(found).T
+    turned = rows["node"][x] < rows["node"][y]
+    a, b = np.where(turned, y, x), np.where(turned, x, y)
+    out = np.zeros(len(a), _MEETING)
+    out["a"], out["b"], out["ca"], out["cb"] = rows["node"][a], rows["node"][b], rows["centre"][a], rows["centre"][b]
+    return out
 
 
 def _dealt(texts: DataFrame, rows_of, tasks: int, fields: int, s: PassageSettings, label: str) -> DataFrame:
-    """(a, b, anchor) of all meetings; ``rows_of`` gives a batch's rows.  One shuffle."""
+    """(a, b, anchor, many) of all meetings; ``rows_of`` gives a batch's rows and looks.  One shuffle."""
     buckets = max(1024, 8 * tasks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        seen: list[np.ndarray] = []
 
-        def out() -> pa.RecordBatch:
-            rows, met = chained_here(np.concatenate(held), s.hot)
+        def blobs(rows: np.ndarray, pack) -> list[tuple[int, bytes]]:
+            if not len(rows):
+                return []
             bucket = (mix(rows["key"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(rows) else np.zeros(0, int)
-            parts = [_packed(x) for x in np.split(rows, cuts[1:])] if len(rows) else []
-            where, known = bucket[cuts].tolist(), [b""] * len(parts)
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            return list(zip(bucket[cuts].tolist(), map(pack, np.split(rows, cuts[1:]))))
+
+        def out() -> pa.RecordBatch:
+            rows, met = chained_here(np.concatenate(held), s.hot)
+            cells = [(at, own, b"", b"") for at, own in blobs(rows, _packed)]
             for i, at in enumerate(range(0, len(met), 1 << 15)):
-                where.append((i * 7919 + int(met["a"][at])) % buckets)
-                parts.append(b"")
-                known.append(_packed(met[at : at + (1 << 15)]))
-            return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(parts, pa.binary()), pa.array(known, pa.binary())], schema=_BLOBS)
+                cells.append(((i * 7919 + int(met["a"][at])) % buckets, b"", _packed(met[at : at + (1 << 15)]), b""))
+            if seen:
+                cells += [(at, b"", b"", own) for at, own in blobs(np.concatenate(seen), np.ndarray.tobytes)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*cells)) or [()] * len(_BLOBS), _BLOBS)], schema=_BLOBS)
 
         for b in batches:
-            held += rows_of(b)
-            if sum(map(len, held)) >= s.flush_rows:
+            rows, looks = rows_of(b)
+            held += rows
+            seen += looks
+            if sum(map(len, held)) >= s.flush_rows or sum(map(len, seen)) >= s.flush_rows // 4:
                 yield out()
-                held = []
+                held, seen = [], []
         if held:
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, met = [np.zeros(0, _ROW)], [np.zeros(0, _MEETING)]
+        kind = _look_kind(s)
+        rows, met, looks = [np.zeros(0, _ROW)], [np.zeros(0, _MEETING)], [np.zeros(0, kind)]
         for b in batches:
             rows += [_unpacked(x, _ROW) for x in b.column(0).to_pylist() if x]
             met += [_unpacked(x, _MEETING) for x in b.column(1).to_pylist() if x]
-        found = np.concatenate([meetings(np.concatenate(rows), fields), *met])
+            looks += [np.frombuffer(x, kind) for x in b.column(2).to_pylist() if x]
+        found = _once(np.concatenate([meetings(np.concatenate(rows), fields), *met, met_by_looks(np.concatenate(looks), s)]))
         for at in range(0, len(found), 1 << 16):
             some = found[at : at + (1 << 16)]
             anchor = some["ca"].astype(np.int64) << 32 | some["cb"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (some["a"], some["b"], anchor)], names=["a", "b", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (some["a"], some["b"], anchor, some["many"])], names=["a", "b", "anchor", "many"])
 
-    dealt = texts.mapInArrow(deal, _BLOBS_SQL).repartition(tasks, "bucket").select("rows", "met")
-    return materialize(dealt.mapInArrow(meet, "a long, b long, anchor long"), label)
+    dealt = texts.mapInArrow(deal, _BLOBS_SQL).repartition(tasks, "bucket").select("rows", "met", "looks")
+    return materialize(dealt.mapInArrow(meet, "a long, b long, anchor long, many int"), label)
 
 
 def _met_by_windows(nodes: DataFrame, tasks: int, s: PassageSettings) -> DataFrame:
-    def rows_of(b: pa.RecordBatch) -> list[np.ndarray]:
+    def rows_of(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
         out = []
         for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             key, centre, sketch = windows_of(word_hashes(t), s)
             rows = np.empty(len(key), _ROW)
             rows["key"], rows["sketch"], rows["node"], rows["centre"] = key, sketch, node, centre
             out.append(rows)
-        return out
+        return out, []
 
     return _dealt(nodes.select("node", "text"), rows_of, tasks, 2 * (s.hashes - 1), s, "met")
 
 
+def _looks(words: np.ndarray, node: int, places: np.ndarray, s: PassageSettings) -> np.ndarray:
+    """The distinct looks of a text's places in lists of many, each with its list's key."""
+    tokens, kind, side = shingles(words, s.shingle), _look_kind(s), s.least - s.shingle
+    c, fn = places & ((1 << _PLACE) - 1), (places >> _PLACE) - 1
+    c, fn = c[c < len(tokens)], fn[c < len(tokens)]  # else a place in another text of the same id
+    rows = np.empty(len(c), kind)
+    values = np.full((s.hashes, len(tokens) + 2 * s.beside), np.uint64(2**64 - 1))
+    values[:, s.beside : s.beside + len(tokens)] = _hash_values(tokens, s)
+    field = 0
+    for turn in range(1, s.hashes):
+        for after in (0, s.beside + 1):
+            low = values[((fn + turn) % s.hashes)[:, None], c[:, None] + after + np.arange(s.beside)].min(1)
+            rows["sketch"][:, field] = (low >> np.uint64(20)) & np.uint64(0xFFFF)
+            field += 1
+    values = values[:, s.beside :]
+    rows["key"], rows["node"], rows["centre"] = values[fn, c] & ~np.uint64(3) | fn.astype(np.uint64), node, c
+    edges = mix(np.arange(2 * side, dtype=np.uint64) + np.uint64(node & (2**64 - 1)) * np.uint64(2 * side))  # nothing beyond a text is equal
+    around = (np.concatenate((edges[:side], tokens, edges[side:])) >> np.uint64(40)).astype("<u2")
+    rows["look"] = around[c[:, None] + np.arange(2 * side + 1)]
+    if len(rows) > 1:
+        own = np.concatenate((rows["key"][:, None].view("<u2"), rows["look"]), 1)
+        rows = rows[np.sort(np.unique(own.view(f"V{2 * own.shape[1]}")[:, 0], return_index=True)[1])]
+    return rows
+
+
 def _met_by_words(met: DataFrame, nodes: DataFrame, tasks: int, s: PassageSettings) -> DataFrame:
-    """Meetings by the words around all places that met another, at every alignment."""
-    places = met.select(F.col("a").alias("node"), F.shiftright("anchor", 32).alias("c")).union(met.select("b", F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF))))
+    """Meetings by the words around all places that met another, at every alignment.
+
+    Places of lists of many also meet there by their looks.
+    """
+    many = F.col("many").cast("long") * (1 << _PLACE)
+    places = met.select(F.col("a").alias("node"), (F.shiftright("anchor", 32) + many).alias("c")).union(met.select("b", F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF)) + many))
     centres = places.groupBy("node").agg(F.collect_set(F.col("c").cast("int")).alias("cs"))
 
-    def rows_of(b: pa.RecordBatch) -> list[np.ndarray]:
-        out = []
+    def rows_of(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        out, looks = [], []
         for node, t, cs in zip(*(b.column(i).to_pylist() for i in range(3))):
             w, cs = word_hashes(t), np.array(cs, np.int64)
+            if (cs >> _PLACE).any():
+                looks.append(_looks(w, node, cs[cs >> _PLACE > 0], s))
+            cs = np.unique(cs & ((1 << _PLACE) - 1))
             code = shingles(w, s.least) if len(w) >= s.least else np.zeros(0, np.uint64)
             at = np.unique((cs[:, None] - np.arange(0, s.least, s.step)).reshape(-1))
             at = at[(at >= 0) & (at < len(code))]
             rows = np.empty(len(at), _ROW)
             rows["key"], rows["sketch"], rows["node"], rows["centre"] = code[at], 0, node, at
             out.append(rows)
-        return out
+        return out, looks
 
     return _dealt(nodes.join(centres, "node").select("node", "text", "cs"), rows_of, tasks, 0, s, "exact")
 
@@ -412,8 +620,8 @@ def passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], s: Pa
         if not any(m[0] <= span[0] and span[1] <= m[1] and m[2] <= span[2] and span[3] <= m[3] for m in out):
             if span in right:
                 out.append(tuple(span))
-            else:
-                out += _equal_runs(x, y, span, s.least)
+            elif span[1] - span[0] >= s.least:
+                out += _equal_runs(x, y, span, s.least) or _similar_run(x, y, span, s)
     return sorted(set(out))
 
 
@@ -436,6 +644,21 @@ def _equal_runs(x: np.ndarray, y: np.ndarray, span: list[int], least: int) -> li
     return [(a + i, a + j, a2 + i, a2 + j) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()) if j - i >= least]
 
 
+def _similar_run(x: np.ndarray, y: np.ndarray, span: list[int], s: PassageSettings) -> list[tuple[int, int, int, int]]:
+    """The longest similar part of a span that is not similar itself, on its diagonal."""
+    a, b, a2, b2 = span
+    n, least = min(b - a, b2 - a2), s.least - s.shingle + 1
+    u, v = (shingles(z, s.shingle) for z in (x[a : a + n], y[a2 : a2 + n]))
+    total = np.concatenate(([0], np.cumsum(np.where(u == v, 100 - s.percent, -2 * s.percent))))
+    ahead = np.maximum.accumulate(total[::-1])  # descending, from the end
+    ends = len(total) - 1 - np.searchsorted(ahead, total, "left")  # the last place with no smaller total
+    at = int((ends - np.arange(len(total))).argmax())
+    if ends[at] - at < least:
+        return []
+    part = (a + at, a + int(ends[at]) + s.shingle - 1, a2 + at, a2 + int(ends[at]) + s.shingle - 1)
+    return [part] if _similar(x, y, list(part), s) else []
+
+
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int64()), ("other_end", pa.int64())])
 _SPANS_SQL = "doc_id long, start long, end long, other_id long, other_start long, other_end long"
 

@@ -380,6 +380,25 @@ def test_near_passages_meet_beside_texts_with_fragments(spark):
     assert all(a // 100 == b // 100 for a, b in met)
 
 
+def test_a_group_parted_by_fragments_is_joined(spark):
+    """Near copies are linked in each group as all pairs of it would be, with many fragments between them."""
+    rng = np.random.default_rng(78)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    data, n = [], 15
+    for k in range(n):
+        passage = word(60)
+        other = list(passage)
+        other[30 if k % 2 else 29] = "changed"
+        data += [(1000 * k, [*word(9), *passage, *word(9)]), (1000 * k + 999, [*word(5), *other, *word(9)])]
+        for i in range(1, 41):
+            at = int(rng.integers(0, 30))
+            data.append((1000 * k + i, [*word(60), *passage[at : at + 31], *word(60)]))
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string"))
+    met = {(r.doc_id, r.other_id) for r in out.collect()}
+    assert all({a % 1000, b % 1000} == {0, 999} and a // 1000 == b // 1000 for a, b in met)
+    assert sum((1000 * k, 1000 * k + 999) in met for k in range(n)) >= 13
+
+
 def test_two_texts_under_one_id_and_repeated_rows(spark):
     rng = np.random.default_rng(3)
     word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
