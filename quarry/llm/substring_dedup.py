@@ -337,9 +337,8 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
 
     Every two looks of a list that agree beside the centre are compared unless
     looks that are surely alike, or two of one text, join them already.  Of
-    these the ones that join come out, and the others that words must tell, as
-    in a chain each place with a first one of any other text; equal looks are
-    met by exact keys.
+    these the ones that join come out, and the others that words must tell;
+    equal looks are met by exact keys.
     """
     if len(rows) < 2:
         return np.zeros(0, _MEETING)
@@ -358,15 +357,6 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
         sure, maybe = _looks_alike(look[x], look[y], np.maximum(repeats[x], repeats[y]), s)
         return pairs[sure], pairs[maybe]
 
-    def partners(pairs: np.ndarray) -> np.ndarray:
-        """Of every two texts, each place with the first place of the other that it has."""
-        keep = np.zeros(len(pairs), bool)
-        for x, y in (pairs.T, pairs.T[::-1]):
-            order = np.lexsort((rows["node"][y], x))
-            group = _groups(x[order], rows["node"][y][order]) if len(pairs) else order
-            keep[order[np.flatnonzero(np.diff(group, prepend=-1))]] = True
-        return pairs[keep]
-
     def top(i: int) -> int:
         while (j := up.get(i, i)) != i:
             up[i] = i = up.get(j, j)
@@ -384,7 +374,7 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
                 up[p] = q
                 joins.append(pair)
         found.append(np.array(joins, np.int64).reshape(-1, 2))
-        found.append(partners(maybe[np.array([top(x) != top(y) for x, y in maybe.tolist()], bool)]))
+        found.append(maybe[np.array([top(x) != top(y) for x, y in maybe.tolist()], bool)])
 
     size = 0
     for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -423,7 +413,7 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
                     found.append(sure[first])
                     component[own[np.isin(component[own], joined)]] = component[own[at]]
         maybe = np.concatenate(later)
-        found.append(partners(maybe[component[maybe[:, 0]] != component[maybe[:, 1]]]))
+        found.append(maybe[component[maybe[:, 0]] != component[maybe[:, 1]]])
     flush()
     x, y = np.concatenate(found).T
     turned = rows["node"][x] < rows["node"][y]
