@@ -33,7 +33,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -332,24 +333,54 @@ def _looks_alike(x: np.ndarray, y: np.ndarray, repeats: np.ndarray, s: PassageSe
     return sure, maybe
 
 
-def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) -> np.ndarray:
-    """Meetings that join all texts alike in each list, whatever stands between them there.
+def _sharing(nodes: np.ndarray, looks: np.ndarray, s: PassageSettings) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
+    """The number of each look's text, and of one text which others of the list share more than its token.
+
+    Similar passages have another shingle in common, or are the token again and
+    again; places in runs of one word often have neither.
+    """
+    side = s.least - s.shingle
+    number = np.unique(nodes, return_inverse=True)[1].reshape(-1)
+    own = looks == looks[:, side : side + 1]
+    again = np.logical_and.accumulate(own[:, side::-1], 1).sum(1) + np.logical_and.accumulate(own[:, side:], 1).sum(1) > side + 1
+    values = np.where(own, 0, looks.astype(np.int64) + 1)
+    codes = np.unique(np.concatenate(((number[:, None] << 17 | values).reshape(-1), number[again] << 17 | (1 << 16) + 1)))
+    codes = codes[codes & 0x1FFFF > 0]
+    value, many = np.unique(codes & 0x1FFFF, return_inverse=True, return_counts=True)[1:]
+    codes, value = codes[many[value] > 1], value[many[value] > 1]  # what one text alone has is not shared
+    texts = int(number.max()) + 1
+    cuts = np.searchsorted(codes >> 17, np.arange(texts + 1))
+    order = np.argsort(value, kind="stable")
+    having = (codes >> 17)[order]
+    begins, ends = (np.searchsorted(value[order], value, x) for x in ("left", "right"))
+
+    def sharing(text: int) -> np.ndarray:
+        out = np.zeros(texts, bool)
+        for x, y in zip(begins[cuts[text] : cuts[text + 1]].tolist(), ends[cuts[text] : cuts[text + 1]].tolist()):
+            out[having[x:y]] = True
+        return out
+
+    return number, sharing
+
+
+def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Meetings that join all texts alike in each list, whatever stands between them there, in blocks.
 
     Every two looks of a list that agree beside the centre are compared unless
-    looks that are surely alike, or two of one text, join them already.  Of
-    these the ones that join come out, and the others that words must tell;
-    equal looks are met by exact keys.
+    looks that are surely alike, or two of one text, join them already, or their
+    texts share no more than the list's token.  Of these the ones that join come
+    out, and the others that words must tell; equal looks are met by exact keys.
     """
     if len(rows) < 2:
-        return np.zeros(0, _MEETING)
+        return
     rows = rows[np.argsort(rows["key"], kind="stable")]
     cuts = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1], [True])))
     look, sketch = rows["look"], rows["sketch"]
     in_order = np.sort(look, 1)
     repeats = (in_order[:, 1:] == in_order[:, :-1]).sum(1)
+    del in_order
     component = np.arange(len(rows))  # by a row of it
     up: dict[int, int] = {}
-    found = [np.zeros((0, 2), np.int64)]
     small: list[np.ndarray] = []
 
     def compare(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,9 +393,7 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
             up[i] = i = up.get(j, j)
         return i
 
-    def flush() -> None:
-        if not small:
-            return
+    def flush() -> np.ndarray:
         sure, maybe = compare(np.concatenate(small))
         small.clear()
         joins = []
@@ -373,8 +402,16 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
             if p != q:
                 up[p] = q
                 joins.append(pair)
-        found.append(np.array(joins, np.int64).reshape(-1, 2))
-        found.append(maybe[np.array([top(x) != top(y) for x, y in maybe.tolist()], bool)])
+        maybe = maybe[np.array([top(x) != top(y) for x, y in maybe.tolist()], bool)]
+        return meetings_of(np.concatenate((np.array(joins, np.int64).reshape(-1, 2), maybe)))
+
+    def meetings_of(pairs: np.ndarray) -> np.ndarray:
+        x, y = pairs.T
+        turned = rows["node"][x] < rows["node"][y]
+        a, b = np.where(turned, y, x), np.where(turned, x, y)
+        out = np.zeros(len(a), _MEETING)
+        out["a"], out["b"], out["ca"], out["cb"] = rows["node"][a], rows["node"][b], rows["centre"][a], rows["centre"][b]
+        return out
 
     size = 0
     for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -388,39 +425,48 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
             p, q = top(i), top(first_of.setdefault(node, i))
             if p != q:
                 up[p] = q
+        component[own] = [top(i) for i in own.tolist()]
         if n < 64:
             pairs = own[np.stack(np.triu_indices(n, 1), 1)]
-            component[own] = [top(i) for i in own.tolist()]
             pairs = pairs[component[pairs[:, 0]] != component[pairs[:, 1]]]
             small.append(pairs[(sketch[pairs[:, 0]] == sketch[pairs[:, 1]]).any(1)])
             size += len(small[-1])
             if size >= block:
-                flush()
+                yield flush()
                 size = 0
             continue
-        component[own] = [top(i) for i in own.tolist()]
-        later = [np.zeros((0, 2), np.int64)]
+        if (component[own] == component[own[0]]).all():
+            continue
+        text, sharing = _sharing(rows["node"][own], look[own], s)
+        order = np.argsort(text, kind="stable")
+        own, text = own[order], text[order]
+        shared, joins, later, held = (-1, text), [], [], 0
         for at in range(n - 1):
-            others = own[at + 1 :]
+            rest = np.flatnonzero(component[own[at + 1 :]] != component[own[at]]) + at + 1
+            if not len(rest):
+                continue
+            if shared[0] != text[at]:
+                shared = text[at], sharing(int(text[at]))
+            others = own[rest[shared[1][text[rest]]]]
             others = others[(sketch[others] == sketch[own[at]]).any(1)]
-            others = others[component[others] != component[own[at]]]
             for i in range(0, len(others), block):
                 some = others[i : i + block]
                 sure, maybe = compare(np.stack((np.full(len(some), own[at]), some), 1))
                 later.append(maybe)
+                held += len(maybe)
                 if len(sure):
                     joined, first = np.unique(component[sure[:, 1]], return_index=True)
-                    found.append(sure[first])
+                    joins.append(sure[first])
                     component[own[np.isin(component[own], joined)]] = component[own[at]]
-        maybe = np.concatenate(later)
-        found.append(maybe[component[maybe[:, 0]] != component[maybe[:, 1]]])
-    flush()
-    x, y = np.concatenate(found).T
-    turned = rows["node"][x] < rows["node"][y]
-    a, b = np.where(turned, y, x), np.where(turned, x, y)
-    out = np.zeros(len(a), _MEETING)
-    out["a"], out["b"], out["ca"], out["cb"] = rows["node"][a], rows["node"][b], rows["centre"][a], rows["centre"][b]
-    return out
+                if held >= 4 * block:  # what a later look joins may be among these; words tell
+                    maybe = np.concatenate(later)
+                    yield meetings_of(maybe[component[maybe[:, 0]] != component[maybe[:, 1]]])
+                    later, held = [], 0
+        none = np.zeros((0, 2), np.int64)
+        maybe = np.concatenate([none, *later])
+        yield meetings_of(np.concatenate([none, *joins, maybe[component[maybe[:, 0]] != component[maybe[:, 1]]]]))
+    if small:
+        yield flush()
 
 
 def _dealt(texts: DataFrame, rows_of, tasks: int, fields: int, s: PassageSettings, label: str) -> DataFrame:
@@ -466,11 +512,14 @@ def _dealt(texts: DataFrame, rows_of, tasks: int, fields: int, s: PassageSetting
             rows += [_unpacked(x, _ROW) for x in b.column(0).to_pylist() if x]
             met += [_unpacked(x, _MEETING) for x in b.column(1).to_pylist() if x]
             looks += [np.frombuffer(x, kind) for x in b.column(2).to_pylist() if x]
-        found = _once(np.concatenate([meetings(np.concatenate(rows), fields), *met, met_by_looks(np.concatenate(looks), s)]))
-        for at in range(0, len(found), 1 << 16):
-            some = found[at : at + (1 << 16)]
-            anchor = some["ca"].astype(np.int64) << 32 | some["cb"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (some["a"], some["b"], anchor, some["many"])], names=["a", "b", "anchor", "many"])
+        rows, met, looks = np.concatenate(rows), np.concatenate(met), np.concatenate(looks)
+        found = _once(np.concatenate([meetings(rows, fields), met]))
+        del rows, met
+        for found in itertools.chain([found], met_by_looks(looks, s)):
+            for at in range(0, len(found), 1 << 16):
+                some = found[at : at + (1 << 16)]
+                anchor = some["ca"].astype(np.int64) << 32 | some["cb"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (some["a"], some["b"], anchor, some["many"])], names=["a", "b", "anchor", "many"])
 
     dealt = texts.mapInArrow(deal, _BLOBS_SQL).repartition(tasks, "bucket").select("rows", "met", "looks")
     return materialize(dealt.mapInArrow(meet, "a long, b long, anchor long, many int"), label)
@@ -612,6 +661,10 @@ def passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], s: Pa
                 out.append(tuple(span))
             elif span[1] - span[0] >= s.least:
                 out += _equal_runs(x, y, span, s.least) or _similar_run(x, y, span, s)
+            elif 100 * (span[1] - span[0]) >= s.percent * s.least:  # a few words short, where the next ones differ
+                short = s.least - (span[1] - span[0])
+                back, ahead = min(short, span[0], span[2]), min(short, len(x) - span[1], len(y) - span[3])
+                out += _similar_run(x, y, [span[0] - back, span[1] + ahead, span[2] - back, span[3] + ahead], s)
     return sorted(set(out))
 
 
@@ -635,9 +688,11 @@ def _equal_runs(x: np.ndarray, y: np.ndarray, span: list[int], least: int) -> li
 
 
 def _similar_run(x: np.ndarray, y: np.ndarray, span: list[int], s: PassageSettings) -> list[tuple[int, int, int, int]]:
-    """The longest similar part of a span that is not similar itself, on its diagonal."""
+    """The longest similar part of a span that is not similar itself, on its diagonal; else that with the most in common."""
     a, b, a2, b2 = span
     n, least = min(b - a, b2 - a2), s.least - s.shingle + 1
+    if n < s.least:
+        return []
     u, v = (shingles(z, s.shingle) for z in (x[a : a + n], y[a2 : a2 + n]))
     total = np.concatenate(([0], np.cumsum(np.where(u == v, 100 - s.percent, -2 * s.percent))))
     ahead = np.maximum.accumulate(total[::-1])  # descending, from the end
@@ -645,8 +700,12 @@ def _similar_run(x: np.ndarray, y: np.ndarray, span: list[int], s: PassageSettin
     at = int((ends - np.arange(len(total))).argmax())
     if ends[at] - at < least:
         return []
-    part = (a + at, a + int(ends[at]) + s.shingle - 1, a2 + at, a2 + int(ends[at]) + s.shingle - 1)
-    return [part] if _similar(x, y, list(part), s) else []
+    most = int((ahead[::-1][least:] - total[:-least]).argmax())
+    for i, j in ((at, int(ends[at])), (most, most + least + int(total[most + least :].argmax()))):
+        part = (a + i, a + j + s.shingle - 1, a2 + i, a2 + j + s.shingle - 1)
+        if _similar(x, y, list(part), s):
+            return [part]
+    return []
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int64()), ("other_end", pa.int64())])

@@ -399,6 +399,39 @@ def test_a_group_parted_by_fragments_is_joined(spark):
     assert sum((1000 * k, 1000 * k + 999) in met for k in range(n)) >= 13
 
 
+def test_runs_of_one_word_meet_few_others(spark):
+    """Texts that share a repeated word alone are not aligned; near copies with such a run are."""
+    s, rng = substring_dedup.PassageSettings(), np.random.default_rng(79)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    passage = word(60)
+    other = [*passage[:29], "changed", *passage[30:]]
+    texts = [[*word(50), *["the"] * int(rng.integers(25, 40)), *word(50)] for _ in range(60)]
+    texts += [[*word(50), *["the"] * 30, *p, *word(9)] for p in (passage, other)]
+    looks = []
+    for node, w in enumerate(texts):
+        hashes = substring_dedup.word_hashes(" ".join(w))
+        run = [i for i in range(len(w) - 4) if w[i : i + 5] == ["the"] * 5]
+        looks.append(substring_dedup._looks(hashes, node, np.array(run) | 1 << substring_dedup._PLACE, s))
+    met = np.concatenate(list(substring_dedup.met_by_looks(np.concatenate(looks), s)))
+    pairs = set(zip(met["a"].tolist(), met["b"].tolist()))
+    assert len(pairs) < 60 and len(met) < 5000  # 269 and 19,827 when all that agree beside the centre were compared
+    assert (61, 60) in pairs
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string"))
+    assert {(r.doc_id, r.other_id) for r in out.collect()} == {(60, 61), (61, 60)}
+
+
+def test_a_passage_whose_last_words_differ():
+    """43 equal words of 47 are a similar passage: 39 of 47 shingles, and of 49 no more."""
+    s = substring_dedup.PassageSettings()
+    x, y = (np.arange(k, k + 100, dtype=np.uint64) for k in (1000, 2000))
+    x[20:63] = y[30:73] = np.arange(43)
+    assert [(b - a, b2 - a2) for a, b, a2, b2 in substring_dedup.passages(x, y, [(40, 50)], s)] == [(47, 47)]
+    y[72] = 9  # 42, and 41 of them equal: 37 of 47
+    x[62] = 8
+    y[71] = 9
+    assert substring_dedup.passages(x, y, [(40, 50)], s) == []
+
+
 def test_two_texts_under_one_id_and_repeated_rows(spark):
     rng = np.random.default_rng(3)
     word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
