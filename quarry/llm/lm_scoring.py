@@ -92,13 +92,13 @@ class Network:
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
         """Of the window, and a column of ones."""
-        total = np.empty((len(around), self.s.width + 1), self.flat.dtype)
-        total[:, :-1] = self.start
+        total, some = np.empty((2, len(around), self.s.width), self.flat.dtype)
+        total[:] = self.start
         for d in range(around.shape[1]):
-            total[:, :-1] += self.embed[around[:, d]] * self.gate[d]
-        np.tanh(total[:, :-1], out=total[:, :-1])
-        total[:, -1] = 1
-        return total
+            total += np.take(self.embed * self.gate[d], around[:, d], 0, out=some, mode="clip")
+        out = np.ones((len(around), self.s.width + 1), total.dtype)
+        np.tanh(total, out=out[:, :-1])
+        return out
 
     def _level(self, h: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Logits of the branches at level k, the branch taken, and where nodes begin; words ascend."""
@@ -115,11 +115,11 @@ class Network:
         """Of each word given what is beside it."""
         order = np.argsort(words.astype(np.uint16) if self.s.ids < 1 << 16 else words, kind="stable")
         words, rows = words[order], np.arange(len(words))
-        h, total = self._hidden(around[order]), np.zeros(len(words))
+        h, total, ones = self._hidden(around[order]), np.zeros(len(words)), np.ones(self.s.branches, self.flat.dtype)
         for k in range(self.s.depth):
             z, digit, _, _ = self._level(h, words, k)
             total += z[rows, digit]
-            total -= np.log(np.exp(z, out=z).sum(1))
+            total -= np.log(np.exp(z, out=z) @ ones)
         out = np.empty(len(words))
         out[order] = total
         return out
@@ -130,24 +130,26 @@ class Network:
         order = np.argsort(words.astype(np.uint16) if self.s.ids < 1 << 16 else words, kind="stable")
         around, words, rows = around[order], words[order], np.arange(len(words))
         h = self._hidden(around)
-        dh = np.zeros((len(words), self.s.width), h.dtype)
+        dh, ones = np.zeros((len(words), self.s.width), h.dtype), np.ones(self.s.branches, h.dtype)
         for k in range(self.s.depth):
             p, digit, first, nodes = self._level(h, words, k)
             np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
+            p /= (p @ ones)[:, None]
             p[rows, digit] -= 1
             for n, x, y in zip(nodes.tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
                 np.matmul(h[x:y].T, p[x:y], out=g.out[k][n])
                 dh[x:y] += p[x:y] @ self.out[k][n, :-1].T
         dh *= 1 - h[:, :-1] ** 2
         g.start[:] = dh.sum(0)
-        dx = np.empty((around.shape[1], self.s.width, len(words)), dh.dtype)
-        for d in range(around.shape[1]):
-            g.gate[d] = (self.embed[around[:, d]] * dh).sum(0)
-            dx[d] = (dh * self.gate[d]).T
-        flat = around.T.reshape(-1)
-        for j in range(self.s.width):
-            g.embed[:, j] = np.bincount(flat, dx[:, j].reshape(-1), self.s.ids + 1)
+        dh = np.ascontiguousarray(dh.T, np.float64)
+        embed, gate = np.ascontiguousarray(self.embed.T), self.gate.T
+        dx = np.zeros(embed.shape)
+        for d, own in enumerate(np.ascontiguousarray(around.T)):
+            for j in range(self.s.width):  # of each id at this place, summed up
+                at = np.bincount(own, dh[j], self.s.ids + 1)
+                g.gate[d, j] = at @ embed[j]
+                dx[j] += at * gate[j, d]
+        g.embed[:] = dx.T
         return g.flat / len(words)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -195,6 +196,35 @@ def test_pseudo_likelihood_sums_every_word():
         assert g[at] == pytest.approx((high - loss()) / 2e-4, abs=1e-4)
 
 
+def test_gradient_sums_places_without_a_copy_for_each_word():
+    """Sums of each id make the embeddings' and the gates' gradients; no window of vectors is held."""
+    s, rng = lm_scoring.LmSettings(), np.random.default_rng(5)
+    net = lm_scoring.Network(s)
+    around, words = net.contexts([rng.integers(0, s.ids, 1 << 14)])
+    tracemalloc.start()
+    g = lm_scoring.Network(s, net.gradient(around, words).copy())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 * len(words)  # 849 bytes a word with them
+    order, dh = np.argsort(words, kind="stable"), np.zeros((len(words), s.width))
+    around, words = around[order], words[order]
+    full = net._hidden(around)
+    h = full[:, :-1]
+    for k in range(s.depth):
+        p, digit = net._level(full, words, k)[:2]
+        p = np.exp(p.astype(np.float64))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(words)), digit] -= 1
+        node = words // s.branches ** (s.depth - k)
+        dh += np.einsum("nb,nwb->nw", p, net.out[k][node, :-1])
+    dh *= 1 - h**2
+    want, gates = np.zeros(net.embed.shape), np.zeros(net.gate.shape)
+    for d in range(2 * s.side):
+        np.add.at(want, around[:, d], dh * net.gate[d])
+        gates[d] = (dh * net.embed[around[:, d]]).sum(0)
+    assert np.allclose(g.embed, want / len(words), atol=1e-7) and np.allclose(g.gate, gates / len(words), atol=1e-6)
+
+
 def test_training_lowers_loss_whatever_the_partitions(spark, docs):
     s, vocabulary, words = lm_scoring.corpus_vocabulary(docs, lm_scoring.LmSettings(batch=1024))
     nets = [lm_scoring.train(lm_scoring.coded(docs.repartition(n), vocabulary, s), words, s) for n in (1, 7)]
