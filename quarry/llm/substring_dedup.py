@@ -336,29 +336,37 @@ def _looks_alike(x: np.ndarray, y: np.ndarray, repeats: np.ndarray, s: PassageSe
 def _sharing(nodes: np.ndarray, looks: np.ndarray, s: PassageSettings) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
     """The number of each look's text, and of one text which others of the list share more than its token.
 
-    Similar passages have another shingle in common, or are the token again and
-    again; places in runs of one word often have neither.
+    Similar passages have two other shingles in common, or are made of the token
+    and at most one more; places in runs of one word often have neither.
     """
     side = s.least - s.shingle
     number = np.unique(nodes, return_inverse=True)[1].reshape(-1)
     own = looks == looks[:, side : side + 1]
-    again = np.logical_and.accumulate(own[:, side::-1], 1).sum(1) + np.logical_and.accumulate(own[:, side:], 1).sum(1) > side + 1
-    values = np.where(own, 0, looks.astype(np.int64) + 1)
-    codes = np.unique(np.concatenate(((number[:, None] << 17 | values).reshape(-1), number[again] << 17 | (1 << 16) + 1)))
-    codes = codes[codes & 0x1FFFF > 0]
-    value, many = np.unique(codes & 0x1FFFF, return_inverse=True, return_counts=True)[1:]
+    codes = [(number[:, None] << 20 | np.where(own, 0, looks.astype(np.int64) + 1)).reshape(-1)]
+
+    def made_of(held: np.ndarray, value: np.ndarray) -> None:
+        """Counts twice where a passage around the centre holds no others."""
+        long = np.logical_and.accumulate(held[:, side::-1], 1).sum(1) + np.logical_and.accumulate(held[:, side:], 1).sum(1) > side + 1
+        codes.extend(number[long] << 20 | kind << 17 | value[long] for kind in (1, 2))
+
+    made_of(own, np.zeros(len(looks), np.int64))
+    for place in (side - own[:, side::-1].argmin(1), side + own[:, side:].argmin(1)):  # the nearest other shingle
+        other = looks[np.arange(len(looks)), place]
+        made_of(own | (looks == other[:, None]), other.astype(np.int64) + 1)
+    codes = np.unique(np.concatenate(codes))
+    codes = codes[codes & 0xFFFFF > 0]
+    value, many = np.unique(codes & 0xFFFFF, return_inverse=True, return_counts=True)[1:]
     codes, value = codes[many[value] > 1], value[many[value] > 1]  # what one text alone has is not shared
     texts = int(number.max()) + 1
-    cuts = np.searchsorted(codes >> 17, np.arange(texts + 1))
+    cuts = np.searchsorted(codes >> 20, np.arange(texts + 1))
     order = np.argsort(value, kind="stable")
-    having = (codes >> 17)[order]
+    having = (codes >> 20)[order]
     begins, ends = (np.searchsorted(value[order], value, x) for x in ("left", "right"))
 
     def sharing(text: int) -> np.ndarray:
-        out = np.zeros(texts, bool)
-        for x, y in zip(begins[cuts[text] : cuts[text + 1]].tolist(), ends[cuts[text] : cuts[text + 1]].tolist()):
-            out[having[x:y]] = True
-        return out
+        some = slice(cuts[text], cuts[text + 1])
+        lists = [having[x:y] for x, y in zip(begins[some].tolist(), ends[some].tolist())]
+        return np.bincount(np.concatenate([having[:0], *lists]), minlength=texts) > 1
 
     return number, sharing
 
@@ -440,14 +448,13 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
         text, sharing = _sharing(rows["node"][own], look[own], s)
         order = np.argsort(text, kind="stable")
         own, text = own[order], text[order]
-        shared, joins, later, held = (-1, text), [], [], 0
+        near, joins, later, held = own[:0], [], [], 0
         for at in range(n - 1):
-            rest = np.flatnonzero(component[own[at + 1 :]] != component[own[at]]) + at + 1
-            if not len(rest):
-                continue
-            if shared[0] != text[at]:
-                shared = text[at], sharing(int(text[at]))
-            others = own[rest[shared[1][text[rest]]]]
+            if not at or text[at] != text[at - 1]:
+                later_ones = np.arange(np.searchsorted(text, text[at], "right"), n)
+                later_ones = later_ones[component[own[later_ones]] != component[own[at]]]
+                near = own[later_ones[sharing(int(text[at]))[text[later_ones]]]] if len(later_ones) else own[:0]
+            others = near[component[near] != component[own[at]]]
             others = others[(sketch[others] == sketch[own[at]]).any(1)]
             for i in range(0, len(others), block):
                 some = others[i : i + block]
@@ -592,20 +599,18 @@ def _met_by_words(met: DataFrame, nodes: DataFrame, tasks: int, s: PassageSettin
 
 def _reach(x: np.ndarray, y: np.ndarray) -> int:
     """How far two runs of words are alike, where a mismatch costs five matches."""
-    best, end, total, size = 0, 0, 0, 64
-    at = 0
+    best, end, score, size = 0, 0, 0, 64
+    at = last = 0
     while at < len(x):
-        score = total + np.cumsum(np.where(x[at : at + size] == y[at : at + size], 1, -5))
-        peak = np.maximum.accumulate(np.maximum(score, best))
-        stop = np.flatnonzero(peak - score > 12)
-        if len(stop):
-            score = score[: stop[0]]
-        if len(score) and score.max() > best:
-            best, end = int(score.max()), at + int(score.argmax()) + 1
-        if len(stop):
-            break
-        total, at, size = int(score[-1]), at + size, 4 * size
-    return end
+        for p in (np.flatnonzero(x[at : at + size] != y[at : at + size]) + at).tolist():
+            score += p - last
+            if score > best:
+                best, end = score, p
+            score, last = score - 5, p + 1
+            if best - score > 12:
+                return end
+        at, size = at + size, 4 * size
+    return len(x) if score + len(x) - last > best else end
 
 
 def could_share(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, s: PassageSettings) -> bool:
@@ -631,13 +636,18 @@ def could_share(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, s: PassageS
 def passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], s: PassageSettings) -> list[tuple[int, int, int, int]]:
     """Verified (start, end, start there, end there) around the anchors."""
     spans: list[list[int]] = []
-    right: list[list[int]] = []  # those of them that are similar
+    right: set[tuple[int, ...]] = set()  # those of them that are similar
+    ahead_of: list[tuple[int, ...]] = []  # of these, the ones that a later anchor can lie in
     ends: dict[int, int] = {}  # of the last span by diagonal: anchors come in order
     for c, d in anchors:
         if c >= len(x) or d >= len(y):
             continue  # a place in another text of the same id
-        if c < ends.get(c - d, 0) or any(a <= c <= b - s.least and a2 <= d <= b2 - s.least for a, b, a2, b2 in right):
-            continue  # these two places have their passage
+        if c < ends.get(c - d, 0):
+            continue
+        if ahead_of:
+            ahead_of = [r for r in ahead_of if c <= r[1] - s.least]
+            if any([a <= c and a2 <= d <= b2 - s.least for a, _, a2, b2 in ahead_of]):
+                continue  # these two places have their passage
         n = min(len(x) - c, len(y) - d)
         m = min(c, d)
         ahead = _reach(x[c : c + n], y[d : d + n])
@@ -646,18 +656,21 @@ def passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], s: Pa
             ends[c - d] = c + ahead
             spans.append([c - back, c + ahead, d - back, d + ahead])
             if _similar(x, y, spans[-1], s):
-                right.append(spans[-1])
+                right.add(tuple(spans[-1]))
+                ahead_of.append(tuple(spans[-1]))
     spans.sort()
+    known = set(map(tuple, spans))
     merged: list[list[int]] = []
     for a in spans:
         if merged and 0 <= a[0] - merged[-1][1] + 5 <= 10 and 0 <= a[2] - merged[-1][3] + 5 <= 10:
             merged[-1][1], merged[-1][3] = max(merged[-1][1], a[1]), max(merged[-1][3], a[3])
         else:
             merged.append(list(a))
-    out = [tuple(m) for m in merged if m in right or (m not in spans and _similar(x, y, m, s))]
+    out = [m for m in map(tuple, merged) if m in right or (m not in known and _similar(x, y, m, s))]
+    whole = set(out)
     for span in spans:  # what was joined too far falls back to its parts
-        if not any(m[0] <= span[0] and span[1] <= m[1] and m[2] <= span[2] and span[3] <= m[3] for m in out):
-            if span in right:
+        if tuple(span) not in whole and not any([m[0] <= span[0] and span[1] <= m[1] and m[2] <= span[2] and span[3] <= m[3] for m in out]):
+            if tuple(span) in right:
                 out.append(tuple(span))
             elif span[1] - span[0] >= s.least:
                 out += _equal_runs(x, y, span, s.least) or _similar_run(x, y, span, s)
@@ -674,8 +687,8 @@ def _similar(x: np.ndarray, y: np.ndarray, span: list[int], s: PassageSettings)
         return False
     if b - a == b2 - a2 and np.array_equal(x[a:b], y[a2:b2]):
         return True
-    u, v = (np.unique(shingles(z, s.shingle)) for z in (x[a:b], y[a2:b2]))
-    shared = len(np.intersect1d(u, v, assume_unique=True))
+    u, v = (set(shingles(z, s.shingle).tolist()) for z in (x[a:b], y[a2:b2]))
+    shared = len(u & v)
     return 100 * shared >= s.percent * (len(u) + len(v) - shared)
 
 
