@@ -334,10 +334,11 @@ def _looks_alike(x: np.ndarray, y: np.ndarray, repeats: np.ndarray, s: PassageSe
 
 
 def _sharing(nodes: np.ndarray, looks: np.ndarray, s: PassageSettings) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
-    """The number of each look's text, and of one text which others of the list share more than its token.
+    """The number of each look's text, and of one text which later ones of the list share more than its token.
 
-    Similar passages have two other shingles in common, or are made of the token
-    and at most one more; places in runs of one word often have neither.
+    Similar passages have ``percent`` of their different shingles in common, which
+    a look's repeats bound; of those, two others than the token, unless they are
+    made of it and at most one more.
     """
     side = s.least - s.shingle
     number = np.unique(nodes, return_inverse=True)[1].reshape(-1)
@@ -362,11 +363,22 @@ def _sharing(nodes: np.ndarray, looks: np.ndarray, s: PassageSettings) -> tuple[
     order = np.argsort(value, kind="stable")
     having = (codes >> 20)[order]
     begins, ends = (np.searchsorted(value[order], value, x) for x in ("left", "right"))
+    in_order = np.sort(looks, 1)
+    different = np.full(texts, side + 1)  # in any passage, at least
+    np.minimum.at(different, number, side + 1 - (in_order[:, 1:] == in_order[:, :-1]).sum(1))
+    needed = np.maximum(2, -(-s.percent * different // 100) - 1)
 
     def sharing(text: int) -> np.ndarray:
         some = slice(cuts[text], cuts[text + 1])
-        lists = [having[x:y] for x, y in zip(begins[some].tolist(), ends[some].tolist())]
-        return np.bincount(np.concatenate([having[:0], *lists]), minlength=texts) > 1
+        held = np.concatenate([having[:0], *(having[x:y] for x, y in zip(begins[some].tolist(), ends[some].tolist()))])
+        held = held[held > text]
+        if len(held) < texts:
+            others, times = np.unique(held, return_counts=True)
+        else:
+            times = np.bincount(held)
+            others = np.flatnonzero(times)
+            times = times[others]
+        return others[times >= np.maximum(needed[others], needed[text])]
 
     return number, sharing
 
@@ -391,10 +403,8 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
     up: dict[int, int] = {}
     small: list[np.ndarray] = []
 
-    def compare(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = pairs.T
-        sure, maybe = _looks_alike(look[x], look[y], np.maximum(repeats[x], repeats[y]), s)
-        return pairs[sure], pairs[maybe]
+    def compare(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _looks_alike(look[x], look[y], np.maximum(repeats[x], repeats[y]), s)
 
     def top(i: int) -> int:
         while (j := up.get(i, i)) != i:
@@ -402,10 +412,11 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
         return i
 
     def flush() -> np.ndarray:
-        sure, maybe = compare(np.concatenate(small))
+        pairs = np.concatenate(small)
         small.clear()
-        joins = []
-        for pair in sure.tolist():
+        sure, maybe = compare(*pairs.T)
+        joins, maybe = [], pairs[maybe]
+        for pair in pairs[sure].tolist():
             p, q = map(top, pair)
             if p != q:
                 up[p] = q
@@ -448,30 +459,38 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
         text, sharing = _sharing(rows["node"][own], look[own], s)
         order = np.argsort(text, kind="stable")
         own, text = own[order], text[order]
-        near, joins, later, held = own[:0], [], [], 0
+        begins = np.searchsorted(text, np.arange(int(text[-1]) + 2))
+        of, beside = component[own], sketch[own]
+        none = np.zeros((0, 2), np.int64)
+        near, joins, later, held = own[:0], [none], [none], 0
+
+        def apart() -> np.ndarray:
+            pairs = np.concatenate(later)
+            return own[pairs[of[pairs[:, 0]] != of[pairs[:, 1]]]]
+
         for at in range(n - 1):
             if not at or text[at] != text[at - 1]:
-                later_ones = np.arange(np.searchsorted(text, text[at], "right"), n)
-                later_ones = later_ones[component[own[later_ones]] != component[own[at]]]
-                near = own[later_ones[sharing(int(text[at]))[text[later_ones]]]] if len(later_ones) else own[:0]
-            others = near[component[near] != component[own[at]]]
-            others = others[(sketch[others] == sketch[own[at]]).any(1)]
+                near = own[:0]
+                if (of[begins[text[at] + 1] :] != of[at]).any():
+                    partners = sharing(int(text[at]))
+                    sizes = begins[partners + 1] - begins[partners]
+                    near = np.arange(sizes.sum()) + np.repeat(begins[partners] - np.cumsum(sizes) + sizes, sizes)
+            others = near[of[near] != of[at]]
+            others = others[(beside[others] == beside[at]).any(1)]
             for i in range(0, len(others), block):
                 some = others[i : i + block]
-                sure, maybe = compare(np.stack((np.full(len(some), own[at]), some), 1))
-                later.append(maybe)
+                sure, maybe = compare(np.full(len(some), own[at]), own[some])
+                maybe, sure = some[maybe], some[sure]
+                later.append(np.stack((np.full(len(maybe), at), maybe), 1))
                 held += len(maybe)
                 if len(sure):
-                    joined, first = np.unique(component[sure[:, 1]], return_index=True)
-                    joins.append(sure[first])
-                    component[own[np.isin(component[own], joined)]] = component[own[at]]
+                    joined, first = np.unique(of[sure], return_index=True)
+                    joins.append(own[np.stack((np.full(len(first), at), sure[first]), 1)])
+                    of[np.isin(of, joined)] = of[at]
                 if held >= 4 * block:  # what a later look joins may be among these; words tell
-                    maybe = np.concatenate(later)
-                    yield meetings_of(maybe[component[maybe[:, 0]] != component[maybe[:, 1]]])
-                    later, held = [], 0
-        none = np.zeros((0, 2), np.int64)
-        maybe = np.concatenate([none, *later])
-        yield meetings_of(np.concatenate([none, *joins, maybe[component[maybe[:, 0]] != component[maybe[:, 1]]]]))
+                    yield meetings_of(apart())
+                    later, held = [none], 0
+        yield meetings_of(np.concatenate([*joins, apart()]))
     if small:
         yield flush()
 
@@ -726,7 +745,7 @@ _SPANS_SQL = "doc_id long, start long, end long, other_id long, other_start long
 
 
 def _verified(met: DataFrame, nodes: DataFrame, s: PassageSettings) -> DataFrame:
-    """Spans of the meetings (a, b, anchor), on words made again from texts."""
+    """Spans of the meetings (a, b, anchor), on words made again from texts, which go."""
     needed = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -735,6 +754,7 @@ def _verified(met: DataFrame, nodes: DataFrame, s: PassageSettings) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["node", "words"])
 
     own = materialize(nodes.join(needed, "node", "left_semi").mapInArrow(encode, "node long, words binary"), "words", compression="none")
+    discard(nodes)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -778,7 +798,7 @@ def repeated_passages(docs: DataFrame, settings: PassageSettings = PassageSettin
     met = _met_by_windows(nodes, tasks, s)
     exact = _met_by_words(met, nodes, tasks, s)
     found = _verified(met.union(exact), nodes, s)
-    discard(met, exact, nodes)
+    discard(met, exact)
 
     back = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"))
     copies = ids.join(groups.where("size > 1"), ["h1", "h2", "n"]).where("doc_id <> node")
