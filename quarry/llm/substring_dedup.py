@@ -15,6 +15,9 @@ hashed order for that, so a passage in thousands of texts costs its size and no
 text stands between all others.  What agrees wholly inside a map task is
 chained there, and one window goes on, so a hot list is small when it meets.
 
+Texts go on as 32 bits of the hash of each word, and those that met no other
+go after the windows.
+
 Every window that met another one also gets exact keys: the words around its
 token at every alignment that a passage of the least length can have.  Texts
 with such a key share a passage by construction, so chains of them link all of
@@ -34,7 +37,7 @@ columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,16 +69,8 @@ class PassageSettings:
     seed: int = 23
 
 
-def compact_windows(values: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(left, centre, right), inclusive, of all windows of at least ``width``.
-
-    Only values that are the smallest of some ``width`` in a row can be such
-    centres, and the next smaller value on either side is one too, so a
-    Cartesian tree over those few gives the bounds.  Ties go to the left.
-    """
-    n = len(values)
-    if n < width:
-        return []
+def _reaching(values: np.ndarray, width: int) -> np.ndarray:
+    """Whether each value is the smallest of some ``width`` in a row."""
     low, have = values, 1
     while have < width:
         more = min(have, width - have)
@@ -87,7 +82,20 @@ def compact_windows(values: np.ndarray, width: int) -> list[tuple[int, int, int]
         more = min(have, width - have)
         best = np.maximum(best[: len(best) - more], best[more:])
         have += more
-    reach = values <= best
+    return values <= best
+
+
+def compact_windows(values: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(left, centre, right), inclusive, of all windows of at least ``width``.
+
+    Only values that are the smallest of some ``width`` in a row can be such
+    centres, and the next smaller value on either side is one too, so a
+    Cartesian tree over those few gives the bounds.  Ties go to the left.
+    """
+    n = len(values)
+    if n < width:
+        return []
+    reach = _reaching(values, width)
     centres = np.flatnonzero(reach).tolist()
     own = values[reach].tolist()
     found, stack = [], []  # stack: (place in centres, left bound)
@@ -130,6 +138,17 @@ def _identities(docs: DataFrame, s: PassageSettings, text: str) -> DataFrame:
     return _texts(docs, text).mapInArrow(identify, "doc_id long, n long, h1 long, h2 long").where(f"n >= {s.least}")
 
 
+def _encoded(nodes: DataFrame) -> DataFrame:
+    """Texts as 32 bits of the hash of each word, which all that follows reads."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [(word_hashes(t) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["node", "words"])
+
+    return nodes.mapInArrow(encode, "node long, words binary")
+
+
 def _least_beside(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """16 bits of the smallest value on the ``width`` places before and after each."""
     edge = np.full(width + 1, np.uint64(2**64 - 1))
@@ -143,23 +162,39 @@ def _least_beside(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return low[1 : n + 1], low[width + 2 : width + 2 + n]
 
 
-def windows_of(words: np.ndarray, s: PassageSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, centre and sketch of a text's windows; a key's last bits are its hash function."""
-    values = _hash_values(shingles(words, s.shingle), s)
-    width = s.least - s.shingle + 1
-    sides = [_least_beside(v, s.beside) for v in values] if len(values[0]) >= width else []
-    keys, centres, sketches = [], [], []
-    for fn in range(len(sides)):
-        c = np.array([w[1] for w in compact_windows(values[fn], width)], np.int64)
-        sketch = np.zeros(len(c), np.uint64)
+def windows_of(texts: list[np.ndarray], s: PassageSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key, centre and sketch of the windows of texts given by their words; a key's last bits are its hash function.
+
+    The texts are laid side by side, so far apart that no interval reaches the
+    next one.  A value that is the smallest of enough in a row has a window;
+    where two of a text are equal, its tree of windows decides.
+    """
+    width, gap = s.least - s.shingle + 1, np.zeros(max(s.beside, s.shingle), np.uint64)
+    starts = np.cumsum([0, *(len(w) + len(gap) for w in texts)])
+    tokens = shingles(np.concatenate([gap[:0], *(x for w in texts for x in (w, gap))]), s.shingle)
+    number = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(tokens)]
+    sizes = np.array([len(w) - s.shingle + 1 for w in texts], np.int64)
+    inside = np.arange(len(tokens)) - starts[number] < np.where(sizes >= width, sizes, 0)[number]
+    values = _hash_values(tokens, s)
+    for v in values:
+        v[~inside] = 2**64 - 1
+    sides = [_least_beside(v, s.beside) for v in values]
+    out = []
+    for fn, v in enumerate(values):
+        v[~inside] = 0
+        at = np.flatnonzero(_reaching(v, width) & inside)
+        order = np.lexsort((v[at], number[at]))
+        same = (np.diff(v[at][order]) == 0) & (np.diff(number[at][order]) == 0)
+        tied = np.unique(number[at][order][1:][same])
+        if len(tied):
+            own = [[w[1] + starts[i] for w in compact_windows(v[starts[i] : starts[i] + sizes[i]], width)] for i in tied.tolist()]
+            at = np.concatenate((at[~np.isin(number[at], tied)], *(np.array(x, np.int64) for x in own)))
+        sketch = np.zeros(len(at), np.uint64)
         for other in range(len(sides)):
             for side in sides[other] if other != fn else ():
-                sketch = sketch << np.uint64(16) | side[c]
-        keys.append(values[fn][c] & ~np.uint64(3) | np.uint64(fn))
-        centres.append(c)
-        sketches.append(sketch)
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(keys), np.concatenate(centres), np.concatenate(sketches)) if keys else (none, none.astype(np.int64), none)
+                sketch = sketch << np.uint64(16) | side[at]
+        out.append((number[at], v[at] & ~np.uint64(3) | np.uint64(fn), at - starts[number[at]], sketch))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 _ROW = np.dtype([("key", "<u8"), ("sketch", "<u8"), ("node", "<i8"), ("centre", "<i4")])
@@ -244,10 +279,20 @@ def _sizes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _repeated(values: np.ndarray, least: int) -> np.ndarray:
+    """Whether ``least`` and more of the sorted values are equal to each."""
+    cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, np.int64)
+    return np.repeat(np.diff(cuts) >= least, np.diff(cuts))
+
+
 def chained_here(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows that go on, and meetings of groups of ``least`` rows that agree wholly."""
-    if not len(rows):
+    code = mix(rows["key"] ^ rows["sketch"] * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(code)
+    some = _repeated(code[order], least)
+    if not some.any():
         return rows, np.zeros(0, _MEETING)
+    others, rows = rows[order[~some]], rows[order[some]]
     rows = rows[np.lexsort((rows["centre"], rows["node"], rows["sketch"], rows["key"]))]
     group = _groups(rows["key"], rows["sketch"])
     size = np.bincount(group, minlength=1)
@@ -259,15 +304,17 @@ def chained_here(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     hot &= (rows["node"][ends] != rows["node"][last])[group]
     met = chain(rows[hot], group[hot])
     rows["centre"][hot & first] |= _STANDS
-    return rows[~hot | first], met
+    return np.concatenate((others, rows[~hot | first])), met
 
 
 def meetings(rows: np.ndarray, fields: int) -> np.ndarray:
     """Meetings within lists of equal keys, for each sketch field on which rows agree."""
-    rows = rows[np.lexsort((rows["node"], rows["key"]))]
-    group = _groups(rows["key"])
+    order = np.argsort(rows["key"])
+    rows = rows[order[_repeated(rows["key"][order], 2)]]
     if not len(rows):
         return np.zeros(0, _MEETING)
+    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    group = _groups(rows["key"])
     ends = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     last = np.concatenate((ends[1:], [len(rows)])) - 1
     rows = rows[(rows["node"][ends] != rows["node"][last])[group]]
@@ -359,6 +406,13 @@ def _sharing(nodes: np.ndarray, looks: np.ndarray, s: PassageSettings) -> tuple[
     value, many = np.unique(codes & 0xFFFFF, return_inverse=True, return_counts=True)[1:]
     codes, value = codes[many[value] > 1], value[many[value] > 1]  # what one text alone has is not shared
     texts = int(number.max()) + 1
+    # The codes of the most texts are a bit of each text, the others have lists of texts.
+    frequent = np.argsort(np.bincount(value))[-64:]
+    bit = np.full(int(value.max(initial=0)) + 1, -1)
+    bit[frequent] = np.arange(len(frequent))
+    masks, bit = np.zeros(texts, np.uint64), bit[value]
+    np.bitwise_or.at(masks, codes[bit >= 0] >> 20, np.uint64(1) << bit[bit >= 0].astype(np.uint64))
+    codes, value = codes[bit < 0], value[bit < 0]
     cuts = np.searchsorted(codes >> 20, np.arange(texts + 1))
     order = np.argsort(value, kind="stable")
     having = (codes >> 20)[order]
@@ -371,14 +425,9 @@ def _sharing(nodes: np.ndarray, looks: np.ndarray, s: PassageSettings) -> tuple[
     def sharing(text: int) -> np.ndarray:
         some = slice(cuts[text], cuts[text + 1])
         held = np.concatenate([having[:0], *(having[x:y] for x, y in zip(begins[some].tolist(), ends[some].tolist()))])
-        held = held[held > text]
-        if len(held) < texts:
-            others, times = np.unique(held, return_counts=True)
-        else:
-            times = np.bincount(held)
-            others = np.flatnonzero(times)
-            times = times[others]
-        return others[times >= np.maximum(needed[others], needed[text])]
+        times = np.bitwise_count(masks[text + 1 :] & masks[text]).astype(np.int64)
+        times += np.bincount(held[held > text] - text - 1, minlength=len(times))
+        return text + 1 + np.flatnonzero(times >= np.maximum(needed[text + 1 :], needed[text]))
 
     return number, sharing
 
@@ -496,7 +545,7 @@ def met_by_looks(rows: np.ndarray, s: PassageSettings, block: int = 1 << 16) ->
 
 
 def _dealt(texts: DataFrame, rows_of, tasks: int, fields: int, s: PassageSettings, label: str) -> DataFrame:
-    """(a, b, anchor, many) of all meetings; ``rows_of`` gives a batch's rows and looks.  One shuffle."""
+    """Meetings of two texts (a, b, anchors), and places (a, at) that met another; ``rows_of`` gives a batch's rows and looks.  One shuffle."""
     buckets = max(1024, 8 * tasks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +555,7 @@ def _dealt(texts: DataFrame, rows_of, tasks: int, fields: int, s: PassageSetting
         def blobs(rows: np.ndarray, pack) -> list[tuple[int, bytes]]:
             if not len(rows):
                 return []
-            bucket = (mix(rows["key"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(rows["key"].astype(np.uint64)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -542,26 +591,57 @@ def _dealt(texts: DataFrame, rows_of, tasks: int, fields: int, s: PassageSetting
         found = _once(np.concatenate([meetings(rows, fields), met]))
         del rows, met
         for found in itertools.chain([found], met_by_looks(looks, s)):
-            for at in range(0, len(found), 1 << 16):
-                some = found[at : at + (1 << 16)]
-                anchor = some["ca"].astype(np.int64) << 32 | some["cb"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (some["a"], some["b"], anchor, some["many"])], names=["a", "b", "anchor", "many"])
+            for at in range(0, len(found), 1 << 18):
+                yield _gathered(found[at : at + (1 << 18)], places=fields > 0)
 
     dealt = texts.mapInArrow(deal, _BLOBS_SQL).repartition(tasks, "bucket").select("rows", "met", "looks")
-    return materialize(dealt.mapInArrow(meet, "a long, b long, anchor long, many int"), label)
+    return materialize(dealt.mapInArrow(meet, _MET_SQL), label)
+
+
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("anchors", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_MET_SQL = "a long, b long, anchors array<long>, at array<int>"
+
+
+def _gathered(met: np.ndarray, places: bool) -> pa.RecordBatch:
+    """One row for each two texts, with their anchors, and one for each text, with its places."""
+
+    def lists(values: np.ndarray, *keys: np.ndarray) -> tuple[list[np.ndarray], pa.Array]:
+        order = np.lexsort((values, *keys))
+        values, keys = values[order], [k[order] for k in keys]
+        new = np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+        once = new | np.concatenate(([True], values[1:] != values[:-1]))
+        offsets = np.append(np.cumsum(once)[new] - 1, once.sum()).astype(np.int32)
+        return [k[new] for k in keys], pa.ListArray.from_arrays(offsets, pa.array(values[once]))
+
+    (b, a), anchors = lists(met["ca"].astype(np.int64) << 32 | met["cb"], met["b"], met["a"])
+    out = [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), anchors, pa.nulls(len(a), pa.list_(pa.int32()))], schema=_MET)]
+    if places:
+        at = np.concatenate([met[f].astype(np.int32) | met["many"].astype(np.int32) << _PLACE for f in ("ca", "cb")])
+        (a,), at = lists(at, np.concatenate((met["a"], met["b"])))
+        out.append(pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.list_(pa.int64())), at], schema=_MET))
+    return pa.concat_batches(out)
+
+
+def _words(blob: pa.BinaryScalar) -> np.ndarray:
+    """A stored text's words, each by 32 bits of its hash."""
+    return np.frombuffer(blob.as_buffer(), "<u4").astype(np.uint64)
 
 
 def _met_by_windows(nodes: DataFrame, tasks: int, s: PassageSettings) -> DataFrame:
     def rows_of(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        out = []
-        for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            key, centre, sketch = windows_of(word_hashes(t), s)
+        nodes, texts = b.column(0).to_numpy(), list(map(_words, b.column(1)))
+        out, total = [], np.cumsum([0, *map(len, texts)])
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 16))))
+            number, key, centre, sketch = windows_of(texts[at:upto], s)
             rows = np.empty(len(key), _ROW)
-            rows["key"], rows["sketch"], rows["node"], rows["centre"] = key, sketch, node, centre
+            rows["key"], rows["sketch"], rows["node"], rows["centre"] = key, sketch, nodes[at:upto][number], centre
             out.append(rows)
+            at = upto
         return out, []
 
-    return _dealt(nodes.select("node", "text"), rows_of, tasks, 2 * (s.hashes - 1), s, "met")
+    return _dealt(nodes.select("node", "words"), rows_of, tasks, 2 * (s.hashes - 1), s, "met")
 
 
 def _looks(words: np.ndarray, node: int, places: np.ndarray, s: PassageSettings) -> np.ndarray:
@@ -589,19 +669,24 @@ def _looks(words: np.ndarray, node: int, places: np.ndarray, s: PassageSettings)
     return rows
 
 
-def _met_by_words(met: DataFrame, nodes: DataFrame, tasks: int, s: PassageSettings) -> DataFrame:
+def _placed(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts that met another, with the places where they did; the others go."""
+    centres = met.where("b is null").groupBy("a").agg(F.flatten(F.collect_list("at")).alias("cs"))
+    placed = materialize(nodes.join(centres.withColumnRenamed("a", "node"), "node").select("node", "words", "cs"), "placed")
+    discard(nodes)
+    return placed
+
+
+def _met_by_words(placed: DataFrame, tasks: int, s: PassageSettings) -> DataFrame:
     """Meetings by the words around all places that met another, at every alignment.
 
     Places of lists of many also meet there by their looks.
     """
-    many = F.col("many").cast("long") * (1 << _PLACE)
-    places = met.select(F.col("a").alias("node"), (F.shiftright("anchor", 32) + many).alias("c")).union(met.select("b", F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF)) + many))
-    centres = places.groupBy("node").agg(F.collect_set(F.col("c").cast("int")).alias("cs"))
 
     def rows_of(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
         out, looks = [], []
-        for node, t, cs in zip(*(b.column(i).to_pylist() for i in range(3))):
-            w, cs = word_hashes(t), np.array(cs, np.int64)
+        for node, w, cs in zip(b.column(0).to_pylist(), map(_words, b.column(1)), b.column(2)):
+            cs = np.unique(cs.values.to_numpy(zero_copy_only=False)).astype(np.int64)
             if (cs >> _PLACE).any():
                 looks.append(_looks(w, node, cs[cs >> _PLACE > 0], s))
             cs = np.unique(cs & ((1 << _PLACE) - 1))
@@ -613,26 +698,34 @@ def _met_by_words(met: DataFrame, nodes: DataFrame, tasks: int, s: PassageSettin
             out.append(rows)
         return out, looks
 
-    return _dealt(nodes.join(centres, "node").select("node", "text", "cs"), rows_of, tasks, 0, s, "exact")
+    return _dealt(placed, rows_of, tasks, 0, s, "exact")
+
 
+def _mismatches(x: np.ndarray, y: np.ndarray, d: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """Places of x whose word is not the one ``d`` before it in y; kept for the next anchors there."""
+    if d not in known:
+        if len(known) * min(len(x), len(y)) > 1 << 22:
+            known.clear()
+        first, n = max(0, d), min(len(x) - max(0, d), len(y) - max(0, -d))
+        known[d] = np.flatnonzero(x[first : first + n] != y[first - d : first - d + n]) + first
+    return known[d]
 
-def _reach(x: np.ndarray, y: np.ndarray) -> int:
-    """How far two runs of words are alike, where a mismatch costs five matches."""
-    best, end, score, size = 0, 0, 0, 64
-    at = last = 0
-    while at < len(x):
-        for p in (np.flatnonzero(x[at : at + size] != y[at : at + size]) + at).tolist():
+
+def _reach(gaps: np.ndarray, n: int) -> int:
+    """How far two runs of ``n`` words are alike, whose words differ at ``gaps``, where a mismatch costs five matches."""
+    best, end, score, last = 0, 0, 0, 0
+    for at in range(0, len(gaps), 16):
+        for p in gaps[at : at + 16].tolist():
             score += p - last
             if score > best:
                 best, end = score, p
             score, last = score - 5, p + 1
             if best - score > 12:
                 return end
-        at, size = at + size, 4 * size
-    return len(x) if score + len(x) - last > best else end
+    return n if score + n - last > best else end
 
 
-def could_share(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, s: PassageSettings) -> bool:
+def could_share(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, s: PassageSettings, differ: dict[int, np.ndarray]) -> bool:
     """Whether shingles are equal at enough places of the diagonals for any passage.
 
     A similar passage has at least ``percent`` of its shingles in common, and
@@ -644,16 +737,18 @@ def could_share(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, s: PassageS
         a, b = max(0, d), max(0, -d)
         n = min(len(x) - a, len(y) - b)
         if n >= s.shingle:
-            differ = np.flatnonzero(x[a : a + n] != y[b : b + n])
-            runs = np.diff(differ, prepend=-1, append=n) - s.shingle
+            edges = np.concatenate(([a - 1], _mismatches(x, y, d, differ), [a + n]))
+            runs = edges[1:] - edges[:-1] - s.shingle
             found += int(runs[runs > 0].sum())
             if found >= needed:
                 return True
     return False
 
 
-def passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], s: PassageSettings) -> list[tuple[int, int, int, int]]:
+def passages(x: np.ndarray, y: np.ndarray, anchors: Iterable[tuple[int, int]], s: PassageSettings, differ: dict[int, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
     """Verified (start, end, start there, end there) around the anchors."""
+    differ = {} if differ is None else differ
+    tokens = [shingles(z.astype(np.uint64), s.shingle) for z in (x, y)]
     spans: list[list[int]] = []
     right: set[tuple[int, ...]] = set()  # those of them that are similar
     ahead_of: list[tuple[int, ...]] = []  # of these, the ones that a later anchor can lie in
@@ -669,12 +764,13 @@ def passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], s: Pa
                 continue  # these two places have their passage
         n = min(len(x) - c, len(y) - d)
         m = min(c, d)
-        ahead = _reach(x[c : c + n], y[d : d + n])
-        back = _reach(x[c - m : c][::-1], y[d - m : d][::-1])
+        gaps = _mismatches(x, y, c - d, differ)
+        at = int(gaps.searchsorted(c))
+        ahead, back = _reach(gaps[at:] - c, n), _reach(c - 1 - gaps[:at][::-1], m)
         if ahead + back >= 10:
             ends[c - d] = c + ahead
             spans.append([c - back, c + ahead, d - back, d + ahead])
-            if _similar(x, y, spans[-1], s):
+            if _similar(x, y, tokens, spans[-1], s):
                 right.add(tuple(spans[-1]))
                 ahead_of.append(tuple(spans[-1]))
     spans.sort()
@@ -685,28 +781,28 @@ def passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], s: Pa
             merged[-1][1], merged[-1][3] = max(merged[-1][1], a[1]), max(merged[-1][3], a[3])
         else:
             merged.append(list(a))
-    out = [m for m in map(tuple, merged) if m in right or (m not in known and _similar(x, y, m, s))]
+    out = [m for m in map(tuple, merged) if m in right or (m not in known and _similar(x, y, tokens, m, s))]
     whole = set(out)
     for span in spans:  # what was joined too far falls back to its parts
         if tuple(span) not in whole and not any([m[0] <= span[0] and span[1] <= m[1] and m[2] <= span[2] and span[3] <= m[3] for m in out]):
             if tuple(span) in right:
                 out.append(tuple(span))
             elif span[1] - span[0] >= s.least:
-                out += _equal_runs(x, y, span, s.least) or _similar_run(x, y, span, s)
+                out += _equal_runs(x, y, span, s.least) or _similar_run(x, y, tokens, span, s)
             elif 100 * (span[1] - span[0]) >= s.percent * s.least:  # a few words short, where the next ones differ
                 short = s.least - (span[1] - span[0])
                 back, ahead = min(short, span[0], span[2]), min(short, len(x) - span[1], len(y) - span[3])
-                out += _similar_run(x, y, [span[0] - back, span[1] + ahead, span[2] - back, span[3] + ahead], s)
+                out += _similar_run(x, y, tokens, [span[0] - back, span[1] + ahead, span[2] - back, span[3] + ahead], s)
     return sorted(set(out))
 
 
-def _similar(x: np.ndarray, y: np.ndarray, span: list[int], s: PassageSettings) -> bool:
+def _similar(x: np.ndarray, y: np.ndarray, tokens: list[np.ndarray], span: list[int], s: PassageSettings) -> bool:
     a, b, a2, b2 = span
     if min(b - a, b2 - a2) < s.least:
         return False
     if b - a == b2 - a2 and np.array_equal(x[a:b], y[a2:b2]):
         return True
-    u, v = (set(shingles(z, s.shingle).tolist()) for z in (x[a:b], y[a2:b2]))
+    u, v = set(tokens[0][a : b - s.shingle + 1].tolist()), set(tokens[1][a2 : b2 - s.shingle + 1].tolist())
     shared = len(u & v)
     return 100 * shared >= s.percent * (len(u) + len(v) - shared)
 
@@ -719,13 +815,13 @@ def _equal_runs(x: np.ndarray, y: np.ndarray, span: list[int], least: int) -> li
     return [(a + i, a + j, a2 + i, a2 + j) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()) if j - i >= least]
 
 
-def _similar_run(x: np.ndarray, y: np.ndarray, span: list[int], s: PassageSettings) -> list[tuple[int, int, int, int]]:
+def _similar_run(x: np.ndarray, y: np.ndarray, tokens: list[np.ndarray], span: list[int], s: PassageSettings) -> list[tuple[int, int, int, int]]:
     """The longest similar part of a span that is not similar itself, on its diagonal; else that with the most in common."""
     a, b, a2, b2 = span
     n, least = min(b - a, b2 - a2), s.least - s.shingle + 1
     if n < s.least:
         return []
-    u, v = (shingles(z, s.shingle) for z in (x[a : a + n], y[a2 : a2 + n]))
+    u, v = tokens[0][a : a + n - s.shingle + 1], tokens[1][a2 : a2 + n - s.shingle + 1]
     total = np.concatenate(([0], np.cumsum(np.where(u == v, 100 - s.percent, -2 * s.percent))))
     ahead = np.maximum.accumulate(total[::-1])  # descending, from the end
     ends = len(total) - 1 - np.searchsorted(ahead, total, "left")  # the last place with no smaller total
@@ -735,7 +831,7 @@ def _similar_run(x: np.ndarray, y: np.ndarray, span: list[int], s: PassageSettin
     most = int((ahead[::-1][least:] - total[:-least]).argmax())
     for i, j in ((at, int(ends[at])), (most, most + least + int(total[most + least :].argmax()))):
         part = (a + i, a + j + s.shingle - 1, a2 + i, a2 + j + s.shingle - 1)
-        if _similar(x, y, list(part), s):
+        if _similar(x, y, tokens, list(part), s):
             return [part]
     return []
 
@@ -744,36 +840,25 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.in
 _SPANS_SQL = "doc_id long, start long, end long, other_id long, other_start long, other_end long"
 
 
-def _verified(met: DataFrame, nodes: DataFrame, s: PassageSettings) -> DataFrame:
-    """Spans of the meetings (a, b, anchor), on words made again from texts, which go."""
-    needed = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [(word_hashes(t) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["node", "words"])
-
-    own = materialize(nodes.join(needed, "node", "left_semi").mapInArrow(encode, "node long, words binary"), "words", compression="none")
-    discard(nodes)
+def _verified(met: DataFrame, placed: DataFrame, s: PassageSettings) -> DataFrame:
+    """Spans of the meetings (a, b, anchors), on the words of their texts."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for a, b, anchors, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
                 x, y = (np.frombuffer(z.as_buffer(), "<u4") for z in (x, y))
-                at = np.sort(anchors.values.to_numpy(zero_copy_only=False))
-                here, there = at >> 32, at & 0xFFFFFFFF
-                if not could_share(x, y, np.unique(here - there), s):
+                at = np.unique(anchors.values.to_numpy(zero_copy_only=False))
+                here, there, differ = at >> 32, at & 0xFFFFFFFF, {}
+                if not could_share(x, y, np.unique(here - there), s, differ):
                     continue
-                x, y, anchors = x.astype(np.uint64), y.astype(np.uint64), zip(here.tolist(), there.tolist())
-                rows += [(a, p, q, b, p2, q2) for p, q, p2, q2 in passages(x, y, anchors, s)]
+                rows += [(a, p, q, b, p2, q2) for p, q, p2, q2 in passages(x, y, zip(here.tolist(), there.tolist()), s, differ)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(_SPANS), _SPANS)], schema=_SPANS)
 
-    pairs = met.groupBy("a", "b").agg(F.collect_set("anchor").alias("anchors"))
+    own = placed.select("node", "words")
+    pairs = met.where("b is not null").groupBy("a", "b").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-    found = materialize(both.select("a", "b", "anchors", "x", "y").mapInArrow(verify, _SPANS_SQL), "spans")
-    discard(own)
-    return found
+    return materialize(both.select("a", "b", "anchors", "x", "y").mapInArrow(verify, _SPANS_SQL), "spans")
 
 
 def repeated_passages(docs: DataFrame, settings: PassageSettings = PassageSettings(), text: str = "text") -> DataFrame:
@@ -790,15 +875,16 @@ def repeated_passages(docs: DataFrame, settings: PassageSettings = PassageSettin
     nodes = _texts(docs, text).join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").where("text is not null")
     if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         nodes = nodes.withColumn("h", F.xxhash64("text")).dropDuplicates(["node", "h"]).drop("h")
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(_encoded(nodes), "nodes")
 
     words = groups.agg(F.sum("n")).first()[0] or 0
     rows = 2 * s.hashes * words // (s.least - s.shingle)  # about so many windows
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows // s.task_rows))
     met = _met_by_windows(nodes, tasks, s)
-    exact = _met_by_words(met, nodes, tasks, s)
-    found = _verified(met.union(exact), nodes, s)
-    discard(met, exact)
+    placed = _placed(met, nodes)
+    exact = _met_by_words(placed, tasks, s)
+    found = _verified(met.union(exact), placed, s)
+    discard(met, exact, placed)
 
     back = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"))
     copies = ids.join(groups.where("size > 1"), ["h1", "h2", "n"]).where("doc_id <> node")

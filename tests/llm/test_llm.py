@@ -483,6 +483,67 @@ def test_windows_cover_every_passage():
             assert centres[c][0] <= at and at + width - 1 <= centres[c][1]
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    """Texts laid side by side have the windows that each has alone, also where tokens repeat."""
+    s, rng = substring_dedup.PassageSettings(), np.random.default_rng(61)
+    width = s.least - s.shingle + 1
+    texts = [rng.integers(0, 2**32, n).astype(np.uint64) for n in (0, 3, s.least - 1, s.least, 47, 300, 90)]
+    texts += [np.tile(texts[3], 4), np.full(70, 7, np.uint64), rng.integers(0, 2, 200).astype(np.uint64)]
+    number, key, centre, sketch = substring_dedup.windows_of(texts, s)
+    got = sorted(zip(number.tolist(), (key & np.uint64(3)).tolist(), centre.tolist(), sketch.tolist()))
+    expected = []
+    for i, w in enumerate(texts):
+        values = substring_dedup._hash_values(substring_dedup.shingles(w, s.shingle), s)
+        for fn, own in enumerate(values):
+            for _, c, _ in substring_dedup.compact_windows(own, width):
+                code = 0
+                for other in (v for f, v in enumerate(values) if f != fn):
+                    for side in (other[max(0, c - s.beside) : c], other[c + 1 : c + 1 + s.beside]):
+                        code = code << 16 | (min(side.tolist(), default=2**64 - 1) >> 20) & 0xFFFF
+                expected.append((i, fn, c, code))
+    assert len(got) > 100 and got == sorted(expected)
+
+
+def test_looks_share_as_many_codes_as_counted():
+    """What is found by bits of frequent codes and lists of the others is what counting all codes finds."""
+    s, rng = substring_dedup.PassageSettings(), np.random.default_rng(62)
+    side = s.least - s.shingle
+    looks = rng.integers(0, 90, (80, 2 * side + 1)).astype("<u2") + np.arange(2 * side + 1, dtype="<u2") % 3 * 100
+    looks[:, :20] = rng.integers(1000, 60000, (80, 20))
+    looks[40:60] = looks[:20]
+    looks[40:60, 3:6] = 1
+    looks[:, side] = 500
+    nodes = np.arange(80) // 2 * 10
+    number, sharing = substring_dedup._sharing(nodes, looks, s)
+    sets = [set(looks[number == i].reshape(-1).tolist()) - {500} for i in range(40)]
+    different = [min(len(set(x[x != 500].tolist())) + 1 for x in looks[number == i]) for i in range(40)]
+    needed = [max(2, -(-s.percent * max(0, side + 1 - (2 * side + 1 - n)) // 100) - 1) for n in different]
+    for i in range(39):
+        assert sharing(i).tolist() == [j for j in range(i + 1, 40) if len(sets[i] & sets[j]) >= max(needed[i], needed[j])]
+
+
+def test_texts_go_on_as_words_and_meetings_gathered(spark, monkeypatch):
+    """No table holds a text, and two texts have one row of meetings for each task, however often they met."""
+    rng, kept = np.random.default_rng(63), {}
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    shared = word(1000)
+    data = [(d, " ".join([*word(20), *shared])) for d in range(3)]
+    put = substring_dedup.materialize
+
+    def materialize(df, label, **options):
+        kept[label] = put(df, label, **options)
+        return kept[label]
+
+    monkeypatch.setattr(substring_dedup, "materialize", materialize)
+    monkeypatch.setattr(substring_dedup, "discard", lambda *tables: None)
+    out = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in out} == {(d, 20, 1020) for d in range(3)}
+    assert all("text" not in df.columns for df in kept.values())
+    rows = kept["met"].where("b is not null").collect()
+    assert len(rows) <= 3 * spark.sparkContext.defaultParallelism
+    assert sum(len(r.anchors) for r in rows) > 200
+
+
 def test_passage_twice_in_the_first_text(spark):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
