@@ -34,7 +34,8 @@ class PackSettings:
     separator: int = 0
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("ids", pa.binary())])
+#: ids have ``width`` bytes each, two where that is enough.
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 _PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -52,17 +53,38 @@ def encode_stream(docs: DataFrame, tokenizer: str, settings: PackSettings, text:
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = start + np.cumsum(counts) - counts
                 start += int(counts.sum())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(ids, pa.binary())], schema=_ENCODED)
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                width = 2 if flat.max() < 1 << 16 else 4
+                numbers = (np.full(len(ids), part, np.int32), starts, np.full(len(ids), width, np.int32))
+                yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, numbers), _binary(flat.astype(f"<u{width}"), counts)], schema=_ENCODED)
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, part int, local_start long, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, part int, local_start long, width int, ids binary")
+
+
+def _binary(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The ids as one cell for each count of them."""
+    offsets = np.concatenate(([0], np.cumsum(counts * ids.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
+def _flat(cells: pa.Array, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and how many each cell has."""
+    cells = cells.cast(pa.binary())
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)
+    if (width == width[0]).all():
+        ids = data[offsets[0] : offsets[-1]].view(f"<u{width[0]}").astype("<u4")
+    else:
+        ids = np.concatenate([data[x:y].view(f"<u{w}").astype("<u4") for x, y, w in zip(offsets, offsets[1:], width)])
+    return ids, np.diff(offsets) // width
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, settings: PackSettings = PackSettings(), text: str = "text") -> DataFrame:
     """One row for each piece of a document, with its ids (little-endian u32)."""
     encoded = materialize(encode_stream(docs, tokenizer or vocabulary(), settings, text), "packing")
-    sizes = encoded.groupBy("part").agg(F.max(F.col("local_start") + F.octet_length("ids").cast("long") / 4).cast("long"))
+    sizes = encoded.groupBy("part").agg(F.max(F.col("local_start") + F.octet_length("ids").cast("long") / F.col("width")).cast("long"))
     totals = dict(sizes.collect())  # one number for each partition of the scan
     parts = sorted(totals)
     before = np.zeros(max(parts, default=0) + 1, np.int64)
@@ -72,16 +94,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, settings: PackSettings =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, part, local, ids in zip(*(c.to_pylist() for c in b.columns)):
-                place, n, at = int(before[part]) + local, len(ids) // 4, 0
-                while at < n:
-                    sequence, offset = divmod(place + at, window)
-                    size = min(window - offset, n - at)
-                    piece = ids[4 * at : 4 * (at + size)]
-                    rows.append((doc_id, at, size, zlib.crc32(piece), n, sequence, offset, piece))
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(_PIECES), _PIECES)], schema=_PIECES)
+            if not b.num_rows:
+                continue
+            doc_id, part, local, width = (b.column(i) for i in range(4))
+            ids, n = _flat(b.column(4), width.to_numpy())
+            n, place = n.astype(np.int64), before[part.to_numpy()] + local.to_numpy()
+            pieces = (place + n - 1) // window - place // window + 1
+            row = np.repeat(np.arange(len(n)), pieces)
+            sequence = place[row] // window + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first, end = np.maximum(place[row], sequence * window), np.minimum((place + n)[row], (sequence + 1) * window)
+            cuts = np.cumsum(end - first).tolist()
+            crc = [zlib.crc32(ids[x:y]) for x, y in zip([0, *cuts], cuts)]
+            columns = (first - place[row], end - first, np.array(crc, np.int64), n[row], sequence, first - sequence * window)
+            yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(row)), *map(pa.array, columns), _binary(ids, end - first)], schema=_PIECES)
 
     return encoded.mapInArrow(cut, _PIECES_SQL)
 

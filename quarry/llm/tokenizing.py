@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-from struct import pack
+from itertools import islice
+from struct import Struct
 
 import numpy as np
 
@@ -18,8 +19,9 @@ _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space for Python's \s but not for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _SIGNS = ".,;:!?"
-#: Pieces a worker keeps that it met again, and new ones; the longest kept.
-KEEP, KEEP_NEW, LONGEST = 600_000, 600_000, 40
+#: Pieces a worker keeps: at most so many, and of those it met first so many when there are more; the longest kept.
+KEEP, KEEP_FIRST, LONGEST = 1_200_000, 600_000, 40
+_PACK = [Struct(f"<{n}I").pack for n in range(LONGEST)]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -47,28 +49,39 @@ def _key(piece: str) -> str:
     return piece if piece[0] == "\n" else "\t" + piece
 
 
+def _latin(word: str) -> bool:
+    """Whether every version of Unicode has the letters of a word as letters."""
+    return word.isascii() or max(word) < "\u0250"
+
+
 class _Pieces(dict):
-    """Ids of pieces met before; ``new`` has those met once, and may be emptied.
+    """Ids of pieces met before, in the order in which they were met: frequent ones first.
 
     A key stands for itself after a space; a tab before it means no space, and
     a key with a new line in front is itself.
     """
 
-    def __init__(self, ids_of):
-        self.new: dict[str, bytes] = {}
-        self.ids_of = ids_of
+    def __init__(self, word, ids_of, signs: dict[str, bytes]):
+        self.word, self.ids_of, self.signs = word, ids_of, signs
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.new.pop(key, None)
-        if ids is not None:
-            self[key] = ids
-            return ids
-        first = key[:1]
-        ids = self.ids_of(key[1:] if first == "\t" else key if first == "\n" else " " + key)
+        if key.isalpha():
+            ids = self.word(key, True)
+        elif key[-1:] in self.signs and key[:-1].isalpha() and _latin(key[:-1]):
+            ids = self[key[:-1]] + self.signs[key[-1:]]
+        else:
+            first = key[:1]
+            ids = self.ids_of(key[1:] if first == "\t" else key if first == "\n" else " " + key)
         if len(key) <= LONGEST:
-            self.new[key] = ids
+            self[key] = ids
         return ids
 
+    def shorten(self) -> None:
+        """Only the pieces that were met first stay."""
+        first = list(islice(self.items(), KEEP_FIRST))
+        self.clear()
+        self.update(first)
+
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
@@ -83,13 +96,21 @@ class Encoder:
         self.space = self.letters[32]
         self.signs = {s: self._in_full(s) for s in _SIGNS}
         self.line = self._in_full("\n")
-        self.known = _Pieces(self._ids)
+        self.known = _Pieces(self._word, self._ids, self.signs)
 
     def _in_full(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, core: str, space: bool) -> bytes:
+        """A run of letters by the model alone; in full where they are not Latin."""
+        if not _latin(core):
+            return self._in_full(" " + core if space else core)
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.bpe.tokenize(self.space + shown if space else shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
     def _ids(self, piece: str) -> bytes:
-        """A plain word by the model alone, anything else in full.
+        """Letters by the model alone, anything else in full.
 
         The tokenizer's pattern always splits a new line, a run of letters after
         at most one space, and a sign from each other.
@@ -101,16 +122,7 @@ class Encoder:
             word, after = word[:-1], self.signs[word[-1]]
         space = word[:1] == " "
         core = word[1:] if space else word
-        if not core.isalpha():
-            return self._in_full(piece)
-        if core.isascii():
-            shown = core
-        elif max(core) < "\u0250":  # Latin letters, the same in every version of Unicode
-            shown = core.encode().decode("latin-1").translate(self.letters)
-        else:
-            return self._in_full(piece)
-        ids = [t.id for t in self.bpe.tokenize(self.space + shown if space else shown)]
-        return before + pack(f"<{len(ids)}I", *ids) + after
+        return before + self._word(core, space) + after if core.isalpha() and _latin(core) else self._in_full(piece)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as bytes; a null text is empty."""
@@ -118,9 +130,7 @@ class Encoder:
             return b""
         known = self.known
         if len(known) > KEEP:
-            known.clear()
-        if len(known.new) > KEEP_NEW:
-            known.new.clear()
+            known.shorten()
         if _even(text):
             return b"".join(map(known.__getitem__, ("\t" + text.replace("\n", " \n")).split(" ")))
         if _ODD.search(text):

@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language_id, lm_scoring, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_store
+from quarry.llm import decontaminate, language_id, lm_scoring, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_store, tokenizing
 from quarry.llm.queries import fold
 from quarry.llm.tokenizing import vocabulary
 
@@ -257,6 +258,48 @@ def slow_ids(text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_before_signs_are_not_encoded_again():
+    """A known word needs no other look at the model when a sign follows it."""
+    encoder = tokenizing.Encoder(tokenizing.vocabulary())
+    encoder.encode("some Words hereabouts fa\u00e7ade")
+
+    def no_more(*_):
+        raise AssertionError("encoded again")
+
+    encoder.known.word = encoder.known.ids_of = no_more
+    text = "some Words, hereabouts. fa\u00e7ade!"
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_are_those_of_whole_texts_when_few_are_kept(monkeypatch):
+    """Ids are the library's whatever letters and signs meet, and whatever was kept."""
+    monkeypatch.setattr(tokenizing, "KEEP", 60)
+    monkeypatch.setattr(tokenizing, "KEEP_FIRST", 20)
+    encoder, rng = tokenizing.Encoder(tokenizing.vocabulary()), np.random.default_rng(64)
+    parts = ["word", "Stra\u00dfe", "\u01c5", "\u4e2d\u6587", "\U0002ebf0", "\u1c89", "\u0627\u0644", "e\u0301", "a1", "x" * 300, "don't", "\u00aa", "\u00b2", "\ua7dc", "I'll", "'s", "_"]
+    texts = [" ".join(p + s for s in ("", ",", ".", ";", ":", "!", "?", ",,", "?!")) for p in parts]
+    for _ in range(200):
+        some = rng.integers(0, len(parts), 12)
+        texts.append("".join(parts[i] + s for i, s in zip(some, rng.choice([" ", ", ", "\n", ".\n", "! ", "?", "  "], 12))))
+    texts += [f"w{i} w{i}, v{i // 2}." for i in range(100)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.model.encode(text, add_special_tokens=False).ids, text
+        assert len(encoder.known) <= 60 + 80
+
+
+def test_packed_ids_are_kept_in_few_bytes(spark):
+    """Two bytes an id where that is enough, four elsewhere, and the same ids from either."""
+    df = spark.createDataFrame([(i, "one two three, " * i) for i in range(9)], "doc_id long, text string")
+    rows = packing.encode_stream(df, tokenizing.vocabulary(), packing.PackSettings(), "text").collect()
+    ends = {r.doc_id: tokenizing.encode_texts(tokenizing.vocabulary(), ["one two three, " * r.doc_id])[0] for r in rows}
+    assert all(np.frombuffer(r.ids, "<u2").tolist() == [*np.frombuffer(ends[r.doc_id], "<u4").tolist(), 0] for r in rows)
+    own = [np.arange(3, dtype="<u2"), np.array([70000, 1], "<u4"), np.zeros(0, "<u2"), np.array([65535], "<u2")]
+    cells, width = pa.array([b"left out", *(x.tobytes() for x in own)], pa.binary())[1:], np.array([x.itemsize for x in own])
+    ids, counts = packing._flat(cells, width)
+    assert ids.tolist() == [0, 1, 2, 70000, 1, 65535] and counts.tolist() == [3, 2, 0, 1]
+    assert packing._binary(ids, counts).to_pylist() == [x.astype("<u4").tobytes() for x in own]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing_is_gapless_and_exact(request, which):
     df = request.getfixturevalue(which)
