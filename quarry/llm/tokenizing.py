@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
 from struct import Struct
 
 import numpy as np
@@ -20,7 +19,7 @@ _PIECE = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 _SIGNS = ".,;:!?"
 #: Pieces a worker keeps: at most so many, and of those it met first so many when there are more; the longest kept.
-KEEP, KEEP_FIRST, LONGEST = 1_200_000, 600_000, 40
+KEEP, KEEP_FIRST, LONGEST = 1_000_000, 600_000, 40
 _PACK = [Struct(f"<{n}I").pack for n in range(LONGEST)]
 
 
@@ -78,9 +77,8 @@ class _Pieces(dict):
 
     def shorten(self) -> None:
         """Only the pieces that were met first stay."""
-        first = list(islice(self.items(), KEEP_FIRST))
-        self.clear()
-        self.update(first)
+        while len(self) > KEEP_FIRST:
+            self.popitem()
 
 
 class Encoder:
