@@ -32,6 +32,14 @@ def test_stream_is_written_by_many_tasks(spark, monkeypatch):
     assert spark.read.parquet(f"{own}/inbound").select(F.input_file_name()).distinct().count() > 3
 
 
+@pytest.mark.parametrize("name", ["pref_merge", "pref_merge_decay"])
+def test_merges_are_dealt_by_rows(spark, monkeypatch, name):
+    whole = sorted(map(tuple, base.QUERIES[name](spark, DIR).collect()))
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    df = base.QUERIES[name](spark, DIR)
+    assert tasks(df) > 6 and sorted(map(tuple, df.collect())) == whole
+
+
 def _streams(spark) -> list[str]:
     from pathlib import Path
 
