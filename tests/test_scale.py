@@ -40,6 +40,13 @@ def test_merges_are_dealt_by_rows(spark, monkeypatch, name):
     assert tasks(df) > 6 and sorted(map(tuple, df.collect())) == whole
 
 
+def test_preferences_are_dealt_by_rows(spark, monkeypatch):
+    """What als_convergence joins with itself, and the other queries start from."""
+    change = base.als_convergence(spark, DIR).first()
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    assert tasks(base.prefs(spark, DIR)) > 6 and base.als_convergence(spark, DIR).first() == change
+
+
 def _streams(spark) -> list[str]:
     from pathlib import Path
 
