@@ -47,6 +47,28 @@ def test_preferences_are_dealt_by_rows(spark, monkeypatch):
     assert tasks(base.prefs(spark, DIR)) > 6 and base.als_convergence(spark, DIR).first() == change
 
 
+def test_trailing_hour_against_all_pairs(spark):
+    """Ties, hours apart to the microsecond, NaN, and events without a value, a time or a type."""
+    rng = np.random.default_rng(5)
+    hour = 3_600_000_000
+    times = [*(int(t) for t in rng.integers(0, 4 * hour, 60)), 0, 0, hour, hour, hour + 1, 2 * hour, 2 * hour + 1, -1, None, None]
+    rows = [(i, t, "ab"[i % 2] if i % 7 else None, None if i % 11 == 3 else float("nan") if i % 13 == 4 else float(i * 37 % 17)) for i, t in enumerate(times * 2)]
+    events = spark.createDataFrame(rows, "event_id long, t long, event_type string, value double").withColumn("ts", F.timestamp_micros("t"))
+    order = lambda v: (v != v, v)
+    want = {}
+    for i, t, k, _ in rows:
+        frame = [v for _, u, other, v in rows if other == k and ((t is None and u is None) or (t is not None and u is not None and t - hour <= u <= t))]
+        held = sorted((v for v in frame if v is not None), key=order)
+        want[i] = (len(frame), repr(held[0]), repr(held[-1])) if held else (len(frame), "None", "None")
+    assert {r.event_id: (r.n, repr(r.low), repr(r.high)) for r in flows.trailing_stats(events).collect()} == want
+
+
+def test_trailing_hour_of_a_full_slot(spark):
+    """No frame is gone through row by row: each ends or begins where its slot does."""
+    plan = flows.trailing_stats(base.load(spark, DIR, "events"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "-3600000000" not in plan
+
+
 def _streams(spark) -> list[str]:
     from pathlib import Path
 
