@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import blocks, recommend
 from quarry.plans import queries as base
 from quarry.plans import storage
 from quarry.streaming import flows
@@ -69,6 +70,56 @@ def test_trailing_hour_of_a_full_slot(spark):
     assert "unboundedpreceding" in plan and "-3600000000" not in plan
 
 
+def _brute(users, items, n, known, cosine):
+    """All scores in double precision; equal to ten digits means equal, and then by id."""
+    out = []
+    for u, x in users:
+        scored = []
+        for i, y in items:
+            if x is None or y is None or i in known.get(u, ()) or (cosine and i == u):
+                continue
+            a, b = np.array(x, float), np.array(y, float)
+            with np.errstate(all="ignore"):
+                s = a / np.linalg.norm(a) @ (b / np.linalg.norm(b)) if cosine else a @ b
+            if np.isfinite(s):
+                scored.append((-round(float(s), 10) + 0.0, i))
+        out += [(u, i, round(-s, 7) + 0.0) for s, i in sorted(scored)[:n]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_best_pairs_against_all_pairs(spark, monkeypatch, cosine):
+    """Equal and nearly equal vectors, zeros, huge numbers, no vector, many known items; one block and several."""
+    rng = np.random.default_rng(11)
+    some = rng.normal(size=(40, 6)).astype(np.float32)
+    vectors = [list(map(float, some[i % 40])) for i in range(1200)]
+    vectors[7], vectors[8], vectors[9] = [0.0] * 6, [float("nan")] * 6, None
+    vectors[10] = [float(np.float32(v * (1 + 1e-7))) for v in vectors[50]]
+    vectors[11] = [float("inf")] + [1.0] * 5
+    items = list(enumerate(vectors))
+    users = [(u, vectors[u % 60]) for u in range(200)] + [(1000, [1e20] * 6), (1001, [1e-25] * 6)]
+    known = {u: sorted(map(int, rng.choice(1200, 3 if u % 5 else 1150, replace=False))) for u in range(0, 200, 2)}
+    schema = "features array<float>"
+    y = spark.createDataFrame(items, f"item_id long, {schema}").coalesce(1)
+    if cosine:
+        got = lambda: sorted((r.user_id, r.item_id, round(r.value, 7) + 0.0) for r in recommend.similar_items(y, 4).collect())
+        want = _brute(items, items, 4, {}, True)
+    else:
+        x = spark.createDataFrame([(u, v, known.get(u)) for u, v in users], f"user_id long, {schema}, known array<bigint>").coalesce(1)
+        got = lambda: sorted((r.user_id, r.item_id, round(r.value, 7) + 0.0) for r in blocks.best_pairs(x, y, 4).collect() if r.user_id != 1000)
+        want = _brute([u for u in users if u[0] != 1000], items, 4, known, False)
+    assert got() == want
+    monkeypatch.setattr(blocks, "BLOCK_NUMBERS", 6 * 300)
+    assert got() == want
+
+
+def test_scoring_is_dealt_to_tasks(spark):
+    """One file of vectors is little text and much work."""
+    y = base._items(spark, DIR).coalesce(1)
+    plan = recommend.similar_items(y, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+
+
 def _streams(spark) -> list[str]:
     from pathlib import Path
 
