@@ -120,6 +120,27 @@ def test_scoring_is_dealt_to_tasks(spark):
     assert "RepartitionByExpression" in plan
 
 
+def test_estimates_send_no_vectors_with_pairs(spark, monkeypatch):
+    """Several blocks of items, unknown users and items, pairs that repeat; never a join of shuffled pairs and items."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = np.random.default_rng(2)
+    f = lambda n: [(i, [float(v) for v in rng.integers(-4, 5, 3)]) for i in range(n)]
+    users, items = f(20), f(30)
+    pairs = [(int(u), int(i)) for u, i in rng.integers(0, 35, (200, 2))] + [(None, 1), (1, None)]
+    x, y = spark.createDataFrame(users, "user_id long, features array<float>"), spark.createDataFrame(items, "item_id long, features array<float>")
+    p, xs, ys = spark.createDataFrame(pairs, "user_id long, item_id long"), dict(users), dict(items)
+    want = sorted((str(u), str(i), float(np.dot(xs[u], ys[i])) if u in xs and i in ys else 0.0) for u, i in pairs)
+    got = lambda: sorted((str(r.user_id), str(r.item_id), r.value) for r in recommend.estimates(p, x, y).collect())
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = recommend.estimates(p, x, y)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and got() == want
+        monkeypatch.setattr(recommend, "BROADCAST_NUMBERS", 30)
+        assert got() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def _streams(spark) -> list[str]:
     from pathlib import Path
 
