@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import blocks, recommend
+from quarry.config import RecommenderSettings
+from quarry.operators import als, blocks, recommend
 from quarry.plans import queries as base
 from quarry.plans import storage
 from quarry.streaming import flows
@@ -141,6 +142,31 @@ def test_estimates_send_no_vectors_with_pairs(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+@pytest.mark.parametrize("k", [3, 20])
+def test_systems_are_solved_where_they_are_added_up(spark, k):
+    """Rows cut by batches, hot ones, both ways of adding up; no k×k matrix leaves a task but a hot row's."""
+    rng = np.random.default_rng(4)
+    s = RecommenderSettings(features=k)
+    f = rng.normal(size=(30, k))
+    cells = [(u, i, float(1 + (u * i) % 4)) for u in range(12) for i in range(30) if u == 5 or (u + i) % 3 == 0]
+    r, y = spark.createDataFrame(cells, "user_id long, item_id long, value double"), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(f)], "item_id long, features array<double>")
+    want = {}
+    for u in range(12):
+        own = [(i, v) for w, i, v in cells if w == u]
+        w, b = als.normal_parts(np.array([v for _, v in own]), f[[i for i, _ in own]], s)
+        want[u] = als._solved(f.T @ f * (not s.loss_ignores_unspecified), s.lambda_ * s.alpha, w, b, len(own))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4")
+        for hot_rows in (200_000, 11):
+            got = {q.user_id: q.features for q in als.half_step(r, y, s, hot_rows).collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[u], want[u], atol=1e-4) for u in want)
+    finally:
+        spark.conf.set(key, held)
+    assert "Array(DoubleType" not in als.half_step(r, y, s)._jdf.queryExecution().analyzed().toString() and als.half_step(r, y, s)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def _streams(spark) -> list[str]:
     from pathlib import Path
 
