@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.config import RecommenderSettings
+from quarry.functions.random import unit_vector
 from quarry.operators import als, blocks, recommend
 from quarry.plans import queries as base
 from quarry.plans import storage
@@ -167,6 +168,15 @@ def test_systems_are_solved_where_they_are_added_up(spark, k):
     assert "Array(DoubleType" not in als.half_step(r, y, s)._jdf.queryExecution().analyzed().toString() and als.half_step(r, y, s)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_first_factors_make_each_number_once(spark):
+    ids = spark.range(20).select(F.col("id").alias("item_id"))
+    plan = als.initial_factors(ids, 10)._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("md5(") <= 20
+    got = {r.item_id: r.features for r in als.initial_factors(ids, 10).collect()}
+    want = {r.id: r.v for r in spark.range(20).select("id", unit_vector(F.col("id"), 10, 1729).cast("array<float>").alias("v")).collect()}
+    assert got == want
+
+
 def _streams(spark) -> list[str]:
     from pathlib import Path
 
